@@ -172,11 +172,24 @@ def maximal_groups(segments: list[bytes], min_length: int) -> list[tuple[int, li
     return groups
 
 
-def _searcher(min_length: int, target: int = 4 << 20):
-    """Streams segments sorted by anchor and searches whole anchors, some megabytes at a time."""
+def _searcher(min_length: int, groups: bool, target: int = 4 << 20):
+    """Streams segments sorted by anchor and searches whole anchors, some megabytes at a time.
+
+    Gives a row for each member of each maximal repeat, or with ``groups`` false one row
+    for each segment with the ranges that repeats cover in it.
+    """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         segments = pdf["seg"].tolist()
+        if not groups:
+            parts: dict[int, dict[int, int]] = {}
+            for length, found in maximal_groups(segments, min_length):
+                for o, s in found:
+                    own = parts.setdefault(o, {})
+                    own[s] = max(own.get(s, 0), length)
+            at = list(parts)
+            ranges = [[{"start": s, "length": e - s} for s, e in merge([{"s": s, "e": s + n} for s, n in parts[o].items()])] for o in at]
+            return pd.DataFrame({"h": pdf["h"].to_numpy()[at], "sid": pdf["sid"].to_numpy()[at], "parts": ranges})
         rows = []
         for number, (length, found) in enumerate(maximal_groups(segments, min_length)):
             rid = None
@@ -236,26 +249,35 @@ def _cutter(min_length: int, windows: bool):
     return run
 
 
-def _search(docs: DataFrame, min_length: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+MEMBERS = "h long, sid long, rid long, length int, start int"
+RANGES = "h long, sid long, parts array<struct<start:int,length:int>>"
+
+
+def _search(docs: DataFrame, min_length: int, hot: int, groups: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frames with a repeated anchor; all different frames with their copies; repeats found between different frames."""
     every = frames(docs, min_length)
-    again = every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select("h")
+    # small tables of keys are written before they are joined, so that a hot key's rows can be split in the join
+    again = cut(every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select("h"))
     repeated = cut(every.join(again, "h"))
-    kinds = repeated.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n")).alias("one"))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    kinds = cut(kinds.join(several, "h", "left").select("h", "sid", "copies", "one", F.coalesce("kinds", F.lit(1)).alias("kinds")))
+    kinds = cut(repeated.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n")).alias("one")))
+    several = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    mixed = kinds.join(several, "h")
     texts = _text(docs)
 
     def fetch(which: DataFrame, windows: bool, schema: str) -> DataFrame:
         wanted = which.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("h", "sid", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"))).alias("wanted"))
         return texts.join(wanted, "key").select("text", "wanted").mapInArrow(_cutter(min_length, windows), schema)
 
-    found = fetch(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= hot)), False, "h long, sid long, seg binary").repartition("h").sortWithinPartitions("h").mapInPandas(_searcher(min_length), "h long, sid long, rid long, length int, start int")
-    crowded = kinds.where(F.col("kinds") > hot)
-    if not crowded.isEmpty():
-        heads = fetch(crowded, True, "h long, sid long, start int, head long")
-        twice = heads.groupBy("head").agg(F.count("*").alias("seen")).where("seen > 1").select("head")
-        more = heads.join(twice, "head").select("h", "sid", F.col("head").alias("rid"), F.lit(min_length).alias("length"), "start")
+    segments = fetch(mixed.where(F.col("kinds") <= hot), False, "h long, sid long, seg binary")
+    found = segments.repartition("h").sortWithinPartitions("h").mapInPandas(_searcher(min_length, groups), MEMBERS if groups else RANGES)
+    if not several.where(F.col("kinds") > hot).isEmpty():
+        heads = fetch(mixed.where(F.col("kinds") > hot), True, "h long, sid long, start int, head long")
+        twice = cut(heads.groupBy("head").agg(F.count("*").alias("seen")).where("seen > 1").select("head"))
+        more = heads.join(twice, "head")
+        if groups:
+            more = more.select("h", "sid", F.col("head").alias("rid"), F.lit(min_length).alias("length"), "start")
+        else:
+            more = more.groupBy("h", "sid").agg(F.collect_set(F.struct("start", F.lit(min_length).alias("length"))).alias("parts"))
         found = found.unionByName(more)
     return repeated, kinds, found
 
@@ -268,7 +290,7 @@ def maximal_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HO
     different frames give groups of exactly ``min_length`` bytes.  A group's repeat_id
     hashes its bytes.  Matches never cross documents; null and short texts have none.
     """
-    repeated, kinds, found = _search(docs, min_length, hot)
+    repeated, kinds, found = _search(docs, min_length, hot, True)
     whole = kinds.where("copies > 1").select("h", "sid", F.xxhash64("h", "sid").alias("rid"), (F.col("one.n") - 1 + min_length).cast("int").alias("length"), F.lit(0).alias("start"))
     groups = found.unionByName(whole)
     ids = _text(docs).select("key", "doc_id").distinct()
@@ -277,11 +299,10 @@ def maximal_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HO
 
 def covered(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT_FRAMES) -> DataFrame:
     """(key, spans): the byte ranges of each document that repeats cover, unsorted and not merged."""
-    repeated, kinds, found = _search(docs, min_length, hot)
-    spans = found.groupBy("h", "sid").agg(F.collect_set(F.struct("start", "length")).alias("parts"))
+    repeated, kinds, found = _search(docs, min_length, hot, False)
+    # a frame with copies is covered whole, whatever else was found in it
     whole = kinds.where("copies > 1").select("h", "sid", F.array(F.struct(F.lit(0).alias("start"), (F.col("one.n") - 1 + min_length).cast("int").alias("length"))).alias("parts"))
-    either = whole.unionByName(spans.join(whole, ["h", "sid"], "left_anti"))
-    hits = repeated.join(either, ["h", "sid"]).select("key", F.transform("parts", lambda p: F.struct((F.col("lo") + p["start"]).alias("s"), (F.col("lo") + p["start"] + p["length"]).alias("e"))).alias("parts"))
+    hits = repeated.join(whole.unionByName(found), ["h", "sid"]).select("key", F.transform("parts", lambda p: F.struct((F.col("lo") + p["start"]).alias("s"), (F.col("lo") + p["start"] + p["length"]).alias("e"))).alias("parts"))
     return hits.groupBy("key").agg(F.flatten(F.collect_list("parts")).alias("spans"))
 
 
