@@ -27,10 +27,14 @@ HOT_FRAMES = 20_000
 SLICE = 1 << 20
 
 
+def _row_key():
+    """Tells rows apart that differ in id or text; equal rows share it, and get the same result."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _text(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text): the key tells rows apart that differ in id or text; equal rows share it, and get the same result."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    """(key, doc_id, text), with an empty text for a null."""
+    return docs.select(_row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def anchor_size(min_length: int) -> int:
@@ -347,3 +351,24 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return _text(docs).join(covered(docs, min_length, hot), "key", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT_FRAMES) -> DataFrame:
+    """``docs`` with repeated bytes removed from the texts; columns as they were, n_chars following the text."""
+    names = docs.columns
+    rows = docs.withColumn("_key", _row_key())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_text = batch.schema.get_field_index("text")
+            texts = batch.column(at_text).to_pylist()
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    own, gone = texts[i].encode(), merge(spans)
+                    texts[i] = b"".join(own[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(own)], strict=True)).decode("utf-8", "ignore")
+            columns = [pa.array(texts, pa.string()) if k == at_text else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    joined = rows.join(covered(docs, min_length, hot).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans"), "_key", "left")
+    out = joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out

@@ -172,12 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
         yield fit([bags[i] for i in order], pdf["y"].to_numpy()[order])
 
     # two labels' samples: a bounded number of rows in one task
-    model = rows.coalesce(1).mapInPandas(run, "bucket int, weights array<double>").toPandas()
+    model = rows.repartition(1).mapInPandas(run, "bucket int, weights array<double>").toPandas()
     taken = {y: min(n, sample) for y, n in shares.items()}
     if shares.get(0) and shares.get(1):
         shift = np.log(shares[1] / shares[0]) - np.log(taken[1] / taken[0])
-        at = model.index[model["bucket"] == -1][0]
-        model.at[at, "weights"] = np.asarray(model.at[at, "weights"]) + shift
+        model["weights"] = [[w[0] + shift] if b == -1 else list(w) for b, w in zip(model["bucket"], model["weights"], strict=True)]
     return model
 
 
