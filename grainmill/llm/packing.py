@@ -7,6 +7,7 @@ row its place in the one long stream, and pass two cuts the stream into windows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,32 +18,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import LOWER_ASCII, as_bytes, cut
 
 WINDOW = 2048
 END_ID = 1
 #: Words a worker remembers the ids of; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
+
+
+#: A comma or full stop between a letter and a blank is a token run of its own.
+_APART = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
 
 
 class WordIds:
     """Token ids of texts, by a memory of the ids of their words.
 
-    Holds for tokenizers that drop white space and never look across it, so that a
-    text's ids are those of its words in turn.
+    Holds for tokenizers that drop case and white space, never look across blanks, and
+    take a run of letters as one piece, so that a text's ids are those of its words in
+    turn.  Words of letters alone go straight to the tokenizer's model; all others take
+    its whole path.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
         self.kind = "<u4" if self.wide else "<u2"
         self.known: dict[bytes, bytes] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the sign that stands for each byte, as the byte-level step writes it
+        self.signs = {b: level.pre_tokenize_str(chr(b))[0][0] if b < 128 else level.pre_tokenize_str(chr(b))[0][0][-1] for b in range(33, 192)}
+        for b in range(192, 256):
+            self.signs[b] = level.pre_tokenize_str(bytes([b, 0x80]).decode("utf-8", "replace"))[0][0][0] if 0xC2 <= b < 0xE0 else None
+
+    def model_ids(self, word: str) -> list[int] | None:
+        """Ids of a word of letters by the model alone, or None where more is needed."""
+        if word.isascii():
+            return [t.id for t in self.tokenizer.model.tokenize(word)]
+        word = self.tokenizer.normalizer.normalize_str(word)
+        if not word.isalpha():
+            return None
+        signs = [self.signs.get(b) for b in word.encode()]
+        return None if None in signs else [t.id for t in self.tokenizer.model.tokenize("".join(signs))]
+
+    def word_ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        ids = self.model_ids(text) if text.isalpha() else None
+        if ids is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype=self.kind).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids as packed little-endian integers of ``kind``."""
-        words = text.split()
+        words = _APART.sub(rb" \1", text.translate(LOWER_ASCII)).split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])
@@ -50,12 +79,9 @@ class WordIds:
             new = [w for w in set(words) if w not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(set(words))
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype=self.kind).tobytes()
+            new = set(words)
+        for w in new:
+            known[w] = self.word_ids(w)
         return b"".join([known[w] for w in words])
 
 
