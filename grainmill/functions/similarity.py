@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -41,7 +42,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -157,7 +158,7 @@ def _each(function):
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else function(v))
 
-    return F.pandas_udf(run, "string")
+    return F.pandas_udf(run, T.StringType())
 
 
 metaphone_column = _each(metaphone_key)
