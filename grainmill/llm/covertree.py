@@ -199,7 +199,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     numbered = placed.withColumn("salt", salt).join(slots, ["label", "dim", "cell", "salt"])
     blocks = cut(numbered.withColumn("block", F.floor((F.col("before") + F.row_number().over(inner) - 1) / block).cast("long")).select("label", "dim", "block", "vec_id", "unit", "copies", "far"))
     k = len(at)
-    bounds = blocks.groupBy("label", "dim", "block").agg(*[F.min(F.get("far", F.lit(n))).alias(f"lo{n}") for n in range(k)], *[F.max(F.get("far", F.lit(n))).alias(f"hi{n}") for n in range(k)])
+    bounds = blocks.groupBy("label", "dim", "block").agg(F.count("*").alias("n"), *[F.min(F.get("far", F.lit(n))).alias(f"lo{n}") for n in range(k)], *[F.max(F.get("far", F.lit(n))).alias(f"hi{n}") for n in range(k)])
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     p, q = bounds.alias("p"), bounds.alias("q")
     close = F.lit(True)
