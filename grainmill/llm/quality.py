@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A line in more distinct texts of one host than this is boilerplate.
 MAX_DOCS = 50
@@ -83,13 +85,24 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DO
     whole = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("body"), F.col(host).cast("string").alias("host"), lines(_text()).alias("l"))
     each = whole.select(
         "key", "doc_id", "body", "host",
-        F.explode(F.transform("l", lambda x: F.struct(normalised(x).alias("line"), F.length(F.regexp_replace(x, BLANKS, "")).alias("chars")))).alias("x"),
+        F.posexplode(F.transform("l", lambda x: F.struct(normalised(x).alias("line"), F.length(F.regexp_replace(x, BLANKS, "")).alias("chars")))).alias("place", "x"),
     )
-    rows = each.select("key", "doc_id", "body", F.xxhash64(F.col("host").isNull(), "host", "x.line").alias("h"), F.col("x.chars").alias("chars"))
+    rows = each.select("key", "doc_id", "body", "place", F.xxhash64(F.col("host").isNull(), "host", "x.line").alias("h"), F.col("x.chars").alias("chars"))
     once = rows.groupBy("h", "body").agg(F.min("doc_id").alias("doc_id"))
     common = once.groupBy("h").agg(F.count("*").alias("texts"), F.min_by("body", F.struct("doc_id", "body")).alias("keeper")).where(F.col("texts") > max_docs)
     gone = rows.join(common.select("h", "keeper"), "h").where("body != keeper")
-    return gone.groupBy("key").agg(F.collect_set("h").alias("removed"), F.sum("chars").alias("removed_chars"))
+    once = gone.groupBy("key", "place").agg(F.first("h").alias("h"), F.first("chars").alias("chars"))  # equal rows have one key
+    return once.groupBy("key").agg(F.collect_set("h").alias("removed"), F.sum("chars").alias("removed_chars"))
+
+
+def _verdicts(docs: DataFrame, host: str, max_docs: int, min_left: float) -> DataFrame:
+    """Base rules of each row with its key, the hashes of the lines it loses, and the verdict."""
+    slim = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
+    measured = base_rules(slim).drop("text")
+    lost = frequent_lines(docs, host, max_docs)
+    gone = F.coalesce("removed_chars", F.lit(0))
+    kept = ~F.col("base_failed") & (F.col("word_chars") - gone >= min_left * F.col("word_chars"))
+    return measured.join(lost, "key", "left").withColumn("removed_chars", gone).withColumn("kept", kept)
 
 
 def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
@@ -100,17 +113,7 @@ def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min
     and fail.  Rows may be equal or share a doc_id, other columns may have any names,
     and an empty table gives no rows.
     """
-    slim = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
-    measured = base_rules(slim).drop("text")
-    # documents too large for a group: line removal of any share up to the whole text
-    lost = frequent_lines(docs, host, max_docs).groupBy("key").agg(F.min("removed_chars").alias("removed_chars"))
-    copies = F.coalesce("removed_chars", F.lit(0))
-    left = F.col("word_chars") - copies
-    return measured.join(lost, "key", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (left >= min_left * F.col("word_chars"))).alias("kept"),
-        copies.alias("removed_chars"),
-    )
+    return _verdicts(docs, host, max_docs, min_left).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
 
 
 def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
@@ -119,9 +122,10 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_l
     Empty lines stay where they stood.  n_chars, where there is one, follows the text.
     """
     names = docs.columns
-    keyed = base_rules(docs.withColumn("_key", row_key(docs)))
-    lost = frequent_lines(docs, host, max_docs).withColumnRenamed("key", "_key").withColumnRenamed("removed", "_removed").withColumnRenamed("removed_chars", "_chars")
-    joined = keyed.where("not base_failed").join(lost, "_key", "left").where(F.col("_removed").isNull() | (F.col("word_chars") - F.col("_chars") >= min_left * F.col("word_chars")))
+    # written first: a filter on the verdict would be pushed into the array expressions and repeat them
+    verdicts = cut(_verdicts(docs, host, max_docs, min_left).select("key", "kept", "removed"))
+    good = verdicts.where("kept").groupBy(F.col("key").alias("_key")).agg(F.first("removed").alias("_removed"))
+    joined = docs.withColumn("_key", row_key(docs)).join(good, "_key")
     own = F.col(host).cast("string")
     stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_removed", F.xxhash64(own.isNull(), own, normalised(x))) | ~x.rlike(r"[^\x20\x09-\x0D]"))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
