@@ -23,7 +23,7 @@ from .common import LOWER_ASCII, as_bytes, cut
 WINDOW = 2048
 END_ID = 1
 #: Words a worker remembers the ids of; the memory is emptied when it is full.
-REMEMBERED = 900_000
+REMEMBERED = 250_000
 
 
 #: A comma or full stop between a letter and a blank is a token run of its own.

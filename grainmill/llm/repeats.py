@@ -155,9 +155,9 @@ def maximal_groups(segments: list[bytes], min_length: int) -> list[tuple[int, li
         return []
     heads = PrefixHash(data).windows(min_length)
     lengths = np.maximum(np.diff(offsets) - min_length + 1, 0)
-    owner = np.repeat(np.arange(len(segments)), lengths)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = offsets[owner] + start
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), lengths)
+    start = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    place = (offsets[owner] + start).astype(np.int32)
     head = heads[place]
     order = np.argsort(head, kind="stable")
     head = head[order]
@@ -176,8 +176,8 @@ def maximal_groups(segments: list[bytes], min_length: int) -> list[tuple[int, li
     return groups
 
 
-def _searcher(min_length: int, groups: bool, target: int = 4 << 20):
-    """Streams segments sorted by anchor and searches whole anchors, some megabytes at a time.
+def _searcher(min_length: int, groups: bool, target: int = 1 << 20):
+    """Streams segments sorted by anchor and searches whole anchors, a megabyte at a time.
 
     Gives a row for each member of each maximal repeat, or with ``groups`` false one row
     for each segment with the ranges that repeats cover in it.
