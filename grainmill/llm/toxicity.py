@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, as_bytes
+from .common import LOWER_ASCII, as_bytes, cut
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -149,18 +149,18 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic") -> pd.DataFrame:
     """A model from the labelled rows of ``docs`` and ``labels(doc_id, <label>)``.
 
-    Fitted on ``sample`` rows of each label at most, taken in the order of a hash of
-    their ids, with the labels' shares kept by a correction of the bias; only hashed
-    terms reach the one task that fits, and only the model, of at most 2**18 rows,
-    reaches the driver.  Texts that hold the same terms count once.
+    Fitted on ``sample`` ids of each label at most, taken in the order of a hash, with
+    the labels' shares kept by a correction of the bias.  The chosen ids go to the texts
+    by a broadcast of that bound, so no text is shuffled; only hashed terms reach the one
+    task that fits, and only the model, of at most 2**18 rows, reaches the driver.  An id
+    with several texts gives one of them, and texts that hold the same terms count once.
     """
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
-    both = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    shares = {r["y"]: r["n"] for r in both.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rows = None
-    for y in (0, 1):
-        part = bag_table(both.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).repartition(8, "doc_id"), "y")
-        rows = part if rows is None else rows.unionByName(part)
+    present = docs.select(F.col("doc_id").alias("_id"))
+    known = cut(labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).join(present, "_id", "left_semi").distinct())
+    shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    zero, one = (known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(zero.unionByName(one)), F.col("doc_id") == F.col("_id"))
+    rows = bag_table(chosen, "doc_id", "y").groupBy("doc_id", "y").agg(F.min("bag").alias("bag")).select("y", "bag")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
