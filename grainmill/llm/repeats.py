@@ -205,6 +205,10 @@ def _searcher(min_length: int, groups: bool, target: int = 1 << 20):
         return pd.DataFrame({"h": pdf["h"].to_numpy()[o], "sid": pdf["sid"].to_numpy()[o], "rid": np.array([r[1] for r in rows], np.int64), "length": np.array([r[2] for r in rows], np.int32), "start": np.array([r[3] for r in rows], np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # blocks without repeats give no frame: an empty list of ranges has no type in pandas
+        yield from (found for found in blocks(batches) if len(found))
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
         held = 0
         for pdf in batches:
