@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import LOWER_ASCII, as_bytes, cut
+from .common import LOWER_ASCII, PrefixHash, as_bytes, cut, mix64
 from .graph import connected_components, forest
 
 RADIUS = 3
@@ -21,6 +22,22 @@ BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: Buckets above this many distinct fingerprints are split by further bits.
 HOT_BUCKET = 4096
 
+#: What ``keep_one`` takes for near copies.
+NEAR_WIDTH = 5
+NEAR_SIMILARITY = 0.8
+#: Its SimHash has more bits, and each band of them is a bucket's key: texts of similarity 0.8
+#: differ in 0.15 of the bits, so they share one of the 96 bands of 18 bits in 99 of 100 cases.
+WIDE = 512
+WIDE_SEEDS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, WIDE // 64, dtype=np.uint64)
+BAND = 18
+BANDS = np.concatenate([np.random.Generator(np.random.PCG64(k)).permutation(WIDE)[: 24 * BAND].reshape(24, BAND) for k in range(4)])
+#: Of 128 bits 19 differ at similarity 0.8, with a standard deviation of 4.
+WIDE_RADIUS = 34
+#: Buckets above ``CROWDED`` members or ``PAIRS`` close pairs a member get stars in the first bands, then what stars left.
+CROWDED = 256
+PAIRS = 4
+STAR_BANDS = 12
+
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """SimHash of the word shingles of a text; no words: zero."""
@@ -205,12 +222,193 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, hot:
     return prints.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id, all columns kept.
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted hashes of the different word shingles of a text; a text of fewer words is one shingle, without words none."""
+    words = text.translate(LOWER_ASCII).split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    if len(words) > width:
+        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    return np.unique(PrefixHash(np.frombuffer(b" ".join(words), dtype=np.uint8)).spans(starts, ends))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """The ``WIDE`` bits of the SimHash of a set of shingle hashes."""
+    counts = np.zeros(WIDE, dtype=np.int64)
+    for lo in range(0, len(hashes), 255):  # up to 255 rows fit a byte's sum
+        words = mix64(hashes[lo : lo + 255, None] + WIDE_SEEDS)
+        bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return (2 * counts > len(hashes)).astype(np.uint8)
+
+
+def _sign(width: int):
+    """Add to each batch of (own, text): the words' digest, 128 bits of the wide SimHash, and the keys of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = as_bytes(batch.column(1))
+            n = batch.num_rows
+            norm, bits = np.zeros(n, dtype=np.uint64), np.zeros((n, WIDE), dtype=np.uint8)
+            for i in range(n):
+                text = flat[at[i] : at[i + 1]].tobytes()
+                norm[i] = xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER_ASCII).split()), 42)
+                bits[i] = wide_bits(shingles(text, width))
+            near = np.packbits(bits[:, :128], axis=1, bitorder="little").view("<u8").view(np.int64)
+            keys = np.zeros((n, len(BANDS)), dtype=np.int32)
+            for k, band in enumerate(BANDS):
+                keys[:, k] = bits[:, band] @ (1 << np.arange(BAND, dtype=np.int32)) + (k << BAND)
+            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(BANDS), pa.array(keys.ravel()))
+            columns = [batch.column(0), pa.array(norm.view(np.int64)), pa.array(near[:, 0].copy()), pa.array(near[:, 1].copy()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["own", "norm", "x", "y", "keys"])
+
+    return run
+
 
-    Of several rows with that doc_id the one with the smallest text stays.
+def _close(x: np.ndarray, y: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= WIDE_RADIUS
+
+
+def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by key, cut between buckets."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        key = pdf["key"].to_numpy()
+        at = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
+        if held and len(key) and (at or held[-1]["key"].iloc[-1] != key[-1]):
+            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
+            held = []
+        if len(key):
+            held.append(pdf.iloc[at:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Close pairs (a, b) of each bucket.
+
+    A crowded bucket gives its key as ``dense`` instead, and in the first bands stars
+    around leaders besides; ``_remainder`` looks through its other pairs.
+    """
+    for pdf in _whole_buckets(batches):
+        key, rep = pdf["key"].to_numpy(), pdf["rep"].to_numpy()
+        x, y = pdf["x"].to_numpy().view(np.uint64), pdf["y"].to_numpy().view(np.uint64)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        sizes = np.diff(bounds)
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        crowded = sizes > CROWDED
+        left = bounds[1:][bucket] - np.arange(len(key))  # members from here to the bucket's end
+        rows = np.flatnonzero((left > 1) & ~crowded[bucket])
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, CROWDED):
+            rows = rows[left[rows] > d]
+            if not len(rows):
+                break
+            hit = rows[_close(x, y, rows, rows + d)]
+            found_a.append(hit)
+            found_b.append(hit + d)
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        crowded |= np.bincount(bucket[a], minlength=len(sizes)) > PAIRS * sizes
+        keep = ~crowded[bucket[a]]
+        yield pd.DataFrame({"a": rep[a[keep]], "b": rep[b[keep]]}).assign(dense=pd.Series(dtype="Int32"))
+        for i in np.flatnonzero(crowded):
+            yield pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "dense": pd.array([key[bounds[i]]], "Int32")})
+            if key[bounds[i]] >> BAND >= STAR_BANDS:
+                continue
+            open_ = np.arange(bounds[i], bounds[i + 1])
+            open_ = open_[np.argsort(mix64(rep[open_].view(np.uint64) + np.uint64(key[bounds[i]])))]
+            while len(open_) > 1:
+                hit = _close(x, y, open_[1:], open_[0])
+                near = open_[1:][hit]
+                if len(near):
+                    yield pd.DataFrame({"a": rep[open_[0]], "b": rep[near]}).assign(dense=pd.Series(dtype="Int32"))
+                open_ = open_[1:][~hit]
+
+
+def _remainder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Close pairs (a, b) of crowded buckets whose ends are not joined yet; ``part``: what joins them."""
+    for pdf in _whole_buckets(batches):
+        key, rep, part = pdf["key"].to_numpy(), pdf["rep"].to_numpy(), pdf["part"].to_numpy()
+        x, y = pdf["x"].to_numpy().view(np.uint64), pdf["y"].to_numpy().view(np.uint64)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            values, counts = np.unique(part[lo:hi], return_counts=True)
+            main = values[np.argmax(counts)]  # pairs within the largest part need no look
+            for i in lo + np.flatnonzero(part[lo:hi] != main):
+                other = lo + np.flatnonzero((part[lo:hi] != part[i]) & ((np.arange(lo, hi) > i) | (part[lo:hi] == main)))
+                near = other[_close(x, y, other, i)]
+                if len(near):
+                    yield pd.DataFrame({"a": rep[i], "b": rep[near]})
+
+
+def _similar(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for c in (2, 3):
+                flat, at = as_bytes(batch.column(c))
+                sets.append([flat[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)])
+            keep, last, one = np.zeros(batch.num_rows, dtype=bool), None, None
+            for i, (s, t) in enumerate(zip(*sets, strict=True)):
+                if s != last:
+                    last, one = s, shingles(s, width)
+                two = shingles(t, width)
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep[i] = common >= similarity * (len(one) + len(two) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def similar_links(signed: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """Links (a, b) between texts of ``signed(norm, x, y, keys, text)`` whose shingle sets have that Jaccard similarity.
+
+    Candidates agree on all bits of one band of the wide SimHash at least and differ in
+    ``WIDE_RADIUS`` of 128 bits at most; their texts decide.  Pairs of a crowded bucket
+    are left out only where verified links join them already.
+    """
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("norm")).distinct()
+        own = cut(signed.select("norm", "text").join(ends, "norm", "left_semi").groupBy("norm").agg(F.min("text").alias("text")))
+        both = pairs.join(own.select(F.col("norm").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("norm").alias("a"), F.col("text").alias("ta")), "a")
+        return cut(both.select("a", "b", "ta", "tb").mapInArrow(_similar(width, similarity), "a long, b long"))
+
+    reps = cut(signed.where("text is not null").select("norm", "x", "y", "keys").dropDuplicates(["norm"]))
+    rows = reps.select(F.col("norm").alias("rep"), "x", "y", F.explode("keys").alias("key"))
+    found = cut(rows.repartition("key").sortWithinPartitions("key").mapInPandas(_candidates, "a long, b long, dense int"))
+    links = verified(found.where("dense is null").select("a", "b"))
+    dense = found.where("dense is not null").select(F.col("dense").alias("key"))
+    if dense.isEmpty():
+        return links
+    parts = cut(connected_components(links))
+    crowd = rows.join(dense, "key", "left_semi")
+    crowd = crowd.join(parts, crowd["rep"] == parts["id"], "left").select("key", "rep", "x", "y", F.coalesce("component", "rep").alias("part"))
+    more = crowd.repartition("key").sortWithinPartitions("key").mapInPandas(_remainder, "a long, b long")
+    return links.unionByName(verified(more))
+
+
+def keep_one(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id, all columns kept.
+
+    Two texts are near copies when their sets of ``width``-word shingles have that
+    Jaccard similarity at least, or when their words are the same but for case and
+    spacing; near copies of near copies belong to the group.  Texts without words
+    are one group.  Of several rows of a group with the smallest doc_id the one whose text
+    has the smallest digest stays, a null text last.  A null doc_id comes after all others.
     """
-    found = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct()
-    names = docs.columns
-    same = docs.join(found, "doc_id", "left_semi")
-    return same.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.col("text").isNull(), F.col("text"))).alias("row")).select(*[F.col("row")[c].alias(c) for c in names])
+    text = F.col("text").cast("string")
+    given = docs.select(F.struct(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")).alias("own"), text.alias("text"))
+    schema = StructType([given.schema["own"], *StructType.fromDDL("norm long, x long, y long, keys array<int>").fields])
+    signed = cut(given.mapInArrow(_sign(width), schema)).select("own.*", "norm", "x", "y", "keys")
+    words = F.col("row.text").cast("string")
+    parts = connected_components(similar_links(signed.select("norm", "x", "y", "keys", words.alias("text")), width, similarity))
+    # texts stay out of this aggregation: their digest tells rows of one doc_id apart
+    order = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("i"), words.isNull().alias("e"), F.xxhash64(words).alias("h"))
+    rows = signed.select("uid", "norm", order.alias("order")).join(parts, F.col("norm") == F.col("id"), "left")
+    kept = cut(rows.groupBy(F.coalesce("component", "norm").alias("group")).agg(F.min_by("uid", "order").alias("uid")).select("uid"))
+    return signed.select("uid", "row").join(kept, "uid", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from grainmill.llm import simhash
@@ -96,3 +97,57 @@ def test_keep_one(spark):
     kept = simhash.keep_one(docs(spark)).collect()
     assert [r.doc_id for r in kept if r.doc_id in (1, 2, 3, 4, 7, 8)].__len__() == 3
     assert {r.doc_id for r in kept} >= {1, 3, 5, 6, 7, 11}
+
+
+def jaccard(s, t):
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (s.lower().split(), t.lower().split()))
+    return len(one & two) / len(one | two)
+
+
+def planted(rng, n):
+    """Pairs of a text and a copy with a few words replaced, in one place or in several; with their similarity."""
+    out = []
+    while len(out) < n:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 300))]
+        copy, edits, at = list(words), rng.randrange(1, 12), rng.randrange(len(words) // 2)
+        for k in range(edits) if len(out) % 2 else range(at, at + edits * 2):
+            copy[k if len(out) % 2 == 0 else rng.randrange(len(copy))] = f"new{k}x{rng.randrange(10**6)}"
+        s, t = " ".join(words), " ".join(copy)
+        if abs(jaccard(s, t) - 0.8) > 0.01 and jaccard(s, t) > 0.6:
+            out.append((s, t, jaccard(s, t)))
+    return out
+
+
+def test_keep_one_takes_near_copies_at_five_words(spark):
+    pairs = planted(random.Random(11), 400)
+    data = [(2 * i + k, pairs[i][k], "en", "s", 0, "", "", 0) for i in range(len(pairs)) for k in (0, 1)]
+    left = {r.doc_id for r in simhash.keep_one(docs(spark, data)).collect()}
+    assert left >= {2 * i for i in range(len(pairs))}
+    assert all(2 * i + 1 in left for i, p in enumerate(pairs) if p[2] < 0.8)
+    for lo, hi, recall in ((0.8, 0.85, 0.95), (0.85, 0.9, 0.98), (0.9, 1, 1)):
+        gone = [2 * i + 1 not in left for i, p in enumerate(pairs) if lo <= p[2] < hi]
+        assert len(gone) > 20 and sum(gone) >= recall * len(gone), (lo, sum(gone), len(gone))
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    data = []
+    for i in range(120):  # 0-59 near one text, 60-119 near another that is far from it but alike in hashing
+        words = list(base)
+        if i >= 60:
+            words[100:120] = [f"other{k}" for k in range(20)]
+        for _ in range(2):
+            words[rng.randrange(90)] = f"own{i}x{rng.randrange(10**6)}"
+        data.append((i, " ".join(words), "en", "s", 0, "", "", 0))
+    links = [(a[0], b[0]) for a in data for b in data if a[0] < b[0] and jaccard(a[1], b[1]) >= 0.8]
+    want = set(plain_components(range(120), links).values())
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, data)).collect()} == want
+
+
+def test_what_stars_leave_is_compared():
+    n = 40
+    frame = {"key": [7] * n, "rep": np.arange(n), "x": [0] * n, "y": [0] * n, "part": [0] * 36 + [1, 1, 2, 3]}
+    found = pd.concat(list(simhash._remainder(iter([pd.DataFrame(frame)[:20], pd.DataFrame(frame)[20:]]))))
+    pairs = {tuple(sorted(p)) for p in zip(found["a"].tolist(), found["b"].tolist(), strict=True)}
+    assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n) if frame["part"][i] != frame["part"][j]}
