@@ -48,6 +48,18 @@ def test_models_tell_kinds_apart(spark):
     assert found[500].verdict == "allow" and found[501].verdict == "block" and found[500].score > found[501].score
 
 
+def test_models_read_all_ruled_urls(spark):
+    def found(extra):
+        good = [(i, f"http://news{chr(97 + i % 26)}.com/article/{'abcde'[i // 26]}") for i in range(130)]
+        bad = [(200 + i, f"http://site{chr(97 + i % 26)}.net/es/{'abcde'[i // 26]}") for i in range(130)]
+        table = spark.createDataFrame(good + bad + extra + [(500, "http://b.org/qjxz")], "page_id long, url string")
+        return next(r.score for r in urls.judge(table, sample=10).collect() if r.page_id == 500)
+
+    bare = found([])
+    assert found([(600 + i, f"http://c.com/{'long/' * 60}{'abcdefghijkl'[i]}/qjxz") for i in range(12)]) > bare + 0.5
+    assert found([(600 + i, f"http://c.net/es/{'abcdefghijkl'[i]}/qjxz") for i in range(12)]) < bare - 0.5
+
+
 def test_scan(spark):
     extra = [
         (50, "Released under the MIT License.", {"mit"}),
