@@ -151,3 +151,9 @@ def test_what_stars_leave_is_compared():
     found = pd.concat(list(simhash._remainder(iter([pd.DataFrame(frame)[:20], pd.DataFrame(frame)[20:]]))))
     pairs = {tuple(sorted(p)) for p in zip(found["a"].tolist(), found["b"].tolist(), strict=True)}
     assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n) if frame["part"][i] != frame["part"][j]}
+
+
+def test_keep_one_loses_no_row_without_a_near_copy(spark):
+    data = [(None, "a text without an id that stands alone here"), (1, "the copy of number zero in as many words"), (1, "a unique text under the same id as that copy"), (0, "the copy of number zero in as many words"), (None, "The copy of number zero in as many words")]
+    found = simhash.keep_one(docs(spark, [(i, t, "en", "s", 0, "", "", 0) for i, t in data])).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted([data[0], data[2], data[3]], key=str)
