@@ -57,10 +57,12 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         seen = mark
         # large star: the larger end of a link goes to the smallest neighbour of its smaller end, or to that end
-        low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        # written first, so that the join can split the links of a large component's root
+        low = cut(edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")))
         big = edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         # small star: all smaller neighbours of a node, and the node, go to the smallest of them
+        big = cut(big)
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.*").where("a > b").distinct())
+        edges = cut(small.select("e.*").where("a > b").distinct(), edges, low, big)
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: pigeonhole buckets, each compared bit plane by bit plane."""
+"""SimHash near-duplicates: blocks of candidates, each compared bit plane by bit plane."""
 
 from __future__ import annotations
 
@@ -11,9 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import LOWER_ASCII, PrefixHash, as_bytes, cut, mix64
+from .common import as_bytes, bounded, cut, discard, mix64, shingle_runs
 from .graph import connected_components, forest
 
 RADIUS = 3
@@ -25,40 +24,40 @@ HOT_BUCKET = 4096
 #: What ``keep_one`` takes for near copies.
 NEAR_WIDTH = 5
 NEAR_SIMILARITY = 0.8
-#: Its SimHash has more bits, and each band of them is a bucket's key: texts of similarity 0.8
-#: differ in 0.15 of the bits, so they share one of the 96 bands of 18 bits in 99 of 100 cases.
-WIDE = 512
-WIDE_SEEDS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, WIDE // 64, dtype=np.uint64)
-BAND = 18
-BANDS = np.concatenate([np.random.Generator(np.random.PCG64(k)).permutation(WIDE)[: 24 * BAND].reshape(24, BAND) for k in range(4)])
-#: Of 128 bits 19 differ at similarity 0.8, with a standard deviation of 4.
-WIDE_RADIUS = 34
-#: Buckets above ``CROWDED`` members or ``PAIRS`` close pairs a member get stars in the first bands, then what stars left.
-CROWDED = 256
-PAIRS = 4
-STAR_BANDS = 12
+#: Blocks of candidates there: texts that agree in the smallest shingle hash under all functions of a band.
+#: At similarity 0.8 two texts share one of the bands in 99.9 of 100 cases.
+BANDS, ROWS = 18, 5
+FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of the 128 bits compared in a block 19 differ at similarity 0.8, with a standard deviation of 4.
+NEAR_RADIUS = 38
+#: Texts of a block at most; larger ones are dealt to several.
+CROWDED = 2048
+
+
+def count_bits(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray) -> None:
+    """Add to ``counts[row]`` how often each bit is set; ``row`` ascends."""
+    for lo in range(0, len(hashes), 1 << 16):
+        part, own = hashes[lo : lo + (1 << 16)], row[lo : lo + (1 << 16)]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+
+
+def prints(flat: np.ndarray, at: np.ndarray, width: int = 3) -> np.ndarray:
+    """SimHash of the word shingles of each row; no words: zero."""
+    n = len(at) - 1
+    counts, total = np.zeros((n, 64), dtype=np.int64), np.zeros(n, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    for text, start, end, row in shingle_runs(flat, at, width):
+        hashes = np.array([digest(text[s:e], 42) for s, e in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
+        count_bits(hashes, row, counts)
+        total += np.bincount(row, minlength=n)
+    return np.packbits((2 * counts > total[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """SimHash of the word shingles of a text; no words: zero."""
-    words = text.translate(LOWER_ASCII).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > width:
-        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
-    for lo in range(0, len(starts), 65536):
-        pairs = zip(starts[lo : lo + 65536].tolist(), ends[lo : lo + 65536].tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], 42) for s, e in pairs], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(prints(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), width)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -66,18 +65,18 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = as_bytes(batch.column(1))
-            fps = np.array([fingerprint(flat[at[i] : at[i + 1]].tobytes(), width) for i in range(batch.num_rows)], dtype=np.uint64)
+            fps = prints(*as_bytes(batch.column(1)), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row b holds bit b of every fingerprint, 64 fingerprints to a word."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes: row b holds bit b of every fingerprint, 64 fingerprints to a word; ``fps``: one or more words each."""
+    fps = np.ascontiguousarray(fps).reshape(len(fps), -1)
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
-    padded = np.zeros((64, -(-packed.shape[1] // 8) * 8), dtype=np.uint8)
+    padded = np.zeros((64 * fps.shape[1], -(-packed.shape[1] // 8) * 8), dtype=np.uint8)
     padded[:, : packed.shape[1]] = packed
     return padded.view("<u8")
 
@@ -85,58 +84,52 @@ def planes(fps: np.ndarray) -> np.ndarray:
 def within(queries: np.ndarray, block: np.ndarray, n: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, member) at most ``radius`` bits apart; ``block``: planes of n members.
 
-    Three carry-save counter planes count differing bits up to seven, and a fourth
-    keeps overflow.  The scan over bit planes stops as soon as every member of the
-    block is beyond the radius for every query.
+    Carry-save counter planes count differing bits of all members at once.  They start
+    so far up that a count beyond the radius runs over, which one more plane keeps.
+    The scan over bit planes stops as soon as every member has run over for every query.
     """
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    queries = queries.reshape(len(queries), -1)
     shape = (len(queries), block.shape[1])
-    one, two, four, over = (np.zeros(shape, dtype=np.uint64) for _ in range(4))
-    for b in range(64):
-        flip = np.where((queries >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
-        x = block[b][None, :] ^ flip[:, None]
-        carry = one & x
-        one ^= x
-        x = two & carry
-        two ^= carry
-        carry = four & x
-        four ^= x
+    depth = int(radius).bit_length() or 1
+    start = (1 << depth) - 1 - radius
+    counter = [np.full(shape, full if start >> k & 1 else 0, dtype=np.uint64) for k in range(depth)]
+    over = np.zeros(shape, dtype=np.uint64)
+    for b in range(64 * queries.shape[1]):
+        flip = np.where((queries[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1), full, np.uint64(0))
+        carry = block[b][None, :] ^ flip[:, None]
+        for k in range(depth):
+            kept = counter[k] ^ carry
+            carry &= counter[k]
+            counter[k] = kept
         over |= carry
-        if b % 8 == 7 and (_beyond(one, two, four, over, radius) == full).all():
+        if b % 8 == 7 and b > radius and (over == full).all():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    near = ~_beyond(one, two, four, over, radius)
-    hits = np.unpackbits(near.view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little")[:, :n]
+    hits = np.unpackbits((~over).view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little")[:, :n]
     return np.nonzero(hits)
 
 
-def _beyond(one, two, four, over, radius: int) -> np.ndarray:
-    """Members whose count exceeds the radius (0 to 6)."""
-    out = over.copy()
-    for value in range(radius + 1, 8):
-        term = np.full(one.shape, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        for bit, plane in ((1, one), (2, two), (4, four)):
-            term &= plane if value & bit else ~plane
-        out |= term
-    return out
-
-
-def bucket_links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the members of each bucket ``[bounds[i], bounds[i+1])``, thinned to trees."""
+def small_pairs(fp: np.ndarray, bounds: np.ndarray, most: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius in buckets of at most ``most`` rows, all of them side by side: row i and row i + d."""
     sizes = np.diff(bounds)
-    out_a, out_b = [], []
-    small = sizes <= 16
-    # small buckets: all of them side by side, member i against member i+d of the same bucket
-    rows = np.flatnonzero(np.repeat(small & (sizes > 1), sizes))
-    left = (np.repeat(bounds[1:], sizes) - np.arange(len(fp)))[rows]  # members from here to the bucket's end
-    for d in range(1, 16):
+    rows = np.flatnonzero(np.repeat((sizes <= most) & (sizes > 1), sizes))
+    left = (np.repeat(bounds[1:], sizes) - np.arange(len(fp)))[rows]  # rows from here to the bucket's end
+    words = 1 if fp.ndim == 1 else fp.shape[1]
+    for d in range(1, most):
         rows, left = rows[left > d], left[left > d]
         if not len(rows):
             break
-        diff = planes(fp[rows] ^ fp[rows + d])
-        _, hit = within(np.zeros(1, np.uint64), diff, len(rows), radius)
-        out_a.append(rep[rows[hit]])
-        out_b.append(rep[rows[hit] + d])
-    for i in np.flatnonzero(~small):
+        _, hit = within(np.zeros((1, words), np.uint64), planes(fp[rows] ^ fp[rows + d]), len(rows), radius)
+        yield rows[hit], rows[hit] + d
+
+
+def bucket_links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the members of each bucket ``[bounds[i], bounds[i+1])``, thinned to trees."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in small_pairs(fp, bounds, 16, radius):
+        out_a.append(rep[i])
+        out_b.append(rep[j])
+    for i in np.flatnonzero(np.diff(bounds) > 16):
         own, ids = fp[bounds[i] : bounds[i + 1]], rep[bounds[i] : bounds[i + 1]]
         for lo in range(0, len(own), 4096):
             block, n = planes(own[lo : lo + 4096]), min(4096, len(own) - lo)
@@ -148,29 +141,39 @@ def bucket_links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, radius: in
             if sum(map(len, out_a)) > 1_000_000:
                 a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
                 out_a, out_b = [a], [b]
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return forest(np.concatenate(out_a), np.concatenate(out_b))
 
 
+def whole_buckets(batches: Iterator[pd.DataFrame], least: int = 10_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches sorted by key, cut between buckets, of ``least`` rows and more, with the buckets' bounds."""
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def out(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        pdf = pd.concat(parts, ignore_index=True)
+        key = pdf["key"].to_numpy()
+        return pdf, np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        key = pdf["key"].to_numpy()
+        at = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+        if size + at >= least and (at or held[-1]["key"].iloc[-1] != key[-1]):
+            yield out([*held, pdf.iloc[:at]])
+            held, size = [], 0
+            pdf = pdf.iloc[at:]
+        held.append(pdf)
+        size += len(pdf)
+    if held:
+        yield out(held)
+
+
 def _linker(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            key = pdf["key"].to_numpy()
-            cut_at = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-            rest, done = pdf.iloc[cut_at:], pdf.iloc[:cut_at]
-            if len(done):
-                yield links(done)
-        if rest is not None and len(rest):
-            yield links(rest)
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["key"].to_numpy()
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        a, b = bucket_links(pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), bounds, radius)
-        return pd.DataFrame({"a": a, "b": b})
+        for pdf, bounds in whole_buckets(batches):
+            a, b = bucket_links(pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), bounds, radius)
+            yield pd.DataFrame({"a": a, "b": b})
 
     return run
 
@@ -191,7 +194,8 @@ def near_links(reps: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) ->
     pairs = list(combinations(range(5), 2))
     keys = [F.xxhash64(F.lit(n), _bits(*BLOCKS[i]), _bits(*BLOCKS[j])) for n, (i, j) in enumerate(pairs)]
     rows = reps.select("fp", "rep", F.posexplode(F.array(*keys)).alias("pair", "key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
+    # written before it is joined, so that the rows of a hot key can be split in the join
+    crowded = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot")))
     marked = rows.join(crowded, "key", "left")
     split = None
     for n, (i, j) in enumerate(pairs):
@@ -213,202 +217,192 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, hot:
     so a group of copies costs one row however large it is.  Null and empty texts have
     fingerprint zero and are linked like any other; rows with the same doc_id stay
     apart; other columns of ``docs`` are ignored; an empty table gives no rows.  A row
-    whose doc_id is null takes the component of its fingerprint.
+    whose doc_id is null takes the component of its fingerprint.  Texts of any length are
+    read a slice at a time.
     """
-    prints = cut(fingerprints(docs, width))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    found = cut(fingerprints(docs, width))
+    reps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     parts = connected_components(near_links(reps, radius, hot))
-    owner = reps.join(parts, reps["rep"] == parts["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted hashes of the different word shingles of a text; a text of fewer words is one shingle, without words none."""
-    words = text.translate(LOWER_ASCII).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > width:
-        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    return np.unique(PrefixHash(np.frombuffer(b" ".join(words), dtype=np.uint8)).spans(starts, ends))
-
-
-def wide_bits(hashes: np.ndarray) -> np.ndarray:
-    """The ``WIDE`` bits of the SimHash of a set of shingle hashes."""
-    counts = np.zeros(WIDE, dtype=np.int64)
-    for lo in range(0, len(hashes), 255):  # up to 255 rows fit a byte's sum
-        words = mix64(hashes[lo : lo + 255, None] + WIDE_SEEDS)
-        bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint8)
-    return (2 * counts > len(hashes)).astype(np.uint8)
+    owner = cut(reps.join(parts, reps["rep"] == parts["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    return found.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def signatures(flat: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each row: a digest of its words, 128 bits of SimHash, the keys of its bands, and its set of shingles.
+
+    Digest and bits are two words each; the set holds 32 bits of each shingle's hash.
+    Rows without words have no keys that mean anything, and an empty set.
+    """
+    n = len(at) - 1
+    counts, total = np.zeros((n, 128), dtype=np.int64), np.zeros(n, dtype=np.int64)
+    least = np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    sets: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
+    order = [xxhash.xxh3_128(seed=42) for _ in range(n)]
+    digest = xxhash.xxh3_64_intdigest
+    for text, start, end, row in shingle_runs(flat, at, width):
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        hashes = np.array([digest(text[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        for r, lo, hi in zip(row[first].tolist(), first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
+            order[r].update(hashes[lo:hi].tobytes())  # the shingles in turn tell the words in turn
+            sets[r] = np.unique(np.concatenate([sets[r], short[lo:hi]]) if len(sets[r]) else short[lo:hi])
+        for k, factor in enumerate(FACTORS):
+            found = np.minimum.reduceat(hashes * factor, first)
+            least[row[first], k] = np.minimum(least[row[first], k], found)
+        count_bits(mix64(hashes), row, counts[:, :64])
+        count_bits(mix64(hashes ^ np.uint64(0x9E3779B97F4A7C15)), row, counts[:, 64:])
+        total += np.bincount(row, minlength=n)
+    bits = np.packbits((2 * counts > total[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    norm = np.frombuffer(b"".join(x.digest() for x in order), dtype="<u8").reshape(n, 2)
+    keys = np.zeros((n, BANDS), dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mix64(keys + least[:, k::ROWS])
+    return norm, bits, mix64(keys + np.arange(BANDS, dtype=np.uint64)), sets
 
 
 def _sign(width: int):
-    """Add to each batch of (own, text): the words' digest, 128 bits of the wide SimHash, and the keys of its bands."""
+    """Put :func:`signatures` in the place of each batch's last column, the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = as_bytes(batch.column(1))
+            norm, bits, keys, sets = signatures(*as_bytes(batch.column(batch.num_columns - 1)), width)
             n = batch.num_rows
-            norm, bits = np.zeros(n, dtype=np.uint64), np.zeros((n, WIDE), dtype=np.uint8)
-            for i in range(n):
-                text = flat[at[i] : at[i + 1]].tobytes()
-                norm[i] = xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER_ASCII).split()), 42)
-                bits[i] = wide_bits(shingles(text, width))
-            near = np.packbits(bits[:, :128], axis=1, bitorder="little").view("<u8").view(np.int64)
-            keys = np.zeros((n, len(BANDS)), dtype=np.int32)
-            for k, band in enumerate(BANDS):
-                keys[:, k] = bits[:, band] @ (1 << np.arange(BAND, dtype=np.int32)) + (k << BAND)
-            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(BANDS), pa.array(keys.ravel()))
-            columns = [batch.column(0), pa.array(norm.view(np.int64)), pa.array(near[:, 0].copy()), pa.array(near[:, 1].copy()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["own", "norm", "x", "y", "keys"])
+            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel().view(np.int64)))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint32), *sets]).view(np.int32)))
+            words = [pa.array(x.view(np.int64)) for x in (*norm.T.copy(), *bits.T.copy())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *words, lists, shingles], names=[*batch.schema.names[:-1], "n1", "n2", "x", "y", "keys", "shingles"])
 
     return run
 
 
-def _close(x: np.ndarray, y: np.ndarray, i, j) -> np.ndarray:
-    return np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= WIDE_RADIUS
-
-
-def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches sorted by key, cut between buckets."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        key = pdf["key"].to_numpy()
-        at = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-        if held and len(key) and (at or held[-1]["key"].iloc[-1] != key[-1]):
-            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
-            held = []
-        if len(key):
-            held.append(pdf.iloc[at:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
+def common_counts(sets: list[np.ndarray]):
+    """A function of i: how many values ``sets[i]`` shares with each of ``sets``."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    postings = owner[np.argsort(code, kind="stable")]
+    begin, ends = np.cumsum(count) - count, np.cumsum(sizes)
+
+    def of(i: int) -> np.ndarray:
+        own = code[ends[i] - sizes[i] : ends[i]]
+        n = count[own]
+        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(postings[at], minlength=len(sets))
+
+    return of
+
+
+def crowded_links(fp: np.ndarray, sets: list[np.ndarray], part: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of one bucket that join all whose bits are near and whose sets are similar; ``part``: what is joined already."""
+    part = part.copy()
+    if (part == part[0]).all():
+        return
+    sizes, shared = np.array([len(s) for s in sets]), common_counts(sets)
+    block = planes(fp)
+    for lo in range(0, len(fp), 256):
+        q, near = within(fp[lo : lo + 256], block, len(fp), NEAR_RADIUS)
+        bounds = np.searchsorted(q, np.arange(min(256, len(fp) - lo) + 1))
+        for i in range(lo, min(lo + 256, len(fp))):
+            other = near[bounds[i - lo] : bounds[i - lo + 1]]
+            other = other[part[other] != part[i]]
+            if not len(other):
+                continue
+            common = shared(i)[other]
+            for j in other[common >= similarity * (sizes[i] + sizes[other] - common)].tolist():
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    yield i, j
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Close pairs (a, b) of each bucket.
+def _similar_rows(similarity: float):
+    """Links (a, b) of rows (key, rep, part, x, y, shingles) sorted by key, of different parts of a bucket."""
 
-    A crowded bucket gives its key as ``dense`` instead, and in the first bands stars
-    around leaders besides; ``_remainder`` looks through its other pairs.
-    """
-    for pdf in _whole_buckets(batches):
-        key, rep = pdf["key"].to_numpy(), pdf["rep"].to_numpy()
-        x, y = pdf["x"].to_numpy().view(np.uint64), pdf["y"].to_numpy().view(np.uint64)
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        sizes = np.diff(bounds)
-        bucket = np.repeat(np.arange(len(sizes)), sizes)
-        crowded = sizes > CROWDED
-        left = bounds[1:][bucket] - np.arange(len(key))  # members from here to the bucket's end
-        rows = np.flatnonzero((left > 1) & ~crowded[bucket])
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, CROWDED):
-            rows = rows[left[rows] > d]
-            if not len(rows):
-                break
-            hit = rows[_close(x, y, rows, rows + d)]
-            found_a.append(hit)
-            found_b.append(hit + d)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        crowded |= np.bincount(bucket[a], minlength=len(sizes)) > PAIRS * sizes
-        keep = ~crowded[bucket[a]]
-        yield pd.DataFrame({"a": rep[a[keep]], "b": rep[b[keep]]}).assign(dense=pd.Series(dtype="Int32"))
-        for i in np.flatnonzero(crowded):
-            yield pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "dense": pd.array([key[bounds[i]]], "Int32")})
-            if key[bounds[i]] >> BAND >= STAR_BANDS:
-                continue
-            open_ = np.arange(bounds[i], bounds[i + 1])
-            open_ = open_[np.argsort(mix64(rep[open_].view(np.uint64) + np.uint64(key[bounds[i]])))]
-            while len(open_) > 1:
-                hit = _close(x, y, open_[1:], open_[0])
-                near = open_[1:][hit]
-                if len(near):
-                    yield pd.DataFrame({"a": rep[open_[0]], "b": rep[near]}).assign(dense=pd.Series(dtype="Int32"))
-                open_ = open_[1:][~hit]
-
-
-def _remainder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Close pairs (a, b) of crowded buckets whose ends are not joined yet; ``part``: what joins them."""
-    for pdf in _whole_buckets(batches):
-        key, rep, part = pdf["key"].to_numpy(), pdf["rep"].to_numpy(), pdf["part"].to_numpy()
-        x, y = pdf["x"].to_numpy().view(np.uint64), pdf["y"].to_numpy().view(np.uint64)
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            values, counts = np.unique(part[lo:hi], return_counts=True)
-            main = values[np.argmax(counts)]  # pairs within the largest part need no look
-            for i in lo + np.flatnonzero(part[lo:hi] != main):
-                other = lo + np.flatnonzero((part[lo:hi] != part[i]) & ((np.arange(lo, hi) > i) | (part[lo:hi] == main)))
-                near = other[_close(x, y, other, i)]
-                if len(near):
-                    yield pd.DataFrame({"a": rep[i], "b": rep[near]})
-
-
-def _similar(width: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for c in (2, 3):
-                flat, at = as_bytes(batch.column(c))
-                sets.append([flat[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)])
-            keep, last, one = np.zeros(batch.num_rows, dtype=bool), None, None
-            for i, (s, t) in enumerate(zip(*sets, strict=True)):
-                if s != last:
-                    last, one = s, shingles(s, width)
-                two = shingles(t, width)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep[i] = common >= similarity * (len(one) + len(two) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in whole_buckets(batches):
+            fp = pdf[["x", "y"]].to_numpy().view(np.uint64)
+            sets, part, rep = pdf["shingles"].tolist(), pdf["part"].to_numpy(), pdf["rep"].to_numpy()
+            found: list[tuple[int, int]] = []
+            for i, j in small_pairs(fp, bounds, 16, NEAR_RADIUS):
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    if part[a] != part[b]:
+                        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+                            found.append((a, b))
+            for k in np.flatnonzero(np.diff(bounds) > 16):
+                lo, hi = bounds[k], bounds[k + 1]
+                found += [(lo + a, lo + b) for a, b in crowded_links(fp[lo:hi], sets[lo:hi], part[lo:hi], similarity)]
+            yield pd.DataFrame({"a": rep[[a for a, _ in found]], "b": rep[[b for _, b in found]]})
 
     return run
 
 
-def similar_links(signed: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """Links (a, b) between texts of ``signed(norm, x, y, keys, text)`` whose shingle sets have that Jaccard similarity.
+def similar_links(signed: DataFrame, similarity: float = NEAR_SIMILARITY, crowded: int = CROWDED) -> DataFrame:
+    """Links (a, b) between texts of ``signed(n1, x, y, keys, shingles)`` whose shingle sets have that Jaccard similarity.
 
-    Candidates agree on all bits of one band of the wide SimHash at least and differ in
-    ``WIDE_RADIUS`` of 128 bits at most; their texts decide.  Pairs of a crowded bucket
-    are left out only where verified links join them already.
+    Texts that agree in a band stand in one bucket.  There bit planes leave those near
+    enough, and the sets decide.  A bucket of more than ``crowded`` texts is dealt to
+    several; afterwards its texts outside its largest component meet those of all these
+    parts, so that only pairs are left out that links join already.
     """
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("norm")).distinct()
-        own = cut(signed.select("norm", "text").join(ends, "norm", "left_semi").groupBy("norm").agg(F.min("text").alias("text")))
-        both = pairs.join(own.select(F.col("norm").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("norm").alias("a"), F.col("text").alias("ta")), "a")
-        return cut(both.select("a", "b", "ta", "tb").mapInArrow(_similar(width, similarity), "a long, b long"))
-
-    reps = cut(signed.where("text is not null").select("norm", "x", "y", "keys").dropDuplicates(["norm"]))
-    rows = reps.select(F.col("norm").alias("rep"), "x", "y", F.explode("keys").alias("key"))
-    found = cut(rows.repartition("key").sortWithinPartitions("key").mapInPandas(_candidates, "a long, b long, dense int"))
-    links = verified(found.where("dense is null").select("a", "b"))
-    dense = found.where("dense is not null").select(F.col("dense").alias("key"))
-    if dense.isEmpty():
-        return links
-    parts = cut(connected_components(links))
-    crowd = rows.join(dense, "key", "left_semi")
-    crowd = crowd.join(parts, crowd["rep"] == parts["id"], "left").select("key", "rep", "x", "y", F.coalesce("component", "rep").alias("part"))
-    more = crowd.repartition("key").sortWithinPartitions("key").mapInPandas(_remainder, "a long, b long")
-    return links.unionByName(verified(more))
-
-
-def keep_one(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    reps = signed.where(F.size("shingles") > 0).select("n1", "keys", F.size("shingles").alias("m")).dropDuplicates(["n1"])
+    rows = reps.select(F.col("n1").alias("rep"), "m", F.explode("keys").alias("key"))
+    parts = F.ceil(F.greatest(F.count("*") / crowded, F.sum("m") / (crowded * 1024))).cast("int")
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").select("key", "parts"))
+    members = cut(rows.join(again, "key").select("key", "rep", "parts"))
+    ends = cut(members.select("rep").distinct())
+    sets = cut(signed.select(F.col("n1").alias("rep"), "x", "y", "shingles").join(ends, "rep", "left_semi").dropDuplicates(["rep"]), ends)
+
+    def search(dealt: DataFrame) -> DataFrame:
+        full = dealt.join(sets, "rep").select("key", "rep", "part", "x", "y", "shingles")
+        return cut(bounded(full).repartition("key").sortWithinPartitions("key").mapInPandas(_similar_rows(similarity), "a long, b long"))
+
+    own = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")
+    dealt_key = lambda nth: F.when(F.col("parts") > 1, F.xxhash64("key", nth)).otherwise(F.col("key"))
+    links = search(members.select(dealt_key(own).alias("key"), "rep", F.col("rep").alias("part")))
+    large = members.where("parts > 1")
+    if not large.isEmpty():
+        joined = cut(connected_components(links))
+        placed = cut(large.join(joined, large["rep"] == joined["id"], "left").select("key", "rep", "parts", F.coalesce("component", "rep").alias("part")))
+        main = cut(placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
+        everywhere = F.when(F.col("part") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        more = placed.join(main, "key").select("key", "rep", "part", "parts", F.explode(everywhere).alias("nth"))
+        more = search(more.select(dealt_key(F.col("nth")).alias("key"), "rep", "part"))
+        discard(joined, placed, main)
+        links = cut(links.unionByName(more), links, more)
+    discard(again, members, sets)
+    return links
+
+
+def keep_one(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, crowded: int = CROWDED) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, all columns kept.
 
     Two texts are near copies when their sets of ``width``-word shingles have that
     Jaccard similarity at least, or when their words are the same but for case and
-    spacing; near copies of near copies belong to the group.  Texts without words
-    are one group.  Of several rows of a group with the smallest doc_id the one whose text
-    has the smallest digest stays, a null text last.  A null doc_id comes after all others.
+    spacing; near copies of near copies belong to the group.  Texts without words, nulls
+    among them, are one group.  A null doc_id comes after all others; unlike texts that
+    share a doc_id, or have none, are each judged by themselves.  Of rows of a group
+    with the smallest doc_id, one with a text comes before one without, then a hash of
+    the text decides; of rows equal in id and text any one stays.  Columns may have any
+    names; an empty table gives no rows.
     """
-    text = F.col("text").cast("string")
-    given = docs.select(F.struct(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")).alias("own"), text.alias("text"))
-    schema = StructType([given.schema["own"], *StructType.fromDDL("norm long, x long, y long, keys array<int>").fields])
-    signed = cut(given.mapInArrow(_sign(width), schema)).select("own.*", "norm", "x", "y", "keys")
-    words = F.col("row.text").cast("string")
-    parts = connected_components(similar_links(signed.select("norm", "x", "y", "keys", words.alias("text")), width, similarity))
-    # texts stay out of this aggregation: their digest tells rows of one doc_id apart
-    order = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("i"), words.isNull().alias("e"), F.xxhash64(words).alias("h"))
-    rows = signed.select("uid", "norm", order.alias("order")).join(parts, F.col("norm") == F.col("id"), "left")
-    kept = cut(rows.groupBy(F.coalesce("component", "norm").alias("group")).agg(F.min_by("uid", "order").alias("uid")).select("uid"))
-    return signed.select("uid", "row").join(kept, "uid", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    text, ident = F.col("text").cast("string"), F.col("doc_id")
+    # equal keys: equal id and text
+    both = [F.xxhash64(ident.isNull(), ident, text.isNull(), text).alias("k1"), F.xxhash64(F.lit(1), text, ident.isNull(), ident).alias("k2")]
+    given = docs.select(*both, ident.alias("i"), text.isNull().alias("e"), text.alias("t"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = cut(bounded(given).mapInArrow(_sign(width), f"k1 long, k2 long, i {kind}, e boolean, n1 long, n2 long, x long, y long, keys array<long>, shingles array<int>"))
+    links = similar_links(signed, similarity, crowded)
+    found = cut(connected_components(links), links)
+    parts = cut(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()), found)
+    rows = signed.groupBy("k1", "k2").agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("i").alias("i"), F.first("e").alias("e"), F.count("*").alias("n"))
+    placed = rows.join(parts, F.col("n1") == F.col("id"), "left")
+    group = [F.coalesce("component", "n1").alias("c"), F.when(F.col("component").isNull(), F.col("n2")).alias("d")]
+    order = F.struct(F.col("i").isNull(), F.col("i"), F.col("e"), F.col("k1"), F.col("k2"))
+    kept = placed.groupBy(*group).agg(F.min_by(F.struct("k1", "k2", "n"), order).alias("own")).select("own.*")
+    kept = cut(kept, signed, parts)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *both)
+    chosen = whole.join(kept.where("n = 1"), ["k1", "k2"], "left_semi")
+    if not (several := kept.where("n > 1")).isEmpty():
+        chosen = chosen.unionByName(whole.join(several, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
-import pandas as pd
 import xxhash
+from pyspark.sql import functions as F
 
-from grainmill.llm import simhash
+from grainmill.llm import common, simhash
 from grainmill.llm.graph import connected_components, forest
 
 from .helpers import docs, empty, rows
@@ -142,18 +142,53 @@ def test_crowded_buckets_lose_no_link(spark):
         data.append((i, " ".join(words), "en", "s", 0, "", "", 0))
     links = [(a[0], b[0]) for a in data for b in data if a[0] < b[0] and jaccard(a[1], b[1]) >= 0.8]
     want = set(plain_components(range(120), links).values())
-    assert {r.doc_id for r in simhash.keep_one(docs(spark, data)).collect()} == want
+    for crowded in (simhash.CROWDED, 24):
+        assert {r.doc_id for r in simhash.keep_one(docs(spark, data), crowded=crowded).collect()} == want
 
 
-def test_what_stars_leave_is_compared():
-    n = 40
-    frame = {"key": [7] * n, "rep": np.arange(n), "x": [0] * n, "y": [0] * n, "part": [0] * 36 + [1, 1, 2, 3]}
-    found = pd.concat(list(simhash._remainder(iter([pd.DataFrame(frame)[:20], pd.DataFrame(frame)[20:]]))))
-    pairs = {tuple(sorted(p)) for p in zip(found["a"].tolist(), found["b"].tolist(), strict=True)}
-    assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n) if frame["part"][i] != frame["part"][j]}
+def test_crowded_links_join_what_is_similar():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(60, 40, replace=False)) for _ in range(70)]
+    for part in (np.arange(70), np.repeat([0, 1, 2], [40, 20, 10])):
+        near = [(i, j) for i in range(70) for j in range(i) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j])) * 1.2]
+        own = [(i, int(np.flatnonzero(part == part[i])[0])) for i in range(70)]
+        found = list(simhash.crowded_links(np.zeros((70, 2), np.uint64), sets, part, 0.6))
+        assert set(found) <= {(i, j) for a, b in near for i, j in ((a, b), (b, a))}
+        assert plain_components(range(70), own + found) == plain_components(range(70), own + near)
+
+
+def test_slices_make_no_difference(monkeypatch):
+    texts = [("  word%d\n" * 1) % (i % 7) * 3 + " ".join(f"Ü{i * k % 31}\tx" for k in range(i * 3)) for i in range(40)] + ["one", "", "y" * 5000, "two three", "a b c " * 900 + "z" * 3000 + " d e f"]
+    flat = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole, signed = simhash.prints(flat, at), simhash.signatures(flat, at, 5)
+    assert whole.tolist() == [plain_fingerprint(t) for t in texts]
+    for size in (64, 700):
+        monkeypatch.setattr(common, "SLICE", size)
+        assert simhash.prints(flat, at).tolist() == whole.tolist()
+        for a, b in zip(simhash.signatures(flat, at, 5)[:3], signed[:3], strict=True):
+            assert a.tolist() == b.tolist()
+        assert all(np.array_equal(a, b) for a, b in zip(simhash.signatures(flat, at, 5)[3], signed[3], strict=True))
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    text = np.frombuffer(b" ".join(b"word%d" % (i * 7919 % 100003) for i in range(2_000_000)), dtype=np.uint8)
+    tracemalloc.start()
+    simhash.prints(text, np.array([0, len(text)]))
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
 
 
 def test_keep_one_loses_no_row_without_a_near_copy(spark):
     data = [(None, "a text without an id that stands alone here"), (1, "the copy of number zero in as many words"), (1, "a unique text under the same id as that copy"), (0, "the copy of number zero in as many words"), (None, "The copy of number zero in as many words")]
+    data.append(data[2])  # equal rows
     found = simhash.keep_one(docs(spark, [(i, t, "en", "s", 0, "", "", 0) for i, t in data])).collect()
     assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted([data[0], data[2], data[3]], key=str)
+
+
+def test_keep_one_with_its_own_names_as_columns(spark):
+    table = docs(spark).withColumn("k1", F.lit(1)).withColumn("n1", F.lit("n")).withColumn("row", F.lit(2)).withColumn("component", F.lit(3))
+    found = simhash.keep_one(table)
+    assert found.columns == table.columns and found.count() == simhash.keep_one(docs(spark)).count()
