@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A line in more distinct texts of one host than this is boilerplate.
@@ -39,9 +39,16 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, BLANKS, " ")))
 
 
-def row_key(df: DataFrame) -> Column:
-    """Tells rows apart that differ in id, text or host; equal rows share it."""
-    return F.xxhash64(F.col("doc_id").cast("long"), _text())
+def identity() -> list[Column]:
+    """Tell rows apart that differ in id or text; equal rows share both columns."""
+    ident = F.col("doc_id").cast("long")
+    return [F.coalesce(ident, F.lit(0)), F.xxhash64(ident.isNull(), _text())]
+
+
+def hashed_lines(host: Column) -> Column:
+    """(h, chars) of each line with a word: a hash of it and its host, and its word characters."""
+    line = lambda x: F.struct(F.xxhash64(host.isNull(), host, normalised(x)).alias("h"), F.length(F.regexp_replace(x, BLANKS, "")).alias("chars"))
+    return F.transform(lines(_text()), line)
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -75,34 +82,35 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return step.select(*names, F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(key, removed, removed_chars): per document the hashes and word characters of its lines above the limit.
+def measured(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Base rules and hashed lines of each row, from one scan of the texts: id, key, doc_id, body, lines and the measures."""
+    ident, key = identity()
+    slim = docs.select(ident.alias("id"), key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("body"), hashed_lines(F.col(f"`{host}`").cast("string")).alias("lines"), _text().alias("text"))
+    return cut(base_rules(slim).drop("text"))
+
+
+def frequent_lines(table: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(id, key, removed, removed_chars): per row of :func:`measured` the hashes and word characters of its lines above the limit.
 
     The limit is on distinct texts of one host that hold the line, so exact copies count
     once.  The text with the smallest doc_id of each host keeps the line.  Rows with a
     null host form one host.
     """
-    whole = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("body"), F.col(host).cast("string").alias("host"), lines(_text()).alias("l"))
-    each = whole.select(
-        "key", "doc_id", "body", "host",
-        F.posexplode(F.transform("l", lambda x: F.struct(normalised(x).alias("line"), F.length(F.regexp_replace(x, BLANKS, "")).alias("chars")))).alias("place", "x"),
-    )
-    rows = each.select("key", "doc_id", "body", "place", F.xxhash64(F.col("host").isNull(), "host", "x.line").alias("h"), F.col("x.chars").alias("chars"))
+    rows = table.select("id", "key", "doc_id", "body", F.posexplode("lines").alias("place", "x")).select("id", "key", "doc_id", "body", "place", "x.*")
     once = rows.groupBy("h", "body").agg(F.min("doc_id").alias("doc_id"))
     common = once.groupBy("h").agg(F.count("*").alias("texts"), F.min_by("body", F.struct("doc_id", "body")).alias("keeper")).where(F.col("texts") > max_docs)
-    gone = rows.join(common.select("h", "keeper"), "h").where("body != keeper")
-    once = gone.groupBy("key", "place").agg(F.first("h").alias("h"), F.first("chars").alias("chars"))  # equal rows have one key
-    return once.groupBy("key").agg(F.collect_set("h").alias("removed"), F.sum("chars").alias("removed_chars"))
+    # written before it is joined, so that a hot line's rows can be split
+    gone = rows.join(cut(common.select("h", "keeper")), "h").where("body != keeper")
+    lost = gone.groupBy("id", "key", "place").agg(F.first("h").alias("h"), F.first("chars").alias("chars"))  # equal rows have one key
+    return lost.groupBy("id", "key").agg(F.collect_set("h").alias("removed"), F.sum("chars").alias("removed_chars"))
 
 
 def _verdicts(docs: DataFrame, host: str, max_docs: int, min_left: float) -> DataFrame:
-    """Base rules of each row with its key, the hashes of the lines it loses, and the verdict."""
-    slim = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"))
-    measured = base_rules(slim).drop("text")
-    lost = frequent_lines(docs, host, max_docs)
+    """Base rules of each row with its id and key, the hashes of the lines it loses, and the verdict."""
+    table = measured(docs, host)
     gone = F.coalesce("removed_chars", F.lit(0))
     kept = ~F.col("base_failed") & (F.col("word_chars") - gone >= min_left * F.col("word_chars"))
-    return measured.join(lost, "key", "left").withColumn("removed_chars", gone).withColumn("kept", kept)
+    return table.drop("lines").join(frequent_lines(table, max_docs), ["id", "key"], "left").withColumn("removed_chars", gone).withColumn("kept", kept)
 
 
 def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
@@ -120,14 +128,19 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_l
     """The documents that :func:`quality` keeps, without their lines above the limit; columns as they were.
 
     Empty lines stay where they stood.  n_chars, where there is one, follows the text.
+    Null and empty texts fail the base rules and go.  Equal rows have one verdict and
+    all stay or go; rows may share a doc_id or have none; a null host is a host; columns
+    may have any names; an empty table gives no rows.
     """
     names = docs.columns
+    ident, key, removed = fresh(docs, "id", "key", "removed")
     # written first: a filter on the verdict would be pushed into the array expressions and repeat them
-    verdicts = cut(_verdicts(docs, host, max_docs, min_left).select("key", "kept", "removed"))
-    good = verdicts.where("kept").groupBy(F.col("key").alias("_key")).agg(F.first("removed").alias("_removed"))
-    joined = docs.withColumn("_key", row_key(docs)).join(good, "_key")
-    own = F.col(host).cast("string")
-    stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_removed", F.xxhash64(own.isNull(), own, normalised(x))) | ~x.rlike(r"[^\x20\x09-\x0D]"))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    out = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names])
+    verdicts = cut(_verdicts(docs, host, max_docs, min_left).select("id", "key", "kept", "removed"))
+    good = verdicts.where("kept").groupBy(F.col("id").alias(ident), F.col("key").alias(key)).agg(F.first("removed").alias(removed))
+    given = docs.select(*[F.col(f"`{c}`") for c in names], *[c.alias(n) for c, n in zip(identity(), (ident, key), strict=True)])
+    joined = given.join(good, [ident, key])
+    own = F.col(f"`{host}`").cast("string")
+    stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(removed, F.xxhash64(own.isNull(), own, normalised(x))) | ~x.rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    out = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
