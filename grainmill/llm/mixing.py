@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .quality import words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Leading hexadecimal digits of a document's seeded digest that name its bucket.
-BUCKET_DIGITS = 3
+#: Leading hexadecimal digits of a document's seeded digest that name its bucket, and its bucket within that.
+BUCKET_DIGITS = (3, 6)
 
 
 def digest(seed: str = SEED) -> Column:
-    """The seeded order of documents within a source."""
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
+    """The seeded order of documents within a source; rows without an id go by their texts."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.xxhash64(F.col("text").cast("string")).cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(seed), own).cast("binary"))
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -43,6 +45,45 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     return levelled.select("source", "source_size", "weight", target.alias("target"))
 
 
+def size_of(text: Column) -> Column:
+    return F.size(words(F.coalesce(text.cast("string"), F.lit("")))).cast("long")
+
+
+def goals(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """One row a source: source, source_size, target, whole (copies of all its documents), and last_digest and last_tie,
+    up to which documents are taken once more; null where none is.
+    """
+    tie = F.xxhash64(F.col("text").cast("string"))
+    sized = cut(docs.select("source", digest(seed).alias("digest"), tie.alias("tie"), size_of(F.col("text")).alias("size")))
+    first = BUCKET_DIGITS[0]
+    sums = cut(sized.groupBy("source", F.substring("digest", 1, first).alias("bucket")).agg(F.sum("size").alias("size")))
+    goal = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long")
+    goal = cut(goal.withColumn("whole", whole).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size")))
+    same = lambda a, b: a.eqNullSafe(b)
+    # the bucket in which the rest of a target ends, then the bucket in it; only documents in that one are put in order
+    start = goal.select(F.col("source").alias("s"), F.col("more").alias("rest")).where("rest > 0")
+    for level, digits in enumerate(BUCKET_DIGITS):
+        if level:
+            inside = sized.join(edge, same(F.col("source"), F.col("s")) & (F.substring("digest", 1, BUCKET_DIGITS[level - 1]) == F.col("at")))
+            sums = inside.groupBy("source", F.substring("digest", 1, digits).alias("bucket")).agg(F.sum("size").alias("size"))
+            start = edge.select("s", "rest")
+        upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
+        placed = sums.withColumn("upto", upto).join(start, same(F.col("source"), F.col("s")))
+        ends = placed.where(F.col("upto") - F.col("size") <= F.col("rest"))
+        last = ends.groupBy("s").agg(F.max_by(F.struct(F.col("bucket").alias("at"), (F.col("rest") - F.col("upto") + F.col("size")).alias("rest")), "bucket").alias("x"))
+        edge = cut(last.select("s", "x.*"))
+    inside = sized.join(edge, same(F.col("source"), F.col("s")) & (F.substring("digest", 1, BUCKET_DIGITS[-1]) == F.col("at")))
+    ranked = inside.groupBy("s", "rest", "digest", "tie").agg(F.sum("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("digest", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = ranked.withColumn("before", before).where(2 * F.col("before") + F.col("size") <= 2 * F.col("rest"))
+    inner = taken.groupBy("s").agg(F.max(F.struct("digest", "tie")).alias("last"))
+    # where no document of the last bucket is taken, those of all buckets before it are
+    bounds = edge.join(inner.withColumnRenamed("s", "t"), same(F.col("s"), F.col("t")), "left").select("s", F.coalesce("last.digest", "at").alias("last_digest"), F.col("last.tie").alias("last_tie"))
+    out = goal.join(bounds, same(F.col("source"), F.col("s")), "left").select("source", "source_size", "target", "whole", "last_digest", "last_tie")
+    return cut(out, sized, goal)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (words the mix takes).
 
@@ -50,36 +91,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     as often as its source's target holds the source whole, and the rest of the target
     is filled by documents in the order of a seeded digest, up to the one whose middle
     passes it.  So a source's taken words differ from its target by half a document at
-    most, no document exceeds ``max_epochs``, and reruns agree.  Digests deal a source's
-    documents to 4096 buckets; only the bucket where the target ends is sorted.  Equal
-    rows and rows with one doc_id are documents of their own; extra columns stay, with
+    most, no document exceeds ``max_epochs``, and reruns agree.  Sums by leading digits
+    of the digests find the place where a target ends; only the documents there are put
+    in order, and no text is shuffled.  Rows that share a doc_id or have none go by
+    their texts; rows equal in id and text are taken alike, and the difference is then
+    half of all of them at most.  A null source is a source.  Extra columns stay, with
     clashing names replaced; an empty table gives no rows.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    sized = docs.select(*names, F.size(words(F.coalesce(F.col("text").cast("string"), F.lit("")))).cast("long").alias("size"), digest(seed).alias("_digest"))
-    sized = sized.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
-    buckets = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("bucket_size"))
-    totals = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    goal = targets(totals, weights, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
-    goal = goal.withColumn("_whole", whole.cast("long")).withColumn("_more", F.col("target") - F.col("_whole") * F.col("source_size"))
-    upto = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("_bucket"))
-    placed = buckets.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("bucket_size")).drop("bucket_size")
-    # a row for each source and bucket: 4096 a source at most
-    places = placed.alias("b").join(goal.alias("g"), F.expr("b.source <=> g.source")).select(F.col("b.source").alias("_source"), F.col("_bucket").alias("_b"), "_from", "_upto", "_whole", "_more", "source_size", "target")
-    rows = sized.join(places, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).drop("_source", "_b")
-    inner = Window.partitionBy("source", "_bucket").orderBy("_digest", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (F.col("_from") < F.col("_more")) & (F.col("_upto") > F.col("_more"))
-    sure = rows.where(~edge).withColumn("_extra", (F.col("_upto") <= F.col("_more")) & (F.col("_upto") > F.col("_from")))
-    start = F.col("_from") + F.coalesce(F.sum("size").over(inner), F.lit(0))
-    close = rows.where(edge).withColumn("_extra", 2 * start + F.col("size") <= 2 * F.col("_more"))
-    copies = F.col("_whole") + F.col("_extra").cast("long")
-    return sure.unionByName(close).select(*names, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
+    goal = goals(docs, weights, max_epochs, seed).withColumnRenamed("source", "own")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("of"), digest(seed).alias("digest"), F.xxhash64(text).alias("tie"), size_of(text).alias("size"))
+    once_more = (F.col("digest") < F.col("last_digest")) | ((F.col("digest") == F.col("last_digest")) & (F.col("tie") <= F.col("last_tie")))
+    copies = F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")
+    joined = rows.join(goal, F.col("of").eqNullSafe(F.col("own"))).withColumn("copies", copies)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in names], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row as often as the mix takes it, columns as they were."""
-    return mix(docs, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mixed documents: each row as often as the mix takes it, columns as they were; see :func:`mix` for odd rows."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix(docs.select("doc_id", "text", "source", whole.alias("kept")), **options)
+    each = mixed.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return each.select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB SQL, over ``documents``.
