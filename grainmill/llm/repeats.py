@@ -19,30 +19,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, as_bytes, cut, runs_of_rows
+from .common import PrefixHash, as_bytes, bounded, cut, fresh, mix64, runs_of_rows
 
 MIN_LENGTH = 200
-#: Anchors with more different frames than this are compared window by window in Spark.
-HOT_FRAMES = 20_000
+#: The frames of an anchor that has more different ones than this are dealt again by anchors of another hash.
+HOT_FRAMES = 2000
+#: So often at most: frames that still share all their anchors are searched together.
+DEALS = 3
 SLICE = 1 << 20
 
 
-def _row_key():
-    """Tells rows apart that differ in id or text; equal rows share it, and get the same result."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _identity() -> list:
+    """Tell rows apart that differ in id or text; equal rows share both columns, and get the same result."""
+    ident = F.col("doc_id").cast("long")
+    return [F.coalesce(ident, F.lit(0)), F.xxhash64(ident.isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))]
 
 
 def _text(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text), with an empty text for a null."""
-    return docs.select(_row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(id, key, doc_id, text), with an empty text for a null."""
+    ident, key = _identity()
+    return bounded(docs).select(ident.alias("id"), key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def anchor_size(min_length: int) -> int:
     return max(1, min_length * 9 // 25)
 
 
-def frames_of(data: np.ndarray, offsets: np.ndarray, min_length: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, frame hash, row, first window, number of windows) of each frame in the rows of ``data``."""
+def frames_of(data: np.ndarray, offsets: np.ndarray, min_length: int, deal: int = 0) -> tuple[np.ndarray, ...]:
+    """(anchor hash, frame digest, row, first window, number of windows) of each frame in the rows of ``data``.
+
+    ``deal`` chooses among hashes, and so among anchors.  The digest is of the frame's
+    bytes and has nothing in common with the anchor's hash; together they have 128 bits.
+    """
     k = anchor_size(min_length)
     width = min_length - k + 1
     empty = np.zeros(0, np.int64)
@@ -50,6 +58,8 @@ def frames_of(data: np.ndarray, offsets: np.ndarray, min_length: int) -> tuple[n
         return (empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty)
     sums = PrefixHash(data)
     grams = sums.windows(k)
+    if deal:
+        grams = mix64(grams + np.uint64(deal))
     bits = np.uint64(max(1, int(len(grams)).bit_length()))
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     span = 1
@@ -73,7 +83,9 @@ def frames_of(data: np.ndarray, offsets: np.ndarray, min_length: int) -> tuple[n
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     start, row = at[first], row_of[first]
-    return grams[anchor[start]], sums.spans(start, start + count - 1 + min_length), row, start - offsets[row], count
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    sid = np.array([digest(raw[s:e]) for s, e in zip(start.tolist(), (start + count - 1 + min_length).tolist(), strict=True)], dtype=np.uint64)
+    return grams[anchor[start]], sid, row, start - offsets[row], count
 
 
 def _slices(flat: np.ndarray, at: np.ndarray, min_length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -88,22 +100,22 @@ def _slices(flat: np.ndarray, at: np.ndarray, min_length: int) -> Iterator[tuple
                 yield lo, s, part, np.array([0, len(part)])
 
 
-def frames(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """(h, sid, key, lo, n): all frames of all texts; see :func:`_text` for the key."""
+def frames(texts: DataFrame, min_length: int = MIN_LENGTH, deal: int = 0) -> DataFrame:
+    """(h, sid, id, key, lo, n): all frames of ``texts(id, key, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat, at = as_bytes(batch.column(1))
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            flat, at = as_bytes(batch.column(2))
             for row, offset, data, own in _slices(flat, at, min_length):
-                h, sid, r, lo, n = frames_of(data, own, min_length)
+                h, sid, r, lo, n = frames_of(data, own, min_length, deal)
                 if len(h):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(ids[row + r].astype(np.int64)), pa.array((lo + offset).astype(np.int32)), pa.array(n.astype(np.int16))],
-                        names=["h", "sid", "key", "lo", "n"],
+                        [pa.array(h.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(ids[row + r]), pa.array(keys[row + r]), pa.array((lo + offset).astype(np.int32)), pa.array(n.astype(np.int16))],
+                        names=["h", "sid", "id", "key", "lo", "n"],
                     )
 
-    return _text(docs).select("key", "text").mapInArrow(run, "h long, sid long, key long, lo int, n short")
+    return bounded(texts).select("id", "key", "text").mapInArrow(run, "h long, sid long, id long, key long, lo int, n short")
 
 
 def interval_tree(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -234,25 +246,16 @@ def _searcher(min_length: int, groups: bool, target: int = 1 << 20):
     return run
 
 
-def _cutter(min_length: int, windows: bool):
-    """Frames out of the texts: their bytes, or a hash of each of their windows."""
+def _cutter(min_length: int):
+    """Frames out of the texts: their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, at = as_bytes(batch.column(0))
             for i, wanted in enumerate(batch.column(1).to_pylist()):
                 own = flat[at[i] : at[i + 1]]
-                h = [w["h"] for w in wanted]
-                sid = [w["sid"] for w in wanted]
-                if windows:
-                    heads = PrefixHash(own).windows(min_length).view(np.int64)
-                    n = np.array([w["n"] for w in wanted])
-                    where = np.concatenate([np.arange(w["lo"], w["lo"] + w["n"]) for w in wanted])
-                    start = where - np.repeat([w["lo"] for w in wanted], n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, n)), pa.array(np.repeat(sid, n)), pa.array(start.astype(np.int32)), pa.array(heads[where])], names=["h", "sid", "start", "head"])
-                else:
-                    seg = [own[w["lo"] : w["lo"] + w["n"] - 1 + min_length].tobytes() for w in wanted]
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sid, pa.int64()), pa.array(seg, pa.binary())], names=["h", "sid", "seg"])
+                seg = [own[w["lo"] : w["lo"] + w["n"] - 1 + min_length].tobytes() for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in wanted], pa.int64()), pa.array([w["sid"] for w in wanted], pa.int64()), pa.array(seg, pa.binary())], names=["h", "sid", "seg"])
 
     return run
 
@@ -261,57 +264,71 @@ MEMBERS = "h long, sid long, rid long, length int, start int"
 RANGES = "h long, sid long, parts array<struct<start:int,length:int>>"
 
 
-def _search(docs: DataFrame, min_length: int, hot: int, groups: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frames with a repeated anchor; all different frames with their copies; repeats found between different frames."""
-    every = frames(docs, min_length)
+def _search(texts: DataFrame, min_length: int, hot: int, groups: bool, deal: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames of ``texts(id, key, text)`` with a repeated anchor; all different frames with their copies; repeats found between different frames."""
+    every = frames(texts, min_length, deal)
     # small tables of keys are written before they are joined, so that a hot key's rows can be split in the join
     again = cut(every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select("h"))
-    repeated = cut(every.join(again, "h"))
-    kinds = cut(repeated.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo", "n")).alias("one")))
+    repeated = cut(every.join(again, "h"), again)
+    kinds = cut(repeated.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "lo", "n")).alias("one")))
     several = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     mixed = kinds.join(several, "h")
-    texts = _text(docs)
 
-    def fetch(which: DataFrame, windows: bool, schema: str) -> DataFrame:
-        wanted = which.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("h", "sid", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"))).alias("wanted"))
-        return texts.join(wanted, "key").select("text", "wanted").mapInArrow(_cutter(min_length, windows), schema)
+    def fetch(which: DataFrame) -> DataFrame:
+        """(h, sid, seg) of frames, each once however many equal rows hold it."""
+        wanted = which.groupBy("one.id", "one.key").agg(F.collect_list(F.struct("h", "sid", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"))).alias("wanted"))
+        segments = bounded(texts).join(wanted, ["id", "key"]).select("text", "wanted").mapInArrow(_cutter(min_length), "h long, sid long, seg binary")
+        return segments.dropDuplicates(["h", "sid"])
 
-    segments = fetch(mixed.where(F.col("kinds") <= hot), False, "h long, sid long, seg binary")
+    last = deal == DEALS or several.where(F.col("kinds") > hot).isEmpty()
+    segments = fetch(mixed if last else mixed.where(F.col("kinds") <= hot))
     found = segments.repartition("h").sortWithinPartitions("h").mapInPandas(_searcher(min_length, groups), MEMBERS if groups else RANGES)
-    if not several.where(F.col("kinds") > hot).isEmpty():
-        heads = fetch(mixed.where(F.col("kinds") > hot), True, "h long, sid long, start int, head long")
-        twice = cut(heads.groupBy("head").agg(F.count("*").alias("seen")).where("seen > 1").select("head"))
-        more = heads.join(twice, "head")
+    if not last:
+        # the crowded anchors' frames are texts themselves, in which other anchors are chosen
+        dense = cut(fetch(mixed.where(F.col("kinds") > hot)).select(F.col("h").alias("id"), F.col("sid").alias("key"), F.col("seg").alias("text")))
         if groups:
-            more = more.select("h", "sid", F.col("head").alias("rid"), F.lit(min_length).alias("length"), "start")
+            more = _members(dense, min_length, hot, deal + 1).select(F.col("id").alias("h"), F.col("key").alias("sid"), "rid", "length", "start")
         else:
-            more = more.groupBy("h", "sid").agg(F.collect_set(F.struct("start", F.lit(min_length).alias("length"))).alias("parts"))
+            part = lambda p: F.struct(p["s"].alias("start"), (p["e"] - p["s"]).alias("length"))
+            more = _covered(dense, min_length, hot, deal + 1).select(F.col("id").alias("h"), F.col("key").alias("sid"), F.transform("spans", part).alias("parts"))
         found = found.unionByName(more)
     return repeated, kinds, found
 
 
+def _members(texts: DataFrame, min_length: int, hot: int, deal: int = 0) -> DataFrame:
+    """(rid, length, id, key, start): every occurrence of every group in ``texts``."""
+    repeated, kinds, found = _search(texts, min_length, hot, True, deal)
+    whole = kinds.where("copies > 1").select("h", "sid", F.xxhash64("h", "sid").alias("rid"), (F.col("one.n") - 1 + min_length).cast("int").alias("length"), F.lit(0).alias("start"))
+    return repeated.join(found.unionByName(whole), ["h", "sid"]).select("rid", "length", "id", "key", (F.col("lo") + F.col("start")).alias("start"))
+
+
+def _covered(texts: DataFrame, min_length: int, hot: int, deal: int = 0) -> DataFrame:
+    """(id, key, spans): the byte ranges of each text that repeats cover, unsorted and not merged."""
+    repeated, kinds, found = _search(texts, min_length, hot, False, deal)
+    # a frame with copies is covered whole, whatever else was found in it
+    whole = kinds.where("copies > 1").select("h", "sid", F.array(F.struct(F.lit(0).alias("start"), (F.col("one.n") - 1 + min_length).cast("int").alias("length"))).alias("parts"))
+    hits = repeated.join(whole.unionByName(found), ["h", "sid"]).select("id", "key", F.transform("parts", lambda p: F.struct((F.col("lo") + p["start"]).alias("s"), (F.col("lo") + p["start"] + p["length"]).alias("e"))).alias("parts"))
+    return hits.groupBy("id", "key").agg(F.flatten(F.collect_set("parts")).alias("spans"))
+
+
 def maximal_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT_FRAMES) -> DataFrame:
     """(repeat_id, length, doc_id, start): every occurrence of every maximal repeat group.
 
     A repeat longer than a frame comes as several overlapping groups, each with all of
-    its occurrences; lengths and starts are in bytes.  Anchors with more than ``hot``
-    different frames give groups of exactly ``min_length`` bytes.  A group's repeat_id
-    hashes its bytes.  Matches never cross documents; null and short texts have none.
+    its occurrences; lengths and starts are in bytes.  A group's repeat_id hashes its
+    bytes.  Matches never cross documents; null and short texts have none.  Rows may
+    share a doc_id; equal rows are documents of their own, so their texts repeat, and
+    each row's occurrences are listed.  A null doc_id stays null; columns may have any
+    names; an empty table gives no rows.
     """
-    repeated, kinds, found = _search(docs, min_length, hot, True)
-    whole = kinds.where("copies > 1").select("h", "sid", F.xxhash64("h", "sid").alias("rid"), (F.col("one.n") - 1 + min_length).cast("int").alias("length"), F.lit(0).alias("start"))
-    groups = found.unionByName(whole)
-    ids = _text(docs).select("key", "doc_id").distinct()
-    return repeated.join(groups, ["h", "sid"]).join(ids, "key").select(F.col("rid").alias("repeat_id"), "length", "doc_id", (F.col("lo") + F.col("start")).alias("start"))
+    ids = _text(docs)
+    found = _members(ids, min_length, hot).join(ids.select("id", "key", F.col("doc_id").isNull().alias("none")).distinct(), ["id", "key"])
+    return found.select(F.col("rid").alias("repeat_id"), "length", F.when(~F.col("none"), F.col("id")).alias("doc_id"), "start")
 
 
 def covered(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT_FRAMES) -> DataFrame:
-    """(key, spans): the byte ranges of each document that repeats cover, unsorted and not merged."""
-    repeated, kinds, found = _search(docs, min_length, hot, False)
-    # a frame with copies is covered whole, whatever else was found in it
-    whole = kinds.where("copies > 1").select("h", "sid", F.array(F.struct(F.lit(0).alias("start"), (F.col("one.n") - 1 + min_length).cast("int").alias("length"))).alias("parts"))
-    hits = repeated.join(whole.unionByName(found), ["h", "sid"]).select("key", F.transform("parts", lambda p: F.struct((F.col("lo") + p["start"]).alias("s"), (F.col("lo") + p["start"] + p["length"]).alias("e"))).alias("parts"))
-    return hits.groupBy("key").agg(F.flatten(F.collect_list("parts")).alias("spans"))
+    """(id, key, spans): the byte ranges of each document that repeats cover; see :func:`_text` for id and key."""
+    return _covered(_text(docs), min_length, hot)
 
 
 def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -354,25 +371,31 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT
                 names.append("text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _text(docs).join(covered(docs, min_length, hot), "key", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return _text(docs).join(covered(docs, min_length, hot), ["id", "key"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT_FRAMES) -> DataFrame:
-    """``docs`` with repeated bytes removed from the texts; columns as they were, n_chars following the text."""
+    """``docs`` with repeated bytes removed from the texts; columns as they were, n_chars following the text.
+
+    Rows and their order of columns stay, whatever their names; a null text stays null
+    and counts as empty.  Equal rows are documents of their own, so each loses what
+    the other holds; rows may share a doc_id or have none.  An empty table gives none.
+    """
     names = docs.columns
-    rows = docs.withColumn("_key", _row_key())
+    ident, key, spans = fresh(docs, "id", "key", "spans")
+    found = covered(docs, min_length, hot).select(F.col("id").alias(ident), F.col("key").alias(key), F.col("spans").alias(spans))
+    rows = bounded(docs).select(*[F.col(f"`{c}`") for c in names], *[c.alias(n) for c, n in zip(_identity(), (ident, key), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at_text = batch.schema.get_field_index("text")
             texts = batch.column(at_text).to_pylist()
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    own, gone = texts[i].encode(), merge(spans)
+            for i, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if found:
+                    own, gone = texts[i].encode(), merge(found)
                     texts[i] = b"".join(own[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(own)], strict=True)).decode("utf-8", "ignore")
-            columns = [pa.array(texts, pa.string()) if k == at_text else batch.column(k) for k in range(len(names))]
+            columns = [pa.array(texts, batch.schema.field(at_text).type) if k == at_text else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = rows.join(covered(docs, min_length, hot).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans"), "_key", "left")
-    out = joined.select(*names, "_spans").mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
+    out = rows.join(found, [ident, key], "left").select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in names]) if "n_chars" in names else out

@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainmill.llm import chunks, repeats
 
@@ -23,7 +24,7 @@ def brute(texts, least):
     return out
 
 
-@pytest.mark.parametrize("least, hot", [(200, 20000), (200, 0), (25, 20000)])
+@pytest.mark.parametrize("least, hot", [(200, repeats.HOT_FRAMES), (200, 0), (25, repeats.HOT_FRAMES)])
 def test_remove_repeats(spark, least, hot):
     data = rows()
     found = repeats.remove_repeats(docs(spark), least, hot).collect()
@@ -41,8 +42,76 @@ def test_empty_and_columns(spark):
 def test_groups_hold_all_occurrences(spark):
     texts = ["xx" + PASSAGE + "yy", "zz" + PASSAGE + "ww", "q" + PASSAGE[:300]]
     table = docs(spark, [(i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(texts)])
+    check_groups(repeats.maximal_repeats(table).collect(), texts)
+    check_groups(repeats.maximal_repeats(table, hot=1).collect(), texts)
+
+
+def test_groups_of_equal_rows_list_each_row(spark):
+    text = "".join(f"{i * i % 97}," for i in range(150))
+    found = repeats.maximal_repeats(docs(spark, [(4, text, "en", "s", 0, "", "", 0)] * 2 + [(None, "n" + text, "en", "s", 0, "", "", 0)])).collect()
+    seen = collections.Counter((r.repeat_id, r.length, r.doc_id, r.start) for r in found)
+    assert seen and all(n == (2 if key[2] == 4 else 1) for key, n in seen.items()) and {k[2] for k in seen} == {4, None}
+
+
+def test_passages_of_two_letters_in_thue_morse_order(spark):
+    """Such strings and their complements collide under polynomials modulo a power of two."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    data = [(1, word), (2, word.translate({97: 98, 98: 97})), (3, "x" + word[:512])]
+    table = docs(spark, [(i, t, "en", "s", 0, "", "", 0) for i, t in data])
+    found = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in repeats.remove_repeats(table).collect()}
+    assert [found[i] for i, _ in data] == brute([t for _, t in data], 200)
+    pieces = {r.doc_id: r for r in chunks.dedup_chunks(table, min_run=1, with_text=True).collect()}
+    assert {i: (r.n_repeated, r.n_removed, r.text) for i, r in pieces.items()} == brute_chunks(data, 1)
+
+
+def brute_chunks(data, min_run):
+    """n_repeated, n_removed and the kept text of texts under different ids, by dictionaries over the cuts."""
+    import numpy as np
+
+    pieces = {}
+    for i, t in data:
+        b = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        ends = chunks.cuts(b, np.array([0, len(b)])).tolist() if len(b) else []
+        pieces[i] = [(s, e, b[s:e].tobytes()) for s, e in zip([0, *ends], ends)]
+    places = collections.defaultdict(list)
+    for i, own in sorted(pieces.items()):
+        for s, _, x in own:
+            places[x].append((i, s))
+    out = {}
+    for i, own in pieces.items():
+        runs, whole = [], sum(e - s for s, e, _ in own)
+        for s, e, x in own:
+            if len(places[x]) > 1:
+                if runs and runs[-1][-1][1] == s:
+                    runs[-1].append((s, e, x))
+                else:
+                    runs.append([(s, e, x)])
+        runs = [r for r in runs if r[-1][1] - r[0][0] >= min(min_run, whole)]
+        gone = {p for r in runs for p in r if places[p[2]][0] != (i, p[0])}
+        out[i] = (sum(e - s for r in runs for s, e, _ in r), sum(e - s for s, e, _ in gone), b"".join(p[2] for p in own if p not in gone).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.mark.parametrize("min_run", [100, 1])
+def test_chunks_against_dictionaries(spark, min_run):
+    data = [(n, t) for n, (_, t, *_) in enumerate(rows())] + [(50, "short copy"), (51, "short copy"), (52, "p" * 700 + PASSAGE), (53, PASSAGE[100:900] + " é" * 300)]
+    found = chunks.dedup_chunks(docs(spark, [(i, t, "en", "s", 0, "", "", 0) for i, t in data]), min_run=min_run, with_text=True).collect()
+    assert {r.doc_id: (r.n_repeated, r.n_removed, r.text) for r in found} == brute_chunks(data, min_run)
+
+
+def test_columns_with_names_that_operators_use(spark):
+    table = docs(spark)
+    for name in ("id", "spans", "_key", "_spans", "sid", "h"):
+        table = table.withColumn(name, F.lit(name))
+    out = repeats.without_repeats(table)
+    assert out.columns == table.columns and {(r.id, r.spans, r.key) for r in out.collect()} == {("id", "spans", "clash")}
+
+
+def check_groups(found, texts):
     groups = collections.defaultdict(set)
-    for r in repeats.maximal_repeats(table).collect():
+    for r in found:
         groups[r.repeat_id, r.length].add((r.doc_id, r.start))
     assert groups
     for (_, length), found in groups.items():
