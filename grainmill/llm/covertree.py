@@ -22,6 +22,9 @@ THRESHOLD = 0.98
 #: Vectors of a block at most; a pair of blocks is one task's work.
 BLOCK = 2048
 PIVOTS = 32
+#: Nodes of so many rows are not split any more; candidates for centers that are looked at together.
+LEAF = 48
+CHUNK = 64
 #: Slack for rounding in the triangle inequality.
 SLACK = 1e-9
 
@@ -35,36 +38,59 @@ class Level:
     parent: np.ndarray
 
 
-def cover_tree(x: np.ndarray, least: float) -> tuple[list[Level], np.ndarray]:
+def _split(x: np.ndarray, rows: np.ndarray, close: float) -> tuple[np.ndarray, np.ndarray]:
+    """(centers, the center's number for each of ``rows``): each row goes to the first center that near.
+
+    The first row is a center, and so is every row that no center before it is near.
+    Distances are taken to ``CHUNK`` candidates at once, and only from rows still open.
+    """
+    centers, own, open_ = [], np.full(len(rows), -1), np.arange(len(rows))
+    while len(open_):
+        head = open_[:CHUNK]
+        near = x[rows[open_]] @ x[rows[head]].T >= close
+        taken = np.full(len(open_), -1)
+        for k in range(len(head)):
+            if taken[k] < 0:
+                free = near[:, k] & (taken < 0)
+                free[k] = True
+                taken[free] = len(centers)
+                centers.append(rows[head[k]])
+        own[open_] = taken
+        open_ = open_[taken < 0]
+    return np.array(centers), own
+
+
+def cover_tree(x: np.ndarray, least: float, leaf: int | None = None) -> tuple[list[Level], np.ndarray]:
     """Nested levels from radius 2 down by halves to ``least``, and each row's node in the last level.
 
     ``x``: unit vectors, a block's worth at most.  Centers of a level stay centers below
-    it; every row is within the level's radius of its center, and centers of one parent
-    are farther apart than it.
+    it; every row of a node that was split is within the level's radius of its center,
+    and centers of one parent are farther apart than it.  A node of ``leaf`` rows or
+    fewer (``LEAF``) is not split; its radius says how far its rows reach.
     """
-    n = len(x)
-    gram = x @ x.T
-    node = np.zeros(n, np.int64)
+    leaf = LEAF if leaf is None else leaf
+    node = np.zeros(len(x), np.int64)
     levels = [Level(np.zeros(1, np.int64), _far(x, np.zeros(1, np.int64), node, 1), np.zeros(1, np.int64))]
     scale = 2.0
     while scale > least:
         scale /= 2
-        close = 1 - scale * scale / 2  # the cosine at this distance
-        centers, parent, below = [], [], np.full(n, -1, np.int64)
-        order = np.argsort(node, kind="stable")
-        ends = np.cumsum(np.bincount(node, minlength=len(levels[-1].centers)))
-        for p, end in enumerate(ends):
-            c, open_ = levels[-1].centers[p], order[ends[p - 1] if p else 0 : end]
-            whole = levels[-1].radius[p] <= scale
-            while len(open_):
-                near = np.ones(len(open_), bool) if whole else (gram[c, open_] >= close) | (open_ == c)
-                below[open_[near]] = len(centers)
-                centers.append(c)
-                parent.append(p)
-                open_ = open_[~near]
-                c = open_[0] if len(open_) else c
-        at = np.array(centers)
-        levels.append(Level(at, _far(x, at, below, len(at)), np.array(parent)))
+        above, m = levels[-1], len(levels[-1].centers)
+        size = np.bincount(node, minlength=m)
+        if not ((size > leaf) & (above.radius > least)).any():
+            break  # nothing below would be split
+        order, ends = np.argsort(node, kind="stable"), np.cumsum(size)
+        kids, split = np.ones(m, np.int64), {}
+        for p in np.flatnonzero((size > leaf) & (above.radius > scale)):
+            rows = order[ends[p] - size[p] : ends[p]]
+            rows = np.concatenate([above.centers[p : p + 1], rows[rows != above.centers[p]]])
+            split[p] = rows, *_split(x, rows, 1 - scale * scale / 2)  # the cosine at this distance
+            kids[p] = len(split[p][1])
+        first = np.cumsum(kids) - kids
+        at, below = np.repeat(above.centers, kids), first[node]
+        for p, (rows, centers, own) in split.items():
+            at[first[p] : first[p] + kids[p]] = centers
+            below[rows] = first[p] + own
+        levels.append(Level(at, _far(x, at, below, len(at)), np.repeat(np.arange(m), kids)))
         node = below
     return levels, node
 
@@ -75,9 +101,12 @@ def _far(x: np.ndarray, centers: np.ndarray, node: np.ndarray, m: int) -> np.nda
     return out
 
 
-def _first(level: Level, above: int) -> np.ndarray:
-    """Where the children of each node of the level above begin; they stand in their parents' order."""
-    return np.concatenate([[0], np.cumsum(np.bincount(level.parent, minlength=above))])
+def _children(tree: list[Level], depth: int) -> tuple[Level, np.ndarray]:
+    """A level, and where the children of each node of the level above begin in it; a tree that has ended stays."""
+    if depth >= len(tree):
+        return tree[-1], np.arange(len(tree[-1].centers) + 1)
+    level = tree[depth]
+    return level, np.concatenate([[0], np.cumsum(np.bincount(level.parent, minlength=len(tree[depth - 1].centers)))])
 
 
 def dual_links(a: np.ndarray, b: np.ndarray | None, threshold: float):
@@ -92,12 +121,19 @@ def dual_links(a: np.ndarray, b: np.ndarray | None, threshold: float):
     tree_b, node_b = (tree_a, node_a) if same else cover_tree(b, eps / 2)
     other = a if same else b
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for depth in range(1, len(tree_a)):
-        la, lb = tree_a[depth], tree_b[depth]
-        first_a = _first(la, len(tree_a[depth - 1].centers))
-        first_b = _first(lb, len(tree_b[depth - 1].centers))
-        out_i, out_j = [], []
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+    for depth in range(1, max(len(tree_a), len(tree_b))):
+        (la, first_a), (lb, first_b) = _children(tree_a, depth), _children(tree_b, depth)
+        out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # pairs of nodes that have one child each: side by side
+        lone = (np.diff(first_a)[i] == 1) & (np.diff(first_b)[j] == 1)
+        for lo in range(0, len(i), 1 << 16):
+            u, v = (first[k[lo : lo + (1 << 16)][lone[lo : lo + (1 << 16)]]] for first, k in ((first_a, i), (first_b, j)))
+            squared = 2 - 2 * np.einsum("nd,nd->n", a[la.centers[u]], other[lb.centers[v]])
+            reach = la.radius[u] + lb.radius[v] + eps
+            keep = squared <= reach * reach + SLACK
+            out_i.append(u[keep])
+            out_j.append(v[keep])
+        for p, q in zip(i[~lone].tolist(), j[~lone].tolist(), strict=True):
             own, opposite = slice(first_a[p], first_a[p + 1]), slice(first_b[q], first_b[q + 1])
             squared = 2 - 2 * (a[la.centers[own]] @ other[lb.centers[opposite]].T)
             reach = la.radius[own][:, None] + lb.radius[opposite][None, :] + eps
@@ -107,7 +143,7 @@ def dual_links(a: np.ndarray, b: np.ndarray | None, threshold: float):
                 u, v = u[u <= v], v[u <= v]
             out_i.append(u)
             out_j.append(v)
-        i, j = np.concatenate([np.zeros(0, np.int64), *out_i]), np.concatenate([np.zeros(0, np.int64), *out_j])
+        i, j = np.concatenate(out_i), np.concatenate(out_j)
     rows_a, first_a = np.argsort(node_a, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(node_a, minlength=len(tree_a[-1].centers)))])
     rows_b, first_b = (rows_a, first_a) if same else (np.argsort(node_b, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(node_b, minlength=len(tree_b[-1].centers)))]))
     for p, q in zip(i, j, strict=True):
@@ -190,7 +226,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     size = F.size("unit").alias("dim")
     placed = one.select("label", "vec_id", "unit", "copies", size).join(cells, "vec_id")
     # blocks of one label and length, filled cell by cell: at most `block` vectors each
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int")
+    # so many salts that those of one cell hold some thousand vectors each, however large the table
+    salts = max(64, one.count() // 4096)
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")
     counts = placed.groupBy("label", "dim", "cell", salt.alias("salt")).agg(F.count("*").alias("n"))
     in_order = Window.partitionBy("label", "dim").orderBy("cell", "salt")
     packed = counts.withColumn("before", F.sum("n").over(in_order) - F.col("n"))

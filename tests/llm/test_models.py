@@ -47,13 +47,27 @@ def test_cover_tree_invariants():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    levels, node = covertree.cover_tree(x, 0.1)
+    levels, node = covertree.cover_tree(x, 0.1, leaf=1)
     for above, level in zip(levels, levels[1:], strict=False):
         assert set(above.centers) <= set(level.centers)
     assert (np.linalg.norm(x - x[levels[-1].centers[node]], axis=1) <= levels[-1].radius[node] + 1e-12).all()
     assert levels[-1].radius.max() <= 0.125 + 1e-6
 
 
+@pytest.mark.parametrize("spread, leaf", [(0.1, 48), (0.1, 4), (3.0, 48)])
+def test_dual_traversal_finds_what_a_product_finds(spread, leaf, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", leaf)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 32))
+    x = base[rng.integers(0, 30, 700)] + spread * rng.normal(size=(700, 32)) * rng.random((700, 1))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = x[:400], x[400:]
+    own = {(i, j) for u, v in covertree.dual_links(a, None, 0.98) for i, j in zip(u.tolist(), v.tolist(), strict=True)}
+    assert own == {(i, j) for i, j in np.argwhere(a @ a.T >= 0.98).tolist() if i < j}
+    both = {(i, j) for u, v in covertree.dual_links(a, b, 0.98) for i, j in zip(u.tolist(), v.tolist(), strict=True)}
+    assert both == set(map(tuple, np.argwhere(a @ b.T >= 0.98).tolist()))
+
+
 def test_no_vectors(spark):
     assert covertree.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
