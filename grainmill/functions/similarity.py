@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -11,13 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Jaro with whole transpositions, plus the prefix bonus above 0.7; both empty: 0."""
-    if a == b:
-        return 1.0 if a else 0.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+def _matches(a: str, b: str, reach: int) -> tuple[int, int]:
+    """(characters of one text that the other has near by, how many of them stand in another order)."""
     free = [True] * len(b)
     left = []
     for i, x in enumerate(a):
@@ -26,20 +22,45 @@ def jaro_winkler(a: str, b: str) -> float:
                 free[j] = False
                 left.append(x)
                 break
-    m = len(left)
-    if not m:
-        return 0.0
     right = [y for y, unused in zip(b, free, strict=True) if not unused]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    prefix = 0
+    return len(left), sum(x != y for x, y in zip(left, right, strict=True))
+
+
+def _prefix(a: str, b: str) -> int:
+    n = 0
     for x, y in zip(a[:4], b[:4], strict=False):
         if x != y:
             break
-        prefix += 1
-    return jaro + 0.1 * prefix * (1 - jaro)
+        n += 1
+    return n
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """Jaro with whole transpositions, plus the prefix bonus above 0.7; both empty: 0."""
+    if a == b:
+        return 1.0 if a else 0.0
+    if not a or not b:
+        return 0.0
+    m, moved = _matches(a, b, max(max(len(a), len(b)) // 2 - 1, 0))
+    if not m:
+        return 0.0
+    jaro = (m / len(a) + m / len(b) + (m - moved // 2) / m) / 3
+    return jaro if jaro <= 0.7 else jaro + 0.1 * _prefix(a, b) * (1 - jaro)
+
+
+def field_similarity(a: str, b: str) -> float:
+    """Percentage for one field, without case: halves of transpositions count, the bonus is always given; both empty: 100."""
+    a, b = a.lower(), b.lower()
+    if a == b:
+        return 100.0
+    m, moved = _matches(a, b, max(len(a), len(b)) // 2 - 1) if a and b else (0, 0)
+    jaro = (m / len(a) + m / len(b) + (m - moved / 2) / m) / 3 if m else 0.0
+    return math.floor((jaro + 0.1 * _prefix(a, b) * (1 - jaro)) * 1000 + 0.5) / 10
+
+
+@F.pandas_udf(T.DoubleType())
+def field_similarity_column(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([field_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -54,92 +75,41 @@ def reachable(a: Column, b: Column, least: float) -> Column:
     return jaro + 0.4 * (1 - jaro) >= least
 
 
-#: Codes of letters that always sound alike in this simplified scheme.
-_PLAIN = {"B": "P", "D": "T", "F": "F", "K": "K", "L": "L", "M": "M", "N": "N", "P": "P", "Q": "K", "R": "R", "V": "F", "Z": "S"}
-_VOWELS = set("AEIOUY")
+#: Sounds of letters by what stands around them, the first that fits.  A row: pattern, and the primary
+#: and secondary code where they differ.  What the pattern takes is passed over, what it only looks at is not.
+SOUNDS = (
+    ("^[AEIOUY]", "A"), ("[AEIOUY]", ""),
+    ("BB?", "P"),
+    ("CH", "X"), ("C(?=[IEY])", "S"), ("C[KC]?", "K"),
+    ("DG[IEY]", "J"), ("DG", "TK"), ("D[TD]?", "T"),
+    ("FF?", "F"),
+    ("(?<=[AEIOU])GH", ""), ("GH", "K"), ("^GN", ""), ("GN", "KN", "N"), ("G[IEY]", "J", "K"), ("GG?", "K"),
+    ("(?:^|(?<=[AEIOU]))H(?=[AEIOU])", "H"), ("H", ""),
+    ("JJ?", "J"), ("KK?", "K"), ("LL?", "L"), ("MM?", "M"), ("NN?", "N"),
+    ("PH", "F"), ("P[PB]?", "P"),
+    ("QQ?", "K"), ("RR?", "R"),
+    ("SH", "X"), ("SI[OA]", "X", "S"), ("S[SC]?", "S"),
+    ("TION", "X"), ("TH", "0", "T"), ("T[TD]?", "T"),
+    ("VV?", "F"),
+    ("W(?=[AEIOU])", "A"), ("W", ""),
+    ("^X", "S"), ("XX?", "KS"),
+    ("ZZ?", "S"),
+)
+#: Beginnings whose first letter is silent.
+SILENT = re.compile("GN|KN|PN|WR|PS")
+_SOUND = re.compile("|".join(f"({pattern})" for pattern, *_ in SOUNDS))
 
 
 def phonetic(word: str, size: int = 4) -> tuple[str, str]:
     """Primary and secondary sound codes of the ASCII letters of a value, four signs at most."""
-    w = re.sub("[^A-Z]", "", unicodedata.normalize("NFD", word).upper())
-    one, two = [], []
-
-    def add(a: str, b: str | None = None) -> None:
-        one.append(a)
-        two.append(a if b is None else b)
-
-    i = 1 if w[:2] in ("GN", "KN", "PN", "WR", "PS") else 0
-    if w[:1] == "X":
-        add("S")
-        i = 1
-    while i < len(w) and len("".join(one)) < size:
-        c, pair, before, after = w[i], w[i : i + 2], w[i - 1 : i], w[i + 1 : i + 2]
-        step = 2 if after == c and c not in "CG" else 1
-        if c in _VOWELS:
-            if i == 0:
-                add("A")
-            step = 1
-        elif c == "C":
-            if pair == "CH":
-                add("X", "K")
-                step = 2
-            elif pair == "CK":
-                add("K")
-                step = 2
-            elif after and after in "IEY":
-                add("S")
-            else:
-                add("K")
-                step = 2 if after == "C" else 1
-        elif c == "G":
-            if pair == "GH":
-                if i == 0 or before in _VOWELS:
-                    add("K" if i == 0 else "", "F" if i else "K")
-                step = 2
-            elif pair == "GN":
-                add("N", "KN")
-                step = 2
-            elif after and after in "IEY":
-                add("J", "K")
-            else:
-                add("K")
-                step = 2 if after == "G" else 1
-        elif c == "H":
-            if (i == 0 or before in _VOWELS) and after in _VOWELS:
-                add("H")
-        elif c == "J":
-            add("J", "H")
-        elif c == "S":
-            if pair == "SH":
-                add("X")
-                step = 2
-            elif w[i : i + 3] in ("SIO", "SIA"):
-                add("X", "S")
-            elif w[i : i + 3] == "SCH":
-                add("SK", "X")
-                step = 3
-            else:
-                add("S")
-        elif c == "T":
-            if pair == "TH":
-                add("0", "T")
-                step = 2
-            elif w[i : i + 3] in ("TIO", "TIA"):
-                add("X")
-            else:
-                add("T")
-        elif c == "P" and after == "H":
-            add("F")
-            step = 2
-        elif c == "W":
-            if after in _VOWELS and i == 0:
-                add("A", "F")
-        elif c == "X":
-            add("KS")
-        elif c in _PLAIN:
-            add(_PLAIN[c])
-        i += step
-    return "".join(one)[:size], "".join(two)[:size]
+    letters = re.sub("[^A-Z]", "", word.upper())
+    one = two = ""
+    at = 1 if SILENT.match(letters) else 0
+    while at < len(letters) and (len(one) < size or len(two) < size):
+        found = _SOUND.match(letters, at)
+        _, *codes = SOUNDS[found.lastindex - 1]
+        one, two, at = one + codes[0], two + codes[-1], found.end()
+    return one[:size], two[:size]
 
 
 def metaphone_key(value: str) -> str:

@@ -185,11 +185,12 @@ def fill_down(df: DataFrame, column: str, order: str = ROW_ID, bucket: int = 1_0
     """
     require(df, column, order)
     value = F.nullif(F.trim(F.col(column).cast("string")), F.lit(""))
+    # a row without an order has no row above it and is left as it is
     marked = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / bucket).cast("long"))
-    last = marked.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"))
+    last = marked.where("_b is not null").groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"))
     carry = last.select("_b", F.last("_last", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     inside = F.last("_v", ignorenulls=True).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    filled = marked.join(carry, "_b").withColumn("_f", F.coalesce("_v", inside, "_carry"))
+    filled = marked.join(carry, "_b", "left").withColumn("_f", F.coalesce("_v", F.when(F.col("_b").isNotNull(), F.coalesce(inside, "_carry"))))
     return filled.select(*[F.col("_f").alias(c) if c == column else F.col(c) for c in df.columns])
 
 

@@ -130,5 +130,12 @@ def export_json(d: Diff) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.col("diff_status").alias("status"), *sides, F.col("modified_columns").alias("modifiedColumns"))).alias("json"))
 
 
+def export_report(d: Diff) -> dict:
+    """What a JSON file of a diff begins with: meta and summary; the rows follow from :func:`export_json`."""
+    counts = {r["diff_status"]: r["count"] for r in d.summary().collect()}
+    names = ("added", "removed", "modified", "unchanged")
+    return {"meta": {"keyColumns": d.keys, "newColumns": d.new_columns, "removedColumns": d.removed_columns}, "summary": {n: counts.get(n, 0) for n in names}}
+
+
 def clipboard(d: Diff, size: int = 100) -> DataFrame:
     return export_rows(d).limit(size)

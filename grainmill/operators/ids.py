@@ -14,22 +14,33 @@ def user_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (ROW_ID, ORIGIN_ID) and not c.endswith("__base") and not c.startswith("duckdb_")]
 
 
-def with_ids(df: DataFrame, order_by: list[str] | None = None, source: str = "table") -> DataFrame:
-    """Dense row ids a gap apart, and a stable origin id.
+def numbered(df: DataFrame, name: str, order_by: list[str] | None = None) -> DataFrame:
+    """``df`` with its rows' numbers from 1 on, in the present order, or in that of ``order_by`` by ranges.
 
-    With ``order_by``, rows are sorted by range and numbered: a count for each range
-    partition, a sum over these few counts, and a number within each partition.
-    Without it the rows' present order is numbered.
+    Each row's place in its partition is added to the rows of all partitions before it,
+    of which there is one count each.  The rows are read twice and must come in the same
+    order both times, as they do from files and from sorted ranges without ties.
     """
-    base = df.drop(ROW_ID, ORIGIN_ID)
     if order_by:
-        base = base.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order_by]).sortWithinPartitions(*order_by)
-    names = base.columns
-    numbered = base.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    schema = base.schema.add("_n", "long")
-    out = base.sparkSession.createDataFrame(numbered, schema)
-    row = (F.col("_n") + 1) * GAP
-    return out.select(row.alias(ROW_ID), F.sha2(F.concat_ws(":", F.lit(source), row.cast("string")), 256).substr(1, 32).alias(ORIGIN_ID), *names)
+        df = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order_by]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order_by])
+    placed = df.withColumn("_at", F.monotonically_increasing_id())  # the partition, and 33 bits for the place in it
+    part = F.shiftrightunsigned("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    joined = placed.join(F.broadcast(before), part == F.col("_part"))  # a row for each partition
+    return joined.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
+def with_ids(df: DataFrame, order_by: list[str] | None = None, source: str = "table") -> DataFrame:
+    """Dense row ids a gap apart, and a stable origin id; see :func:`numbered` for the order."""
+    base = df.drop(ROW_ID, ORIGIN_ID)
+    row = F.col("_n") * GAP
+    return numbered(base, "_n", order_by).select(row.alias(ROW_ID), F.sha2(F.concat_ws(":", F.lit(source), row.cast("string")), 256).substr(1, 32).alias(ORIGIN_ID), *base.columns)
+
+
+def duplicate(df: DataFrame, keep_ids: bool = True) -> DataFrame:
+    """A copy of a table: with its row and origin ids, or with new ones in the order of the old."""
+    return df if keep_ids else with_ids(df.withColumnRenamed(ROW_ID, "_order").drop(ORIGIN_ID), ["_order"], "copy").drop("_order")
 
 
 def renumber(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from .ids import ROW_ID, user_columns
+from .ids import ROW_ID, numbered, user_columns
 
 STRICT_FROM, SAMPLED_FROM, SAMPLE = 500, 2000, 500
 PER_BLOCK, MOST_PAIRS = 1000, 10_000
@@ -30,21 +30,25 @@ def block_key(df: DataFrame, column: str, strategy: str) -> DataFrame:
     return out.where(F.col("_block") != "")
 
 
-def find_duplicates(df: DataFrame, column: str, strategy: str = "first_letter", definite: float = 85.0, maybe: float = 60.0, limited: bool = True) -> DataFrame:
+def find_duplicates(df: DataFrame, column: str, strategy: str = "first_letter", definite: float = 85.0, maybe: float = 60.0, limited: bool = False) -> DataFrame:
     """Pairs of rows of one block with a similarity of ``maybe`` percent or more.
 
     Equal values join first as values, so each pair of different values is measured
-    once.  With ``limited``, blocks above 500 rows need five points more and blocks of
+    once, and all pairs are found.  With ``limited``, blocks above 500 rows need five points more and blocks of
     2000 and more are sampled to 500 rows by hash, 1000 pairs a block and 10000 in all
-    at most, as an interactive report wants it; without it all pairs are found.
+    at most, as an interactive report wants it.
     """
     rows = df.where(~text.is_blank(F.col(column)))
     keyed = block_key(rows, column, strategy).select("*", F.lower(F.col(column).cast("string")).alias("_low"))
     least = F.lit(maybe / 100)
     if limited:
-        sized = keyed.withColumn("_size", F.count("*").over(Window.partitionBy("_block")))
-        ranked = sized.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy(F.xxhash64(ROW_ID), ROW_ID)))
-        keyed = ranked.where((F.col("_size") < SAMPLED_FROM) | (F.col("_rank") <= SAMPLE)).drop("_rank")
+        sizes = keyed.groupBy("_block").agg(F.count("*").alias("_size"))
+        sized = keyed.join(sizes, "_block")
+        # of a large block's ids only the first by hash leave each partition
+        ids = sized.where(F.col("_size") >= SAMPLED_FROM).select("_block", ROW_ID)
+        rank = F.row_number().over(Window.partitionBy("_block").orderBy(F.xxhash64(ROW_ID), ROW_ID))
+        chosen = ids.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE).select(ROW_ID)
+        keyed = sized.where(F.col("_size") < SAMPLED_FROM).unionByName(sized.where(F.col("_size") >= SAMPLED_FROM).join(chosen, ROW_ID, "left_semi").select(sized.columns))
         least = F.when((F.col("_size") >= STRICT_FROM) & (F.col("_size") < SAMPLED_FROM), F.least(F.lit(0.95), F.lit(maybe / 100 + 0.05))).otherwise(maybe / 100)
     keyed = keyed.withColumn("_least", least)
     names = user_columns(df)
@@ -71,8 +75,7 @@ def field_similarities(pairs: DataFrame, columns: list[str]) -> DataFrame:
     fields = []
     for c in columns:
         a, b = F.coalesce(F.col(f"a_{c}").cast("string"), F.lit("")), F.coalesce(F.col(f"b_{c}").cast("string"), F.lit(""))
-        value = F.when(a == b, 100.0).when((a == "") | (b == ""), 0.0).otherwise(F.round(similarity.jaro_winkler_column(F.lower(a), F.lower(b)) * 100, 1))
-        pairs = pairs.withColumn(f"_s_{c}", value)
+        pairs = pairs.withColumn(f"_s_{c}", similarity.field_similarity_column(a, b))
         status = F.when(F.col(f"_s_{c}") == 100, "exact").when(F.col(f"_s_{c}") >= 70, "similar").otherwise("different")
         fields.append(F.struct(F.lit(c).alias("column"), a.alias("value_a"), b.alias("value_b"), F.col(f"_s_{c}").alias("similarity"), status.alias("status")))
     return pairs.withColumn("field_similarities", F.array(*fields)).drop(*[f"_s_{c}" for c in columns])
@@ -80,7 +83,10 @@ def field_similarities(pairs: DataFrame, columns: list[str]) -> DataFrame:
 
 def stratified(pairs: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     """Fuzzy pairs first, best ones before others, and exact ones evenly over the rest."""
-    ordered = pairs.withColumn("_exact", F.col("similarity") == 100)
+    exact = F.col("similarity") == 100
+    fuzzy = pairs.where(~exact).orderBy(F.col("similarity").desc(), "a_row_id", "b_row_id").limit(most)
+    even = pairs.where(exact).orderBy(F.xxhash64("a_row_id", "b_row_id"), "a_row_id", "b_row_id").limit(most)
+    ordered = fuzzy.unionByName(even).withColumn("_exact", exact)  # twice ``most`` rows, however many pairs there are
     rank = F.row_number().over(Window.partitionBy("_exact").orderBy(F.when(F.col("_exact"), F.xxhash64("a_row_id", "b_row_id")).otherwise(F.lit(0)), F.col("similarity").desc(), "a_row_id", "b_row_id"))
     return ordered.withColumn("_rank", rank).orderBy("_exact", "_rank").limit(most).drop("_exact", "_rank")
 
@@ -92,8 +98,9 @@ def merge_duplicates(df: DataFrame, pairs: DataFrame, audit_id: str = "merge") -
     kept = as_json.select(F.col("_id").alias("kept_id"), F.col("_json").alias("kept_row_data"))
     dropped = as_json.select(F.col("_id").alias("deleted_id"), F.col("_json").alias("deleted_row_data"))
     details = pairs.join(kept, "kept_id").join(dropped, "deleted_id")
-    index = F.row_number().over(Window.orderBy("kept_id", "deleted_id")) - 1
-    audit = details.select(F.lit(audit_id).alias("audit_entry_id"), index.alias("pair_index"), F.round("similarity").cast("int").alias("similarity"), "match_column", "kept_row_data", "deleted_row_data")
+    index = numbered(pairs.select("kept_id", "deleted_id").distinct(), "_n", ["kept_id", "deleted_id"])
+    details = details.join(index, ["kept_id", "deleted_id"])
+    audit = details.select(F.lit(audit_id).alias("audit_entry_id"), (F.col("_n") - 1).alias("pair_index"), F.round("similarity").cast("int").alias("similarity"), "match_column", "kept_row_data", "deleted_row_data")
     return df.join(gone, ROW_ID, "left_anti"), audit
 
 
@@ -116,9 +123,21 @@ def validate_clustering(df: DataFrame, column: str, most: int | None = 50_000) -
     return {"valid": n > 0 and (most is None or n <= most), "distinct": n}
 
 
-def mappings(clusters: DataFrame) -> DataFrame:
-    """(from_value, to_value): the other spellings of each cluster of two and more to its master."""
-    return clusters.where("size > 1").select("master", F.explode("values").alias("v")).where("v.value != master").select(F.col("v.value").alias("from_value"), F.col("master").alias("to_value"))
+def mappings(clusters: DataFrame, chosen: dict[str, str | None] | None = None, left_out: list[str] = ()) -> DataFrame:
+    """(from_value, to_value): the other spellings of each cluster of two and more to its master.
+
+    ``chosen``: cluster keys, with a value of one's own instead of the master or None; all
+    clusters where it is not given.  ``left_out``: spellings that stay as they are.
+    """
+    goal = F.col("master")
+    used = clusters.where("size > 1")
+    if chosen is not None:
+        used = used.where(F.col("cluster_key").isin(list(chosen)))
+        for key, value in chosen.items():
+            goal = F.when(F.col("cluster_key") == key, F.lit(value)).otherwise(goal) if value is not None else goal
+    each = used.select(goal.alias("to_value"), F.explode("values").alias("v")).where("v.value != to_value")
+    each = each.where(~F.col("v.value").isin(list(left_out))) if left_out else each
+    return each.select(F.col("v.value").alias("from_value"), "to_value")
 
 
 def apply_mappings(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:

@@ -9,18 +9,35 @@ from ..functions import dates, text
 from .commands import apply, cast_column
 from .ids import ROW_ID, user_columns
 
-#: Texts that a cell of each type may hold.
-PATTERNS = {"INTEGER": r"^-?\d+$", "DOUBLE": r"^-?\d*\.?\d+([eE][+-]?\d+)?$", "DATE": r"^\d{4}-\d{2}-\d{2}$", "TIMESTAMP": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$", "BOOLEAN": r"(?i)^(true|false|1|0|yes|no|t|f|y|n)$"}
+#: Texts that a cell of each type may hold, and the bits of whole numbers.
+PATTERNS = {
+    "INTEGER": r"^-?\d+$",
+    "UINTEGER": r"^\d+$",
+    "DOUBLE": r"^-?\d*\.?\d+([eE][+-]?\d+)?$",
+    "DECIMAL": r"^-?\d*\.?\d+$",
+    "BOOLEAN": r"(?i)^(true|false|1|0|yes|no|t|f|y|n)$",
+    "DATE": r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}-\d{1,2}-\d{2,4})$",
+    "TIMESTAMP": r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?)?$",
+    "TIME": r"^\d{2}:\d{2}(:\d{2})?(\.\d+)?$",
+}
 RANGES = {"TINYINT": 7, "SMALLINT": 15, "INTEGER": 31, "BIGINT": 63}
+UNSIGNED = {"UTINYINT": 8, "USMALLINT": 16, "UINTEGER": 32, "UBIGINT": 64}
+SAME = {"HUGEINT": "INTEGER", "FLOAT": "DOUBLE", "REAL": "DOUBLE", "NUMERIC": "DECIMAL"}
 
 
 def value_fits(column, kind: str):
-    """Whether texts are values of a type; nulls and empty ones always are."""
-    s = F.col(column).cast("string")
-    fits = F.lit(True) if kind == "VARCHAR" else s.rlike(PATTERNS["INTEGER" if kind in RANGES else kind])
-    if kind in RANGES:
+    """Whether texts are values of a type, blanks around them left aside; nulls and empty ones always are.
+
+    Parameters of a type do not matter, and a type without a pattern takes any text.
+    """
+    kind = kind.split("(")[0].strip().upper()
+    s = F.trim(F.col(column).cast("string"))
+    pattern = PATTERNS.get("INTEGER" if kind in RANGES else "UINTEGER" if kind in UNSIGNED else SAME.get(kind, kind))
+    fits = s.rlike(pattern) if pattern else F.lit(True)
+    if kind in RANGES or kind in UNSIGNED:
         n = s.try_cast("decimal(38,0)")
-        fits = fits & n.between(-(2 ** RANGES[kind]), 2 ** RANGES[kind] - 1)
+        low, high = (0, 2 ** UNSIGNED[kind] - 1) if kind in UNSIGNED else (-(2 ** RANGES[kind]), 2 ** RANGES[kind] - 1)
+        fits = fits & n.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
     return s.isNull() | (s == "") | F.coalesce(fits, F.lit(False))
 
 
@@ -75,6 +92,40 @@ def changes(df: DataFrame, name: str, column: str, **params) -> DataFrame:
     return after.select(*ids, F.col("_was").cast("string").alias("original"), F.col(column).cast("string").alias("result")).where(~F.col("original").eqNullSafe(F.col("result")))
 
 
+def affected(df: DataFrame, name: str, column: str, **params) -> DataFrame:
+    """Row ids of the rows that a one-column command changes."""
+    return changes(df, name, column, **params).select(ROW_ID)
+
+
+def preview_split(df: DataFrame, column: str, sample: int = 10, **params) -> DataFrame:
+    """The first rows' value of a column and the parts that splitting it gives."""
+    head = df.where(~text.is_blank(F.col(f"`{column}`"))).limit(sample)
+    out = apply(head, "split_column", column=column, **params)
+    parts = [c for c in out.columns if c not in df.columns]
+    return out.select(F.col(f"`{column}`").cast("string").alias("original"), F.array(*[F.col(f"`{c}`") for c in parts]).alias("parts"))
+
+
+def preview_combine(df: DataFrame, columns: list[str], sample: int = 10, **params) -> DataFrame:
+    """The first rows' values of some columns and what combining them gives."""
+    out = apply(df.limit(sample), "combine_columns", columns=columns, **{**params, "new_name": "_result"})
+    return out.select(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]).alias("original"), F.col("_result").alias("result"))
+
+
+def row_changes(before: DataFrame, after: DataFrame, entry: str) -> DataFrame:
+    """(audit_entry_id, row_id, change, row) of rows that a command added or removed, with their values as JSON."""
+    told = []
+    for one, other, change in ((after, before, "added"), (before, after, "removed")):
+        alone = one.join(other.select(ROW_ID), ROW_ID, "left_anti")
+        told.append(alone.select(F.lit(entry).alias("audit_entry_id"), F.col(ROW_ID).alias("row_id"), F.lit(change).alias("change"), F.to_json(F.struct(*user_columns(one)), {"ignoreNullFields": "false"}).alias("row")))
+    return told[0].unionByName(told[1])
+
+
+def audit_page(details: DataFrame, size: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the details of an audit entry, by row and column."""
+    order = [c for c in ("row_id", "pair_index", "column_name") if c in details.columns]
+    return details.orderBy(*order).offset(offset).limit(size)
+
+
 def preview(df: DataFrame, name: str, column: str, sample: int = 10, **params) -> dict:
     found = changes(df, name, column, **params)
     return {"rows": found.limit(sample).collect(), "matching": found.count(), "nulls": df.where(F.col(column).isNull()).count()}

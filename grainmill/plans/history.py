@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.commands import apply
+from ..operators.diff import Diff, diff
 from ..operators.ids import user_columns
 from ..operators.validation import audit
 from .recipe import Step
@@ -50,6 +51,10 @@ class Timeline:
         both = [c for c in user_columns(before) if c in after.columns]
         return audit(before, after, both, str(position), most)
 
+    def step_diff(self, position: int) -> Diff:
+        """The rows that the command at ``position`` added, removed or changed, by row id."""
+        return diff(self.at(position - 1), self.at(position))
+
     def status(self, step: Step) -> str:
         for i, s in enumerate(self.steps[: self.position]):
             if s.command == step.command and s.params == step.params:

@@ -123,6 +123,12 @@ def run(df: DataFrame, recipe: Recipe, secret: str | None = None, columns: dict[
     return df
 
 
+def preview(df: DataFrame, recipe: Recipe, sample: int = 10, **options) -> dict:
+    """Columns before and after a recipe, which of them are new or gone, and its first rows."""
+    after = run(df, recipe, **options)
+    return {"columns": after.columns, "new": [c for c in after.columns if c not in df.columns], "gone": [c for c in df.columns if c not in after.columns], "rows": after.limit(sample).collect()}
+
+
 def extract(history: list[Step], name: str) -> Recipe:
     return Recipe(name, [s for s in history if REGISTRY[s.command].in_recipes])
 

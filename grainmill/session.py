@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -30,3 +32,11 @@ def ensure_importable(spark: SparkSession) -> None:
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep) and ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, path]) if path else ROOT
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; in a local session without one, in a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(found or tempfile.gettempdir()).rstrip('/')}/grainmill-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ids import user_columns
+from ..operators.ids import user_columns, with_ids
 
 DELIMITERS = (",", "\t", "|", ";")
 
@@ -51,24 +51,59 @@ def detect_encoding(head: bytes) -> str:
     return "utf-8"
 
 
-def preview(spark: SparkSession, path: str, lines: int = 50) -> dict:
-    """First lines with delimiter and encoding, read by Spark from any store it knows."""
-    head = [r[0] for r in spark.read.text(path).limit(lines).collect()]
-    raw = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536)).first()[0] or b"")
-    return {"lines": head, "delimiter": detect_delimiter(head), "encoding": detect_encoding(raw)}
+def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s for s in store.listStatus(at) if s.isFile() and s.getPath().getName()[0] not in "._"), key=lambda s: s.getPath().getName())
+    if not found:
+        raise ValueError(f"no file in {path}")
+    stream = store.open(found[0].getPath())
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(size, found[0].getLen()))))
+    finally:
+        stream.close()
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", header_row: int = 1, infer: bool = True) -> DataFrame:
-    """A CSV whose header stands on the given line; lines before it are left out."""
-    if delimiter is None:
-        delimiter = detect_delimiter([r[0] for r in spark.read.text(path).limit(header_row + 50).collect()][header_row - 1 :])
-    options = {"header": True, "inferSchema": infer, "sep": delimiter, "escape": '"', "encoding": encoding}
+def preview(spark: SparkSession, path: str, lines: int = 50) -> dict:
+    """First lines with delimiter and encoding; 64 kB of the file are read."""
+    raw = head_of(spark, path)
+    encoding = detect_encoding(raw)
+    head = raw.decode(encoding, "replace").splitlines()
+    head = head[:-1] if len(raw) == 65536 and len(head) > 1 else head  # the last line may go on
+    return {"lines": head[:lines], "delimiter": detect_delimiter(head[:lines]), "encoding": encoding}
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """Texts cast to the first type that takes every value of a column, from one aggregation."""
+    kinds = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    found = df.agg(*[F.count(F.col(f"`{c}`").try_cast(k) if k else F.col(f"`{c}`")).alias(f"{i}.{k}") for i, c in enumerate(df.columns) for k in ("", *kinds)]).first()
+    best = [next((k for k in kinds if found[f"{i}."] and found[f"{i}.{k}"] == found[f"{i}."]), "string") for i in range(len(df.columns))]
+    return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in zip(df.columns, best, strict=True)])
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header_row: int = 1, infer: bool = True) -> DataFrame:
+    """A CSV whose header stands on the given line; lines before it are left out.
+
+    Delimiter and encoding are found by a look at the head where they are not given.
+    With lines before the header the rest is read by the same CSV reader, quoted line
+    breaks and all, under the header's names, and the records up to it are dropped.
+    """
+    raw = head_of(spark, path)
+    encoding = encoding or detect_encoding(raw)
+    lines = raw.decode(encoding, "replace").splitlines()
+    delimiter = delimiter or detect_delimiter(lines[header_row - 1 : header_row + 50])
+    options = {"multiLine": True, "sep": delimiter, "escape": '"', "encoding": encoding}
     if header_row <= 1:
-        return spark.read.options(multiLine=True, **options).csv(path)
-    head = [r[0] for r in spark.read.text(path).limit(header_row).collect()]
-    skipped = {(i, x) for i, x in enumerate(head[: header_row - 1])}
-    body = spark.read.text(path).rdd.zipWithIndex().filter(lambda x: (x[1], x[0][0]) not in skipped).map(lambda x: x[0][0])
-    return spark.read.options(**options).csv(body)
+        return spark.read.options(header=True, inferSchema=infer, **options).csv(path)
+    if len(lines) < header_row:
+        raise ValueError(f"no line {header_row} in the first 64 kB")
+    names = split_line(lines[header_row - 1], delimiter)
+    skipped = sum(bool(x.strip()) for x in lines[:header_row])  # the reader passes over empty lines
+    body = spark.read.options(header=False, **options).schema(", ".join(f"_{i} string" for i in range(len(names)))).csv(path)
+    # a file with quoted line breaks is one partition, so this number is the record's place in it
+    rows = body.withColumn("_at", F.monotonically_increasing_id()).where(F.col("_at") >= skipped).drop("_at").toDF(*names)
+    return inferred(rows) if infer else rows
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -106,6 +141,11 @@ def load(spark: SparkSession, path: str, kind: str | None = None, **options) ->
     return READERS[suffix](spark, path, **options)
 
 
+def ingest(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
+    """A file as a table with row and origin ids, in the order of its rows."""
+    return with_ids(load(spark, path, kind, **options), source=table_name(path))
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """User columns with a header; nulls are empty."""
     out = df.select(*[F.col(f"`{c}`") for c in user_columns(df)])

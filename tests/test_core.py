@@ -47,6 +47,29 @@ def test_privacy(spark):
         privacy.scrub(spark.range(1), [{"column": "id", "method": "hash"}], "abc")
 
 
+@pytest.mark.parametrize("word, codes", [("edge", ("AJ", "AJ")), ("church", ("XRX", "XRX")), ("sign", ("SKN", "SN")), ("laugh", ("L", "L")), ("burgh", ("PRK", "PRK")), ("Knight", ("NT", "NT")), ("nation", ("NX", "NX")), ("Xavier", ("SFR", "SFR")), ("Thomas", ("0MS", "TMS")), ("Asia", ("AX", "AS")), ("Wagner", ("AKNR", "ANR")), ("é1", ("", ""))])
+def test_sounds(word, codes):
+    assert similarity.phonetic(word) == codes
+
+
+def test_field_similarity():
+    assert similarity.field_similarity("", "") == 100 and similarity.field_similarity("a", "") == 0 and similarity.field_similarity("a", "B") == 0
+    assert similarity.field_similarity("MARTHA", "marhta") == 96.1 and similarity.field_similarity("dixon", "dicksonx") == 81.3
+    assert similarity.field_similarity("abc", "acb") == 60.0  # half a transposition, and the bonus below 0.7 too
+
+
+def test_fill_down_keeps_rows_without_an_order(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, None), (None, "z")], "n long, v string")
+    assert sorted(map(tuple, apply(df, "fill_down", column="v", order="n", bucket=1).collect()), key=str) == sorted([(1, "a"), (2, "a"), (None, None), (None, "z")], key=str)
+
+
+def test_csv_below_lines_of_its_own_in_latin(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_bytes('top line\nid,place\n1,"café\nnext"\n2,"a ""b"""\n'.encode("iso-8859-1"))
+    assert [tuple(r) for r in files.read_csv(spark, str(path), header_row=2).collect()] == [(1, "café\nnext"), (2, 'a "b"')]
+    assert files.preview(spark, str(path))["encoding"] == "iso-8859-1"
+
+
 def test_jaro_winkler_like_duckdb():
     import random
 
