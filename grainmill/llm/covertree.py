@@ -110,7 +110,7 @@ def _children(tree: list[Level], depth: int) -> tuple[Level, np.ndarray]:
 
 
 def dual_links(a: np.ndarray, b: np.ndarray | None, threshold: float):
-    """Yields (i, j) arrays of rows with cosine >= threshold; ``b`` None: pairs i < j within ``a``.
+    """Yields (i, j) arrays of rows with cosine >= threshold; ``b`` None: pairs within ``a``, each once.
 
     Rows must be unit vectors.  Node pairs are kept while the distance of their centers
     can be bridged by their covering radii and the threshold's distance.
