@@ -7,6 +7,7 @@ row its place in the one long stream, and pass two cuts the stream into windows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, as_bytes, cut
+from .common import LOWER_ASCII, as_bytes, bounded, cut
 
 WINDOW = 2048
 END_ID = 1
@@ -30,19 +31,40 @@ REMEMBERED = 250_000
 _APART = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
 
 
+#: What a tokenizer's file says where a text's ids are those of its words in turn.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer drops case and white space, never looks across blanks, and takes a run of letters as one piece."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    normal = (spec.get("normalizer") or {}).get("normalizers")
+    level = [{k: s.get(k) for k in ("type", "add_prefix_space", "use_regex")} for s in steps[1:]]
+    return (
+        normal == _NORMALIZERS
+        and (steps[0].get("type"), steps[0].get("behavior"), steps[0].get("invert")) == ("Split", "Removed", True)
+        and steps[0]["pattern"] == {"Regex": _PIECES}
+        and [s["type"] for s in level] == ["ByteLevel"]
+        and not level[0]["add_prefix_space"]
+        and spec["model"]["type"] == "BPE"
+        and not spec["model"].get("dropout")
+    )
+
+
 class WordIds:
     """Token ids of texts, by a memory of the ids of their words.
 
-    Holds for tokenizers that drop case and white space, never look across blanks, and
-    take a run of letters as one piece, so that a text's ids are those of its words in
-    turn.  Words of letters alone go straight to the tokenizer's model; all others take
-    its whole path.
+    Holds for tokenizers of which :func:`by_words` is true: there a text's ids are those
+    of its words in turn.  Words of letters alone go straight to the tokenizer's model;
+    all others take its whole path, as whole texts do under any other tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = by_words(json.loads(self.tokenizer.to_str()))
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
         self.kind = "<u4" if self.wide else "<u2"
         self.known: dict[bytes, bytes] = {}
@@ -71,6 +93,9 @@ class WordIds:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as packed little-endian integers of ``kind``."""
+        if not self.by_words:
+            ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+            return np.array(ids, dtype=self.kind).tobytes()
         words = _APART.sub(rb" \1", text.translate(LOWER_ASCII)).split()
         known = self.known
         try:
@@ -109,7 +134,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(start), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "before", "n", "ids"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut(text.mapInArrow(run, "doc_id long, part int, before long, n long, ids binary"))
 
 
@@ -165,7 +190,9 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
     """(sequence_id, ids, length, pieces): whole sequences with a boundary record of each piece.
 
     Padded to ``window`` unless the length is a power of two.  A sequence has at most
-    ``window`` pieces, so its group is bounded.
+    ``window`` pieces, so its group is bounded.  ``pieces`` is what :func:`pack` gives
+    with ids; null or shared doc_ids stay as they are, other columns are left out, and
+    no pieces give no sequences.
     """
     record = F.struct("offset", "doc_id", "start", "length", "ids")
     grouped = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(record)).alias("p"), F.sum("length").alias("length"))

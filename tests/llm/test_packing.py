@@ -43,3 +43,13 @@ def test_words_encode_like_texts():
     for text in ["Don't  stop it's 12,345 naïve é \x1c odd\x85x <|endoftext|> ΑΣ Σ ß", "", "a\n\tb", *(t or "" for _, t, *_ in rows())]:
         got = np.frombuffer(words.encode(text.encode()), dtype=words.kind).tolist()
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_another_kind_of_tokenizer_takes_whole_texts(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert packing.WordIds(tokenizer_path()).by_words and not packing.WordIds(path).by_words
+    found = packing.pack(docs(spark), path, with_ids=True).where("start = 0").collect()
+    want = {(i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1][:5])) for i, t, *_ in rows()}
+    assert {(r.doc_id, r.doc_tokens) for r in found} == {(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in rows()}
+    assert all((r.doc_id, tuple(r.ids[:5])) in want for r in found if len(r.ids) >= 5)
