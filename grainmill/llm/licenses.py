@@ -18,38 +18,64 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that give a label wherever their words stand together.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Licence wordings.  ``[...]`` may be left out; ``{n}`` stands for up to n words of any kind.
+#: Licence wordings, in the words of their texts.  ``[...]`` may be left out, and regions nest.  ``{n}``
+#: stands for up to n words of any kind, ``{m-n}`` for m to n of them, ``{n:x}`` for up to n words that the pattern x
+#: takes whole, ``{a|b}`` for one of the words named.  Typographic quotes belong to the words beside them.
 TEMPLATES = (
+    # texts
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the {software|“software”} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software [the software is provided {as|“as} {is|is”} without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and {noninfringement|infringement} in no event shall the {authors|author|holders} [or copyright holders] be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]"),
+    ("isc", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies [the software is provided {as|“as} {is|is”} and {1-6} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {1-6} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software]"),
+    ("0bsd", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted the software is provided {as|“as} {is|is”} and {1-6} disclaims all warranties with regard to this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {1:[1a]} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {1:[1a]} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {1:[2b]} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by {1-10} {as|“as} {is|is”} and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {1-10} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {1:[1a]} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {1:[2b]} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution {1:[3c4d]} neither the name of {1-12} may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by {1-10} {as|“as} {is|is”} and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {1-10} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib", "this software is provided {as|“as} {is|is”} without any express or implied warranty in no event will the {authors|author} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {1:1} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {1:2} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {1:3} this notice may not be removed or altered from any source distribution"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the {software|“software”} to use reproduce display distribute execute and transmit the software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain [anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means]"),
+    ("wtfpl", "do what the {1-2:[a-z]+} you want to public license"),
+    ("apache-2.0", "apache license version 2 0 january 2004 {5} terms and conditions for use reproduction and distribution"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991 copyright {1:c|©} {2:[0-9]+} free software foundation inc {24} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007 copyright {1:c|©} {2:[0-9]+} free software foundation inc {8} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007 copyright {1:c|©} {2:[0-9]+} free software foundation inc {8} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    # notices
     ("mit", "[this] {4} released under the [terms of the] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software"),
-    ("isc", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("apache-2.0", "licensed under the apache license version 2 0 [the license]"),
+    ("apache-2.0", "licensed under the apache license version 2 0 [the {license|“license”} [you may not use this file except in compliance with the license [you may obtain a copy of the license at {6}]] [unless required by applicable law or agreed to in writing software distributed under the license is distributed on an {as|“as} {is|is”} basis without warranties or conditions of any kind either express or implied]]"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-2.0", "licensed under the [terms of the] gnu general public license [as published by the free software foundation] [either] [version] [v] 2"),
     ("gpl-3.0", "licensed under the [terms of the] gnu general public license [as published by the free software foundation] [either] [version] [v] 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-2.0", "under the terms of the gnu general public license [as published by the free software foundation] [either] version 2"),
+    ("gpl-3.0", "under the terms of the gnu general public license [as published by the free software foundation] [either] version 3"),
     ("lgpl", "licensed under the [terms of the] gnu lesser general public license [version] {2}"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("lgpl", "under the terms of the gnu {lesser|library} general public license [as published by the free software foundation]"),
+    ("agpl-3.0", "under the terms of the gnu affero general public license [as published by the free software foundation] [either] version 3"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 [if a copy of the mpl was not distributed with this file you can obtain one at {6}]"),
+    ("epl-2.0", "made available under the terms of the eclipse public license [v] 2 0"),
     ("cc-by", "licensed under [the] [a] [creative commons] cc by [4] [3] 0"),
     ("cc-by-sa", "licensed under [the] [a] [creative commons] cc by sa [4] [3] 0"),
     ("cc-by-nc", "licensed under [the] [a] [creative commons] cc by nc [4] [3] 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution non commercial {2} [international] license"),
-    ("cc-by", "licensed under a creative commons attribution {2} [international] license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+    ("cc-by-nc", "licensed under a creative commons attribution {noncommercial|non} [commercial] {2:[0-9]+} [{international|unported}] license"),
+    ("cc-by-sa", "licensed under a creative commons attribution {sharealike|share} [alike] {2:[0-9]+} [{international|unported}] license"),
+    ("cc-by", "licensed under a creative commons attribution {2:[0-9]+} [{international|unported}] license"),
+)
 #: Share of mandatory words from which an incomplete wording counts in the score.
 PARTIAL = 0.5
 
 
 @dataclass(frozen=True)
 class Automaton:
-    """States are places before a node; each node takes one word, or any word, and may be skippable to another state."""
+    """States are places before a node; each node takes one word of a set or by a pattern, and may be skippable to another state."""
 
     label: str
-    nodes: tuple[bytes | None, ...]
+    nodes: tuple[frozenset[bytes] | re.Pattern[bytes] | None, ...]  # None takes any word
     skips: dict[int, tuple[int, ...]]
     done: tuple[int, ...]  # mandatory words before each state
 
+    def takes(self, state: int, word: bytes) -> bool:
+        node = self.nodes[state]
+        if isinstance(node, frozenset):
+            return word in node
+        return node is None or node.fullmatch(word) is not None
+
     def closure(self, states: set[int]) -> set[int]:
         todo = list(states)
         while todo:
@@ -60,14 +86,19 @@ class Automaton:
         return states
 
     def firsts(self) -> set[bytes]:
-        """Fixed words that can come first, wildcards left aside."""
-        return {self.nodes[s] for s in self.closure({0}) if s < len(self.nodes) and self.nodes[s] is not None}
+        """Fixed words that can come first, replaceable ones left aside."""
+        return {w for s in self.closure({0}) if s < len(self.nodes) and isinstance(self.nodes[s], frozenset) for w in self.nodes[s]}
+
+    def needs(self) -> tuple[frozenset[bytes], ...]:
+        """The two longest of the mandatory words; an accepted text holds both."""
+        fixed = {n for n, d, e in zip(self.nodes, self.done[:-1], self.done[1:], strict=True) if e > d}
+        return tuple(sorted(fixed, key=lambda n: (-min(map(len, n)), sorted(n)))[:2])
 
     def run(self, words: list[bytes], at: int) -> tuple[int, float]:
         """(words taken, or 0 if not accepted; best share of mandatory words in sequence) from word ``at`` on."""
         states, best, end = self.closure({0}), 0, 0
         for i in range(at, len(words)):
-            states = self.closure({s + 1 for s in states if s < len(self.nodes) and (self.nodes[s] is None or self.nodes[s] == words[i])})
+            states = self.closure({s + 1 for s in states if s < len(self.nodes) and self.takes(s, words[i])})
             if not states:
                 break
             best = max(best, max(self.done[s] for s in states))
@@ -76,31 +107,38 @@ class Automaton:
         return end, best / max(1, self.done[-1])
 
 
+#: A part of a template: a bracket, a replaceable region or a word.
+_PART = re.compile(r"\[|\]|\{[^{}\s]*\}|[^\s\[\]{}]+")
+_REGION = re.compile(r"(?:(\d+)-)?(\d+)(?::(.+))?")
+
+
 def compile_template(label: str, text: str) -> Automaton:
-    """A template as an automaton; a text that has only optional parts is refused."""
-    nodes: list[bytes | None] = []
+    """A template as an automaton; wrong markup and a text that has only optional parts are refused."""
+    nodes: list[frozenset[bytes] | re.Pattern[bytes] | None] = []
     skips: dict[int, list[int]] = {}
     done = [0]
-    start = None
-    for token in re.findall(r"\[|\]|\{\d+\}|[^\s\[\]{}]+", text):
-        if token == "[":
-            if start is not None:
-                raise ValueError(f"optional regions do not nest: {text}")
-            start = len(nodes)
-        elif token == "]":
-            if start is None:
+    open_: list[int] = []
+    parts = _PART.findall(text)
+    if "".join(parts) != "".join(text.split()):
+        raise ValueError(f"a brace without its other: {text}")
+    for part in parts:
+        if part == "[":
+            open_.append(len(nodes))
+        elif part == "]":
+            if not open_:
                 raise ValueError(f"no optional region is open: {text}")
-            skips.setdefault(start, []).append(len(nodes))
-            start = None
-        elif token[0] == "{":
-            for _ in range(int(token[1:-1])):
-                skips.setdefault(len(nodes), []).append(len(nodes) + 1)
-                nodes.append(None)
+            skips.setdefault(open_.pop(), []).append(len(nodes))
+        elif region := part[0] == "{" and _REGION.fullmatch(part[1:-1]):
+            least, most, pattern = region.groups()
+            for i in range(int(most)):
+                if i >= int(least or 0):
+                    skips.setdefault(len(nodes), []).append(len(nodes) + 1)
+                nodes.append(re.compile(pattern.encode()) if pattern else None)
                 done.append(done[-1])
         else:
-            nodes.append(token.encode())
-            done.append(done[-1] + (start is None))
-    if start is not None or not done[-1]:
+            nodes.append(frozenset(w.encode() for w in part.strip("{}").split("|")))
+            done.append(done[-1] + (not open_))
+    if open_ or not done[-1]:
         raise ValueError(f"an open region or no mandatory word: {text}")
     return Automaton(label, tuple(nodes), {k: tuple(v) for k, v in skips.items()}, tuple(done))
 
@@ -113,25 +151,28 @@ class Scanner:
 
     def __init__(self, automata: tuple[Automaton, ...] = AUTOMATA, phrases=PHRASES):
         self.phrases = [(re.compile(rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + _GAP.join(p.encode().split()) + rb"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"), p.split()[-1].encode(), label) for p, label in phrases]
-        self.by_first: dict[bytes, list[Automaton]] = {}
-        self.rarest: set[bytes] = set()
-        for a in automata:
-            for w in a.firsts():
-                self.by_first.setdefault(w, []).append(a)
-            self.rarest.add(max((n for n, d, e in zip(a.nodes, a.done[:-1], a.done[1:], strict=True) if e > d), key=len))
+        self.automata = [(a, a.needs(), a.firsts()) for a in automata]
 
     def base(self, text: bytes) -> list[tuple[int, str]]:
         """(byte place, label) of each phrase; ``text`` in lower case."""
         return sorted((m.start(), label) for pattern, last, label in self.phrases if last in text for m in pattern.finditer(text))
 
     def templates(self, text: bytes) -> tuple[list[tuple[str, int, int]], float]:
-        """(label, first word, words) of each accepted wording, and the best share of an incomplete one."""
-        if not any(w in text for w in self.rarest):
+        """(label, first word, words) of each accepted wording, and the best share of an incomplete one.
+
+        Wordings whose two longest mandatory words do not both stand in the text are passed over.
+        """
+        by_first: dict[bytes, list[Automaton]] = {}
+        for a, needs, firsts in self.automata:
+            if all(any(w in text for w in n) for n in needs):
+                for w in firsts:
+                    by_first.setdefault(w, []).append(a)
+        if not by_first:
             return [], 0.0
         words = WORD.findall(text)
         found, best = [], 0.0
         for i, w in enumerate(words):
-            for a in self.by_first.get(w, ()):
+            for a in by_first.get(w, ()):
                 n, share = a.run(words, i)
                 if n:
                     found.append((a.label, i, n))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -92,6 +93,86 @@ def test_automaton():
     a = licenses.compile_template("x", "one [two three] {2} four [five]")
     for text, n in (("one four", 2), ("one two three four five", 5), ("one a b four", 4), ("one two three a b four", 6), ("one a b c four", 0), ("one two four", 3), ("one", 0)):
         assert a.run([w.encode() for w in text.split()], 0)[0] == n, text
-    for bad in ("[a]", "[a", "a ]", "[a [b] c] d"):
+    for bad in ("[a]", "[a", "a ]", "[a [b] c", "{2}", "a {2", "a 2}", "[a] {1-2}"):
         with pytest.raises(ValueError):
             licenses.compile_template("x", bad)
+
+
+def ends(parts, words, at):
+    """Places where a match of nested template parts can end, by plain recursion."""
+    if not parts:
+        return {at}
+    kind, value = parts[0]
+    out = ends(parts[1:], words, at) if kind == "optional" else set()
+    if kind == "optional":
+        return out.union(*(ends(parts[1:], words, e) for e in ends(value, words, at)))
+    if kind == "words":
+        return ends(parts[1:], words, at + 1) if at < len(words) and words[at] in value else set()
+    least, most, pattern = value
+    for n in range(least, most + 1):
+        if at + n <= len(words) and all(re.fullmatch(pattern, w) for w in words[at : at + n]):
+            out |= ends(parts[1:], words, at + n)
+    return out
+
+
+def written(parts):
+    """The markup of nested template parts."""
+    signs = {"optional": lambda v: f"[{written(v)}]", "words": lambda v: v[0] if len(v) == 1 else "{" + "|".join(v) + "}", "any": lambda v: f"{{{v[0]}-{v[1]}:{v[2]}}}" if v[2] != ".+" else f"{{{v[0]}-{v[1]}}}"}
+    return " ".join(signs[kind](value) for kind, value in parts)
+
+
+def drawn(rng, depth=0):
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["words", "words", "any", "optional"] if depth < 3 else ["words"])
+        least = rng.randint(0, 1)
+        value = {"words": lambda: rng.sample("abc", rng.randint(1, 2)), "any": lambda: (least, least + rng.randint(1, 2), rng.choice([".+", "[ab]", "[0-9]+"])), "optional": lambda: drawn(rng, depth + 1)}[kind]()
+        parts.append((kind, value))
+    return parts
+
+
+def test_automata_accept_what_plain_recursion_accepts():
+    rng, taken = random.Random(8), 0
+    for _ in range(400):
+        parts = [*drawn(rng), ("words", [rng.choice("abc")])]
+        automaton = licenses.compile_template("x", written(parts))
+        for _ in range(20):
+            words = [rng.choice(["a", "b", "c", "7"]) for _ in range(rng.randint(0, 9))]
+            want = max(ends(parts, words, 0), default=0)
+            assert automaton.run([w.encode() for w in words], 0)[0] == want, (written(parts), words)
+            taken += want > 0
+    assert taken > 500
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS “AS IS” AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = "3. Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (BSD % "", {"bsd", "bsd-2-clause"}),
+        (BSD % THIRD, {"bsd", "bsd-3-clause"}),
+        ((BSD % "").replace("SPECIAL,", ""), {"bsd"}),
+        ((BSD % "").replace("1.", "").replace("2.", ""), {"bsd", "bsd-2-clause"}),
+        ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file', {"apache-2.0"}),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", {"gpl", "gpl-3.0"}),
+        ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa"}),
+        ("Licensed under a Creative Commons Attribution 4.0 International License", {"cc-by"}),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright © 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", {"agpl-3.0"}),
+        ("redistribution and use of the general library are subject to permission", set()),
+    ],
+)
+def test_wordings(text, labels):
+    low = text.translate({c: c + 32 for c in range(65, 91)}).encode()
+    assert {x[0] for x in licenses.Scanner().templates(low)[0]} == labels
+
+
+def test_a_wording_may_leave_its_disclaimer_out_and_counts_it_where_it_stands():
+    grant = licenses.TEMPLATES[1][1].partition(" [the software is")[0].replace("[or]", "or")
+    disclaimer = licenses.TEMPLATES[1][1].partition(" [the software is")[2].rstrip("]").replace("{as|“as} {is|is”}", "as is").replace("{1-6}", "the author")
+    for text in (grant, grant + " the software is" + disclaimer):
+        assert licenses.Scanner().templates(text.encode())[0] == [("isc", 0, len(text.split()))]
