@@ -153,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     the labels' shares kept by a correction of the bias.  The chosen ids go to the texts
     by a broadcast of that bound, so no text is shuffled; only hashed terms reach the one
     task that fits, and only the model, of at most 2**18 rows, reaches the driver.  An id
-    with several texts gives one of them, and texts that hold the same terms count once.
+    with several texts gives one of them; texts of one label that hold the same terms
+    count once, and the bias is corrected for the rows that are left.  Terms with both
+    labels stay with both.
     """
     present = docs.select(F.col("doc_id").alias("_id"))
     known = cut(labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).join(present, "_id", "left_semi").distinct())
@@ -165,19 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
         pdf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"y": [], "bag": []})
-        bags = [np.asarray(b) for b in pdf["bag"]]
-        names = [b.tobytes() for b in bags]
-        keep = ~pd.Series(names, dtype=object).duplicated().to_numpy() if names else []
-        order = sorted(np.flatnonzero(keep), key=lambda i: names[i])
-        yield fit([bags[i] for i in order], pdf["y"].to_numpy()[order])
+        different = sorted({(np.asarray(b, np.int32).tobytes(), int(y)) for b, y in zip(pdf["bag"], pdf["y"], strict=True)})
+        y = np.array([y for _, y in different], int)
+        model = fit([np.frombuffer(b, np.int32) for b, _ in different], y)
+        if shares.get(0) and shares.get(1) and 0 < y.sum() < len(y):
+            shift = np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
+            model["weights"] = [[w[0] + shift] if b == -1 else list(w) for b, w in zip(model["bucket"], model["weights"], strict=True)]
+        yield model
 
     # two labels' samples: a bounded number of rows in one task
-    model = rows.repartition(1).mapInPandas(run, "bucket int, weights array<double>").toPandas()
-    taken = {y: min(n, sample) for y, n in shares.items()}
-    if shares.get(0) and shares.get(1):
-        shift = np.log(shares[1] / shares[0]) - np.log(taken[1] / taken[0])
-        model["weights"] = [[w[0] + shift] if b == -1 else list(w) for b, w in zip(model["bucket"], model["weights"], strict=True)]
-    return model
+    return rows.repartition(1).mapInPandas(run, "bucket int, weights array<double>").toPandas()
 
 
 def score(docs: DataFrame, model: pd.DataFrame, threshold: float = THRESHOLD) -> DataFrame:

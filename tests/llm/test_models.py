@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 
@@ -103,3 +106,36 @@ def test_train_and_score(spark):
     none = toxicity.train(empty(spark), labels)
     assert [r.predicted for r in toxicity.score(docs(spark), none).collect()] == [0] * len(rows())
     assert toxicity.score(empty(spark), none).collect() == []
+
+
+def test_scores_are_sums_over_all_pairs_of_terms(spark):
+    rng = np.random.default_rng(6)
+    names = ["you", "awful", "fool", "Garden", "tree", "élan", "strange", "strangely"]
+    ids = sorted({b for n in names[:6] for b in toxicity.buckets_of(n.lower().encode())})
+    weights = rng.normal(0, 0.7, (len(ids), 1 + toxicity.FACTORS))
+    model = toxicity.pd.DataFrame({"bucket": [-1, *ids], "weights": [[-0.3], *weights.tolist()]})
+    texts = [(i, " ".join(rng.choice(names, rng.integers(0, 9))) + "!", "en", "s", 0, "", "", 0) for i in range(60)] + [(60, None, "en", "s", 0, "", "", 0), (60, "", "en", "s", 0, "", "", 0)]
+    own = dict(zip(ids, weights, strict=True))
+
+    def plain(text):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        terms = sorted({b for w in words for b in toxicity.buckets_of(w.encode()) if b in own})
+        z = -0.3 + sum(own[t][0] for t in terms) + sum(own[a][1:] @ own[b][1:] for i, a in enumerate(terms) for b in terms[:i])
+        return 1 / (1 + math.exp(-z))
+
+    found = toxicity.score(docs(spark, texts), model).collect()
+    assert sorted(round(r.score, 9) for r in found) == sorted(round(plain(t[1]), 9) for t in texts)
+    assert all(r.predicted == int(r.score >= toxicity.THRESHOLD) for r in found) and len({round(r.score, 6) for r in found}) > 30
+
+
+def test_copies_of_clean_texts_leave_the_bias_alone(spark):
+    def found(copies):
+        clean = [(i, f"the garden {'abcdefgh'[i % 8]} has many flowers {i}", "en", "s", 0, "", "", 0) for i in range(200)]
+        same = [(3000 + i, "one page for all", "en", "s", 0, "", "", 0) for i in range(copies)]
+        rude = [(1000 + i, f"you are a moronic fool {i}", "en", "s", 0, "", "", 0) for i in range(100)]
+        labels = spark.createDataFrame([(r[0], int(1000 <= r[0] < 3000)) for r in clean + same + rude], "doc_id long, toxic int")
+        model = toxicity.train(docs(spark, clean + same + rude), labels)
+        bias = next(w[0] for b, w in zip(model.bucket, model.weights, strict=True) if b == -1)
+        return bias - math.log(100 / (200 + copies))
+
+    assert abs(found(600) - found(1)) < 0.3
