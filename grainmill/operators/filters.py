@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +95,11 @@ def keyset_page(df: DataFrame, size: int, cursor: int | None = None, backward: b
     return df.orderBy(F.col(ROW_ID).desc() if backward else F.col(ROW_ID)).limit(size + 1)
 
 
+def arrow_page(df: DataFrame, size: int, cursor: int | None = None, backward: bool = False, filters: list[dict] | None = None) -> pa.Table:
+    """A :func:`keyset_page` as an Arrow table."""
+    return keyset_page(df, size, cursor, backward, filters).toArrow()
+
+
 def row_at(df: DataFrame, index: int) -> int | None:
     found = df.select(ROW_ID).orderBy(ROW_ID).offset(index).limit(1).first()
     return found and found[0]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
+from .commands import command, require
 from .ids import ROW_ID, numbered, user_columns
 
 STRICT_FROM, SAMPLED_FROM, SAMPLE = 500, 2000, 500
@@ -146,6 +147,24 @@ def apply_mappings(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce("_to", F.col(c).cast("string")).alias(c) if c == column else F.col(c) for c in df.columns])
 
 
+@command("standardize", stateless=False, in_recipes=False)
+def standardize(df: DataFrame, column: str, mapping: DataFrame | dict[str, str | None] | None = None, algorithm: str = "fingerprint", chosen: dict[str, str | None] | None = None, left_out: list[str] = ()) -> DataFrame:
+    """Spellings replaced by ``mapping`` (a goal of None leaves its value as it is), else by the masters of the column's own clusters, or of ``chosen`` ones."""
+    require(df, column)
+    if mapping is None:
+        mapping = mappings(build_clusters(df, column, algorithm), chosen, left_out)
+    elif isinstance(mapping, dict):
+        mapping = df.sparkSession.createDataFrame(list(mapping.items()), "from_value string, to_value string")
+    return apply_mappings(df, column, mapping)
+
+
+@command("merge", stateless=False, in_recipes=False)
+def merge(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows without the ones that ``pairs`` merge; :func:`merge_duplicates` gives the details as well."""
+    require(df, ROW_ID)
+    return merge_duplicates(df, pairs)[0]
+
+
 def mapping_audit(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     hits = df.groupBy(F.col(column).cast("string").alias("from_value")).agg(F.count("*").alias("row_count"))
     return mapping.join(hits, "from_value").select("from_value", "to_value", "row_count").orderBy(F.col("row_count").desc(), "from_value")

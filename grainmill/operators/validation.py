@@ -120,6 +120,21 @@ def row_changes(before: DataFrame, after: DataFrame, entry: str) -> DataFrame:
     return told[0].unionByName(told[1])
 
 
+def audit_all(before: DataFrame, after: DataFrame, entry: str, most: int = 10_000) -> DataFrame:
+    """What any command did, custom SQL included: changed cells as in :func:`audit`, and whole rows, as JSON, that came or went.
+
+    Columns: audit_entry_id, row_id, change (modified, added or removed), column_name
+    (null for rows), previous_value and new_value; ``most`` at most by row id, as a report.
+    """
+    both = [c for c in user_columns(before) if c in after.columns]
+    cells = audit(before, after, both, entry, most).withColumn("change", F.lit("modified"))
+    rows = row_changes(before, after, entry)
+    gone, nothing = F.col("change") == "removed", F.lit(None).cast("string")
+    rows = rows.select("audit_entry_id", "row_id", nothing.alias("column_name"), F.when(gone, F.col("row")).alias("previous_value"), F.when(~gone, F.col("row")).alias("new_value"), "change")
+    order = ["audit_entry_id", "row_id", "change", "column_name", "previous_value", "new_value"]
+    return cells.unionByName(rows).select(*order).orderBy("row_id", "column_name").limit(most)
+
+
 def audit_page(details: DataFrame, size: int = 100, offset: int = 0) -> DataFrame:
     """A page of the details of an audit entry, by row and column."""
     order = [c for c in ("row_id", "pair_index", "column_name") if c in details.columns]

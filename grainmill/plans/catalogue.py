@@ -173,11 +173,12 @@ add("page_keyset_back", lambda s, d: filters.keyset_page(table(s, d, "orders").s
 
 
 def _sides(s, d):
-    o = table(s, d, "orders").where("o_custkey % 5 != 0").select(F.col("o_custkey").alias("custkey"), "o_orderkey")
-    return o, table(s, d, "customer").where("c_custkey % 7 != 0").select(F.col("c_custkey").alias("custkey"), "c_name")
+    """Whole tables; some keys of each are negated, so that they have no partner."""
+    key = lambda c, n: F.when(F.col(c) % n == 0, -F.col(c)).otherwise(F.col(c)).alias("custkey")
+    return table(s, d, "orders").select(key("o_custkey", 5), "o_orderkey"), table(s, d, "customer").select(key("c_custkey", 7), "c_name")
 
 
-SIDES = "WITH o AS (SELECT o_custkey AS custkey, o_orderkey FROM orders WHERE o_custkey % 5 <> 0), c AS (SELECT c_custkey AS custkey, c_name FROM customer WHERE c_custkey % 7 <> 0) "
+SIDES = "WITH o AS (SELECT CASE WHEN o_custkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS custkey, o_orderkey FROM orders), c AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN -c_custkey ELSE c_custkey END AS custkey, c_name FROM customer) "
 for kind, words in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full_outer", "FULL JOIN"), ("right", "RIGHT JOIN")):
     add(f"join_{kind}", lambda s, d, kind=kind: combine.join(*_sides(s, d), "custkey", kind), f"{SIDES} SELECT o.custkey, o_orderkey, c_name FROM o {words} c ON o.custkey = c.custkey")
 add("join_semi", lambda s, d: combine.join(*_sides(s, d), "custkey", "semi"), f"{SIDES} SELECT * FROM o WHERE custkey IN (SELECT custkey FROM c)")

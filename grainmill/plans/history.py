@@ -55,6 +55,15 @@ class Timeline:
         """The rows that the command at ``position`` added, removed or changed, by row id."""
         return diff(self.at(position - 1), self.at(position))
 
+    def position_diff(self, one: int, other: int) -> dict[str, int]:
+        """Rows added and removed and cells changed from the lower position to the higher, counted by row id."""
+        low, high = sorted((one, other))
+        rows = diff(self.at(low), self.at(high)).with_modified_columns()
+        kind = F.col("diff_status")
+        cells = F.sum(F.when(kind == "modified", F.size("modified_columns")).otherwise(0))
+        r = rows.agg(F.count_if(kind == "added").alias("added_rows"), F.count_if(kind == "removed").alias("removed_rows"), F.coalesce(cells, F.lit(0)).alias("modified_cells")).first()
+        return r.asDict()
+
     def status(self, step: Step) -> str:
         for i, s in enumerate(self.steps[: self.position]):
             if s.command == step.command and s.params == step.params:

@@ -113,7 +113,8 @@ FITS["UTINYINT"] = "0,11"
 
 def _fits(s: SparkSession, d: str) -> DataFrame:
     """Which of some values each type takes, once for every region."""
-    values = s.createDataFrame(list(enumerate(VALUES)), "i int, v string").crossJoin(F.broadcast(table(s, d, "region").select("r_regionkey")))
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(VALUES)])
+    values = table(s, d, "region").select("r_regionkey", F.inline(listed))
     each = [F.struct(F.lit(k).alias("kind"), validation.value_fits("v", k).alias("fits")) for k in FITS]
     return values.select("r_regionkey", "i", F.explode(F.array(*each)).alias("x")).where("x.fits").groupBy("r_regionkey", "x.kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i.cast("string")), ",").alias("found"))
 
@@ -141,6 +142,19 @@ def _steps(s: SparkSession, d: str) -> DataFrame:
 
 
 add("history_step_diff", _steps, "SELECT c_custkey::BIGINT * 100 AS row_id, 'modified' AS diff_status, c_mktsegment AS a_c_mktsegment, replace(c_mktsegment, 'BUILDING', 'house') AS b_c_mktsegment FROM customer WHERE contains(c_mktsegment, 'BUILDING')")
+SHORTENED = f"SELECT {ROW_ID}, c_name, replace(c_mktsegment, 'BUILDING', 'house') AS c_mktsegment FROM input WHERE c_mktsegment <> 'MACHINERY'"
+
+
+def _positions(s: SparkSession, d: str) -> DataFrame:
+    line = history.Timeline(_numbered(s, d))
+    line.run("uppercase", column="c_name")
+    line.run("custom_sql", sql=SHORTENED)
+    return s.createDataFrame([line.position_diff(1, 2)], "added_rows long, removed_rows long, modified_cells long")
+
+
+add("history_position_diff", _positions, "SELECT 0::BIGINT AS added_rows, count(*) FILTER (c_mktsegment = 'MACHINERY') AS removed_rows, count(*) FILTER (contains(c_mktsegment, 'BUILDING')) AS modified_cells FROM customer")
+add("audit_custom_sql", lambda s, d: validation.audit_all(_numbered(s, d), apply(_numbered(s, d), "custom_sql", sql=SHORTENED), "e").select("row_id", "change", "column_name", "previous_value", "new_value"), """SELECT c_custkey::BIGINT * 100 AS row_id, 'modified' AS change, 'c_mktsegment' AS column_name, c_mktsegment AS previous_value, 'house' AS new_value FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT c_custkey::BIGINT * 100, 'removed', NULL, '{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}', NULL FROM customer WHERE c_mktsegment = 'MACHINERY'""")
 add("audit_prune", lambda s, d: history.prune(table(s, d, "orders").select(F.col("o_orderkey").alias("entry_id"), F.col("o_orderdate").cast("date").alias("created_at")), 50), "SELECT o_orderkey AS entry_id, o_orderdate::DATE AS created_at FROM orders ORDER BY o_orderdate::DATE DESC, o_orderkey LIMIT 50")
 add("recipe_extracted", lambda s, d: recipe.run(_numbered(s, d), recipe.from_json(recipe.extract([recipe.Step("trim", {"column": "c_name"}), recipe.Step("edit_cell", {"row_id": 100, "column": "c_name", "value": "x"}), recipe.Step("lowercase", {"column": "c_mktsegment"})], "taken").to_json())), f"SELECT c_custkey::BIGINT * 100 AS {ROW_ID}, trim(c_name) AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer")
 
@@ -185,3 +199,15 @@ def _chosen(s: SparkSession, d: str) -> DataFrame:
 
 add("cluster_chosen_values", _chosen, f"SELECT v AS from_value, CASE WHEN cluster_key = 'building' THEN 'Houses' ELSE master END AS to_value, n AS row_count FROM (SELECT *, first_value(v) OVER (PARTITION BY cluster_key ORDER BY n DESC, v) AS master FROM ({catalogue.KEYED})) WHERE (cluster_key = 'building') OR (cluster_key = 'machinery' AND v <> master AND v <> 'MACHINERY')")
 add("cluster_records", lambda s, d: filters.cluster_records(catalogue._spelled(s, d), "v", ["BUILDING"], "BUILDING", 10).agg(F.count("*").alias("n")), f"SELECT least(count(*), 10) AS n FROM ({catalogue.SPELLED}) WHERE v = 'BUILDING'")
+add("standardize_command", lambda s, d: apply(catalogue._spelled(s, d), "standardize", column="v").groupBy("v").agg(F.count("*").alias("n")), catalogue.SQL["cluster_apply"].replace('AS "count"', "AS n"))
+add("standardize_by_hand", lambda s, d: apply(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "standardize", column="c_mktsegment", mapping={"BUILDING": "Houses", "MACHINERY": None}), "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Houses' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+
+
+def _merging(s: SparkSession, d: str) -> DataFrame:
+    found = matching.find_duplicates(_twice(s, d), "c_name", "fingerprint")
+    return found.select(F.col("a_row_id").alias("kept_id"), F.col("b_row_id").alias("deleted_id"), "similarity", F.lit("c_name").alias("match_column"))
+
+
+add("merge_command", lambda s, d: apply(_twice(s, d), "merge", pairs=_merging(s, d)), f"SELECT c_custkey::BIGINT AS {ROW_ID}, c_name FROM customer")
+add("merge_audit_page", lambda s, d: validation.audit_page(matching.merge_duplicates(_twice(s, d), _merging(s, d))[1], 20, 5).select("pair_index", "similarity", "match_column", F.get_json_object("kept_row_data", "$.c_name").alias("kept")), "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pair_index, 100 AS similarity, 'c_name' AS match_column, c_name AS kept FROM customer ORDER BY 1 LIMIT 20 OFFSET 5")
+add("page_arrow", lambda s, d: s.createDataFrame(filters.arrow_page(_numbered(s, d), 30, cursor=500)), f"SELECT c_custkey::BIGINT * 100 AS {ROW_ID}, c_name, c_mktsegment FROM customer WHERE c_custkey > 5 ORDER BY 1 LIMIT 31")
