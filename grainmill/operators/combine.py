@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ def join(left: DataFrame, right: DataFrame, key: str, kind: str = "inner") -> Da
     if key not in own or key not in other:
         raise CommandError("KEY_NOT_FOUND", f"no key {key} in both tables")
     more = [c for c in other if c not in own]
-    r = right.select(F.col(key).alias("_key"), *more)
-    joined = left.select(*own).join(r, F.col(key) == F.col("_key"), KINDS[kind])
+    name = f"_key_{uuid.uuid4().hex}"
+    r = right.select(F.col(key).alias(name), *more)
+    joined = left.select(*own).join(r, F.col(key) == F.col(name), KINDS[kind])
     return joined.select(*own) if kind in ("semi", "anti") else joined.select(*own, *more)
 
 

@@ -117,7 +117,10 @@ def highlight(df: DataFrame, changed: Column) -> DataFrame:
 
 def export_rows(d: Diff, unchanged: bool = False) -> DataFrame:
     """Status and values for a CSV: the new value, or the old one of a removed row."""
-    rows = d.rows if unchanged else d.changed()
+    return _exported(d, d.rows if unchanged else d.changed())
+
+
+def _exported(d: Diff, rows: DataFrame) -> DataFrame:
     columns = d.shared + d.new_columns + d.removed_columns
     value = {c: F.coalesce(*[F.col(f"{p}_{c}").cast("string") for p in ("b", "a") if f"{p}_{c}" in d.rows.columns]).alias(c) for c in columns}
     return rows.select(F.col("diff_status").alias("Status"), *value.values())
@@ -138,4 +141,5 @@ def export_report(d: Diff) -> dict:
 
 
 def clipboard(d: Diff, size: int = 100) -> DataFrame:
-    return export_rows(d).limit(size)
+    """The first changed rows in the order of the pages."""
+    return _exported(d, d.page(size))

@@ -160,3 +160,21 @@ def test_streams(spark, tmp_path):
     assert [(r.id, r.v) for r in spark.table("streamed").collect()] == [(1, "A")]
     with pytest.raises(CommandError):
         run_stream(stream, recipe.Recipe("s", [recipe.Step("remove_duplicates")]))
+
+
+def test_join_of_tables_with_a_column_named_key(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, _key string")
+    right = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert sorted(map(tuple, combine.join(left, right, "k", "left").collect())) == [(1, "a", "x"), (2, "b", None)]
+
+
+def test_streamed_tables_may_be_folders(spark, tmp_path):
+    from pyspark.sql.types import TimestampNTZType
+
+    spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 10:00:00' AS ts, 1 AS k FROM range(3)").write.parquet(str(tmp_path / "t.parquet"))
+    stream = spark.readStream.schema("ts timestamp_ntz, k int").parquet(str(tmp_path / "t[.]parquet"))
+    seen = drop_duplicates(stream, "ts", "1 hour", ["k"])
+    assert not isinstance(seen.schema["ts"].dataType, TimestampNTZType)
+    query = seen.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o"))
+    query.awaitTermination()
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [1]
