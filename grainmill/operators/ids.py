@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 ROW_ID = "_cs_id"
 ORIGIN_ID = "_cs_origin_id"
 GAP = 100
@@ -14,38 +16,60 @@ def user_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (ROW_ID, ORIGIN_ID) and not c.endswith("__base") and not c.startswith("duckdb_")]
 
 
+def fresh(stem: str, *tables: DataFrame) -> str:
+    """A column name like ``stem`` that no table has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder once and read from there ever after."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, name: str, order_by: list[str] | None = None) -> DataFrame:
     """``df`` with its rows' numbers from 1 on, in the present order, or in that of ``order_by`` by ranges.
 
-    Each row's place in its partition is added to the rows of all partitions before it,
-    of which there is one count each.  The rows are read twice and must come in the same
-    order both times, as they do from files and from sorted ranges without ties.
+    The rows are written once with the partition and the place in which they came, after
+    the range shuffle where there is an order.  Counts and numbers both come from those
+    files, so neither another sample of range bounds nor other partitions of a second
+    run can lose a row or give a number twice.  Equal rows of an order follow each other
+    in any order; columns of nulls only (``void``) come back as such.
     """
     if order_by:
-        df = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order_by]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order_by])
-    placed = df.withColumn("_at", F.monotonically_increasing_id())  # the partition, and 33 bits for the place in it
-    part = F.shiftrightunsigned("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    joined = placed.join(F.broadcast(before), part == F.col("_part"))  # a row for each partition
-    return joined.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+        keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_by]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at, part, count, before = (fresh(x, df) for x in ("_at", "_part", "_rows", "_before"))
+    empty = [c for c, kind in df.dtypes if kind == "void"]  # no file format holds these
+    kept = stored(df.drop(*empty).withColumn(at, F.monotonically_increasing_id()))  # the partition, and 33 bits for the place in it
+    counts = kept.groupBy(F.shiftrightunsigned(at, 33).alias(part)).agg(F.count("*").alias(count))
+    offsets = counts.select(part, (F.sum(count).over(Window.orderBy(part)) - F.col(count)).alias(before))
+    joined = kept.join(F.broadcast(offsets), F.shiftrightunsigned(at, 33) == F.col(part), "left")  # a row for each partition
+    number = F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return joined.select(*[F.lit(None).alias(c) if c in empty else F.col(f"`{c}`") for c in df.columns], F.assert_true(F.col(before).isNotNull()).alias(part), number.alias(name)).drop(part)
 
 
 def with_ids(df: DataFrame, order_by: list[str] | None = None, source: str = "table") -> DataFrame:
     """Dense row ids a gap apart, and a stable origin id; see :func:`numbered` for the order."""
-    base = df.drop(ROW_ID, ORIGIN_ID)
-    row = F.col("_n") * GAP
-    return numbered(base, "_n", order_by).select(row.alias(ROW_ID), F.sha2(F.concat_ws(":", F.lit(source), row.cast("string")), 256).substr(1, 32).alias(ORIGIN_ID), *base.columns)
+    base = df.drop(ORIGIN_ID) if order_by and ROW_ID in order_by else df.drop(ROW_ID, ORIGIN_ID)
+    n = fresh("_n", base)
+    row = F.col(n) * GAP
+    origin = F.sha2(F.concat_ws(":", F.lit(source), row.cast("string")), 256).substr(1, 32)
+    return numbered(base, n, order_by).select(row.alias(ROW_ID), origin.alias(ORIGIN_ID), *[F.col(f"`{c}`") for c in base.columns if c != ROW_ID])
 
 
 def duplicate(df: DataFrame, keep_ids: bool = True) -> DataFrame:
     """A copy of a table: with its row and origin ids, or with new ones in the order of the old."""
-    return df if keep_ids else with_ids(df.withColumnRenamed(ROW_ID, "_order").drop(ORIGIN_ID), ["_order"], "copy").drop("_order")
+    return df if keep_ids else with_ids(df, [ROW_ID], "copy")
 
 
 def renumber(df: DataFrame) -> DataFrame:
     """Ids with whole gaps again, in the order of the present ones."""
-    return with_ids(df.drop(ORIGIN_ID).withColumnRenamed(ROW_ID, "_order"), ["_order"]).drop("_order", ORIGIN_ID)
+    return with_ids(df, [ROW_ID]).drop(ORIGIN_ID)
 
 
 def insert_id(df: DataFrame, after: int | None = None, at_end: bool = False) -> int:

@@ -71,7 +71,11 @@ def _ingested(s: SparkSession, d: str) -> DataFrame:
 
 add("ingest_with_ids", _ingested, f"SELECT row_number() OVER (ORDER BY c_custkey) * 100 AS {ROW_ID}, c_custkey::INT AS c_custkey, c_name FROM customer")
 add("row_ids_in_order", lambda s, d: ids.with_ids(table(s, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"]).drop(ids.ORIGIN_ID), f"SELECT row_number() OVER (ORDER BY o_orderkey) * 100 AS {ROW_ID}, o_orderkey, o_custkey FROM orders")
-add("duplicate_table", lambda s, d: ids.duplicate(table(s, d, "orders").select((F.col("o_orderkey").cast("long") * 7).alias(ROW_ID), "o_custkey"), keep_ids=False).drop(ids.ORIGIN_ID), f"SELECT row_number() OVER (ORDER BY o_orderkey) * 100 AS {ROW_ID}, o_custkey FROM orders")
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
+add("row_ids_lineitem", lambda s, d: ids.with_ids(table(s, d, "lineitem"), [*LINE, "l_returnflag", "l_linestatus"]).drop(ids.ORIGIN_ID), f"SELECT row_number() OVER (ORDER BY {', '.join(LINE)}, l_returnflag, l_linestatus) * 100 AS {ROW_ID}, * FROM lineitem")
+add("row_ids_documents", lambda s, d: ids.with_ids(table(s, d, "documents"), ["doc_id"]).drop(ids.ORIGIN_ID), f"SELECT row_number() OVER (ORDER BY doc_id) * 100 AS {ROW_ID}, * FROM documents")
+add("renumber_lineitem", lambda s, d: ids.renumber(table(s, d, "lineitem").select((F.col("l_orderkey") * 3).alias(ROW_ID), "l_orderkey").distinct()), f"SELECT row_number() OVER (ORDER BY l_orderkey) * 100 AS {ROW_ID}, l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+add("duplicate_table", lambda s, d: ids.duplicate(table(s, d, "orders").withColumn(ROW_ID, F.col("o_orderkey") * 7), keep_ids=False).drop(ids.ORIGIN_ID), f"SELECT row_number() OVER (ORDER BY o_orderkey) * 100 AS {ROW_ID}, * FROM orders")
 
 
 def _changes(s: SparkSession, d: str) -> DataFrame:

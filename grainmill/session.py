@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,6 +38,9 @@ def ensure_importable(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share; in a local session without one, in a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(found or tempfile.gettempdir()).rstrip('/')}/grainmill-{uuid.uuid4().hex}"
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # a local-cluster has executors with folders of their own
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="grainmill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/grainmill-{uuid.uuid4().hex}"
