@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, covertree, licenses, mixing, packing, quality, repeats, simhash, toxicity, urls
+from . import chunks, covertree, exponion, licenses, mixing, packing, quality, repeats, simhash, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -88,8 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_chunks": op9_chunks,
         "op10_repeats": op10_repeats,
+        "op11_exponion": op11_exponion,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE_SQL}
+    return {"op8_mixing": mixing.ORACLE_SQL, "op11_exponion": exponion.ORACLE_SQL}
