@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, covertree, exponion, licenses, mixing, packing, quality, repeats, simhash, toxicity, urls
+from . import chunks, covertree, exponion, licenses, mixing, packing, quality, repeats, simhash, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.cluster(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -93,8 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chunks": op9_chunks,
         "op10_repeats": op10_repeats,
         "op11_exponion": op11_exponion,
+        "op12_warc": op12_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE_SQL, "op11_exponion": exponion.ORACLE_SQL}
+    return {"op8_mixing": mixing.ORACLE_SQL, "op11_exponion": exponion.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
