@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, covertree, exponion, licenses, mixing, packing, quality, repeats, simhash, toxicity, urls, warc
+from . import chunks, covertree, exponion, licenses, mixing, packing, quality, repeats, simhash, toxicity, turntrie, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages(_read(spark, sf_dir, "pages"))
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.trie(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -98,8 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_repeats": op10_repeats,
         "op11_exponion": op11_exponion,
         "op12_warc": op12_warc,
+        "op13_turn_trie": op13_turn_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE_SQL, "op11_exponion": exponion.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
+    return {"op8_mixing": mixing.ORACLE_SQL, "op11_exponion": exponion.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL, "op13_turn_trie": turntrie.ORACLE_SQL}
