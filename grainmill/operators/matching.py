@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
+from . import fuzzy
 from .commands import command, require
 from .ids import ROW_ID, numbered, user_columns
 
@@ -34,8 +35,8 @@ def block_key(df: DataFrame, column: str, strategy: str) -> DataFrame:
 def find_duplicates(df: DataFrame, column: str, strategy: str = "first_letter", definite: float = 85.0, maybe: float = 60.0, limited: bool = False) -> DataFrame:
     """Pairs of rows of one block with a similarity of ``maybe`` percent or more.
 
-    Equal values join first as values, so each pair of different values is measured
-    once, and all pairs are found.  With ``limited``, blocks above 500 rows need five points more and blocks of
+    Different values are paired through an index of their rare characters (see
+    :mod:`.fuzzy`), so a block may hold all rows; every pair is found.  With ``limited``, blocks above 500 rows need five points more and blocks of
     2000 and more are sampled to 500 rows by hash, 1000 pairs a block and 10000 in all
     at most, as an interactive report wants it.
     """
@@ -53,11 +54,12 @@ def find_duplicates(df: DataFrame, column: str, strategy: str = "first_letter",
         least = F.when((F.col("_size") >= STRICT_FROM) & (F.col("_size") < SAMPLED_FROM), F.least(F.lit(0.95), F.lit(maybe / 100 + 0.05))).otherwise(maybe / 100)
     keyed = keyed.withColumn("_least", least)
     names = user_columns(df)
-    values = keyed.select("_block", "_low", "_least").distinct()
-    u = values.select("_block", F.col("_low").alias("_u"), "_least")
-    v = values.select(F.col("_block"), F.col("_low").alias("_v"))
-    near = u.join(v, "_block").where("_u <= _v").where((F.col("_u") == F.col("_v")) | similarity.reachable(F.col("_u"), F.col("_v"), maybe / 100))
-    scored = near.withColumn("_jw", similarity.jaro_winkler_column("_u", "_v")).where(F.col("_jw") >= F.col("_least"))
+    values = keyed.select("_block", "_low").distinct()
+    near = fuzzy.similar_pairs(values.select(F.col("_block").alias("block"), F.col("_low").alias("value")), maybe / 100)
+    scored = near.select(F.col("block").alias("_block"), F.col("u").alias("_u"), F.col("v").alias("_v"), F.col("similarity").alias("_jw"))
+    if limited:
+        scored = scored.join(keyed.groupBy("_block").agg(F.first("_least").alias("_least")), "_block").where("_jw >= _least")
+    scored = scored.select("_block", "_u", "_v", "_jw").unionByName(values.select("_block", F.col("_low").alias("_u"), F.col("_low").alias("_v"), F.lit(1.0).alias("_jw")))
     both = scored.select("_block", "_u", "_v", "_jw").unionByName(scored.where("_u != _v").select("_block", F.col("_v").alias("_u"), F.col("_u").alias("_v"), "_jw"))
     a = keyed.select("_block", F.col("_low").alias("_u"), F.col(ROW_ID).alias("a_row_id"), *[F.col(c).alias(f"a_{c}") for c in names])
     b = keyed.select("_block", F.col("_low").alias("_v"), F.col(ROW_ID).alias("b_row_id"), *[F.col(c).alias(f"b_{c}") for c in names])

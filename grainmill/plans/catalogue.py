@@ -215,18 +215,19 @@ add("diff_export", lambda s, d: diff.export_rows(_diff(s, d)).select("Status", "
 # --- matching and clusters ----------------------------------------------------------
 
 
-def _match(name: str, strategy: str, block: str) -> None:
+def _match(name: str, strategy: str, block: str, maybe: float) -> None:
+    """Different part names with their brands, by their first row."""
+
     def run(s: SparkSession, d: str) -> DataFrame:
-        n = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias(ROW_ID), "n_name")
-        found = matching.find_duplicates(n, "n_name", strategy, maybe=60.0, limited=False)
-        return found.select("a_row_id", "b_row_id", "similarity")
+        n = table(s, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("v")).agg(F.min("p_partkey").cast("long").alias(ROW_ID))
+        return matching.find_duplicates(n, "v", strategy, maybe=maybe).select("a_row_id", "b_row_id", "similarity")
 
-    add(name, run, f"WITH n AS (SELECT n_nationkey::BIGINT AS id, n_name, {block} AS block FROM nation) SELECT a.id AS a_row_id, b.id AS b_row_id, round(jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)) * 100, 1) AS similarity FROM n a JOIN n b ON a.block = b.block AND a.id < b.id WHERE jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)) >= 0.6")
+    add(name, run, f"WITH n AS (SELECT id, v, {block} AS block FROM (SELECT min(p_partkey)::BIGINT AS id, concat_ws(' ', p_name, p_brand) AS v FROM part GROUP BY 2)), p AS (SELECT a.id AS a, b.id AS b, jaro_winkler_similarity(least(lower(a.v), lower(b.v)), greatest(lower(a.v), lower(b.v))) AS s FROM n a JOIN n b ON a.block = b.block AND a.id < b.id) SELECT a AS a_row_id, b AS b_row_id, round(s * 100, 1) AS similarity FROM p WHERE s >= {maybe / 100}")
 
 
-_match("match_first_letter", "first_letter", "upper(n_name[1:1])")
-_match("match_first_2_chars", "first_2_chars", "upper(regexp_replace(n_name, '[^a-zA-Z0-9]', '', 'g')[1:2])")
-_match("match_none", "none", "'ALL'")
+_match("match_first_letter", "first_letter", "upper(v[1:1])", 93.0)
+_match("match_first_2_chars", "first_2_chars", "upper(regexp_replace(v, '[^a-zA-Z0-9]', '', 'g')[1:2])", 80.0)
+_match("match_none", "none", "'ALL'", 90.0)
 
 
 def _spelled(s, d):
