@@ -95,6 +95,38 @@ def keyset_page(df: DataFrame, size: int, cursor: int | None = None, backward: b
     return df.orderBy(F.col(ROW_ID).desc() if backward else F.col(ROW_ID)).limit(size + 1)
 
 
+def cursor_of(row, column: str) -> tuple:
+    """Where a row stands under a sort by ``column``: (whether it is null, the value, the row id)."""
+    return row[column] is None, row[column], row[ROW_ID]
+
+
+def sorted_page(df: DataFrame, size: int, column: str, descending: bool = False, cursor: tuple | None = None, backward: bool = False, filters: list[dict] | None = None) -> DataFrame:
+    """The ``size`` rows after (or before) a cursor of :func:`cursor_of` under a sort by ``column`` then row id, and one more, which tells that there are more.
+
+    The order is that of :func:`sort`, nulls last either way; equal values go by row id.
+    Pages backward come in reverse order, the row nearest to the cursor first.  Only rows on
+    that side of the cursor are kept, and of these the first ones of each partition are compared.
+    """
+    df = where(df, filters or [])
+    c, row = F.col(f"`{column}`"), F.col(ROW_ID)
+    if cursor is not None:
+        empty, value, at = cursor
+        further = row < at if backward else row > at
+        if empty:
+            keep = c.isNotNull() | (c.isNull() & further) if backward else c.isNull() & further
+        else:
+            value = F.lit(value).cast(df.schema[column].dataType)
+            beyond = c > value if descending == backward else c < value
+            keep = beyond | ((c == value) & further)
+            keep = keep if backward else keep | c.isNull()
+        df = df.where(keep)
+    if backward:
+        order = [c.asc_nulls_first() if descending else c.desc_nulls_first(), row.desc()]
+    else:
+        order = [c.desc_nulls_last() if descending else c.asc_nulls_last(), row.asc()]
+    return df.orderBy(*order).limit(size + 1)
+
+
 def arrow_page(df: DataFrame, size: int, cursor: int | None = None, backward: bool = False, filters: list[dict] | None = None) -> pa.Table:
     """A :func:`keyset_page` as an Arrow table."""
     return keyset_page(df, size, cursor, backward, filters).toArrow()

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from . import fuzzy
+from .graph import connected_components
 from .commands import command, require
-from .ids import ROW_ID, numbered, user_columns
+from .ids import ROW_ID, numbered, stored, user_columns
 
 STRICT_FROM, SAMPLED_FROM, SAMPLE = 500, 2000, 500
 PER_BLOCK, MOST_PAIRS = 1000, 10_000
@@ -48,7 +49,7 @@ def find_duplicates(df: DataFrame, column: str, strategy: str = "first_letter",
         sized = keyed.join(sizes, "_block")
         # of a large block's ids only the first by hash leave each partition
         ids = sized.where(F.col("_size") >= SAMPLED_FROM).select("_block", ROW_ID)
-        rank = F.row_number().over(Window.partitionBy("_block").orderBy(F.xxhash64(ROW_ID), ROW_ID))
+        rank = F.row_number().over(Window.partitionBy("_block").orderBy(F.md5(F.col(ROW_ID).cast("string").cast("binary")), ROW_ID))
         chosen = ids.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE).select(ROW_ID)
         keyed = sized.where(F.col("_size") < SAMPLED_FROM).unionByName(sized.where(F.col("_size") >= SAMPLED_FROM).join(chosen, ROW_ID, "left_semi").select(sized.columns))
         least = F.when((F.col("_size") >= STRICT_FROM) & (F.col("_size") < SAMPLED_FROM), F.least(F.lit(0.95), F.lit(maybe / 100 + 0.05))).otherwise(maybe / 100)
@@ -94,8 +95,58 @@ def stratified(pairs: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     return ordered.withColumn("_rank", rank).orderBy("_exact", "_rank").limit(most).drop("_exact", "_rank")
 
 
+def groups(pairs: DataFrame) -> DataFrame:
+    """(row_id, group) of all rows that ``pairs(a_row_id, b_row_id)`` join, directly or by way of others; the group is its smallest row id."""
+    links = pairs.select(F.col("a_row_id").cast("long").alias("a"), F.col("b_row_id").cast("long").alias("b"))
+    others = stored(connected_components(links))  # (id, component) of all but the smallest
+    return others.select(F.col("id").alias("row_id"), F.col("component").alias("group")).unionByName(others.select(F.col("component").alias("row_id"), F.col("component").alias("group")).distinct())
+
+
+def survivors(df: DataFrame, grouped: DataFrame, keep: str = "first") -> DataFrame:
+    """(group, kept_id, n) for each group: its ``first`` row by id, or the ``fullest``, with most values that are not blank (ties: first)."""
+    if keep not in ("first", "fullest"):
+        raise ValueError(f"unknown choice: {keep}")
+    blank = [F.when(text.is_blank(F.col(f"`{c}`")), 1).otherwise(0) for c in user_columns(df)] if keep == "fullest" else []
+    rows = grouped.join(df.select(F.col(ROW_ID).alias("row_id"), sum(blank, F.lit(0)).alias("blank")), "row_id")
+    rank = F.struct("blank", "row_id")
+    return rows.groupBy("group").agg(F.min(rank)["row_id"].alias("kept_id"), F.count("*").alias("n"))
+
+
+def merge_groups(df: DataFrame, pairs: DataFrame, keep: str = "first", match_column: str = "", audit_id: str = "merge") -> tuple[DataFrame, DataFrame]:
+    """``df`` with one row of each group of ``pairs(a_row_id, b_row_id, similarity)``, and the details of the merge.
+
+    Chains count: where a is like b and b like c, one of the three stays, however unlike a
+    and c are.  A deleted row's similarity is the best that any pair gives it.
+    """
+    grouped = stored(groups(pairs))
+    kept = stored(survivors(df, grouped, keep))
+    best = pairs.select(F.explode(F.array("a_row_id", "b_row_id")).alias("deleted_id"), "similarity").groupBy("deleted_id").agg(F.max("similarity").alias("similarity"))
+    gone = grouped.join(kept, "group").where("row_id <> kept_id").select("kept_id", F.col("row_id").alias("deleted_id"))
+    chosen = stored(gone.join(best, "deleted_id").withColumn("match_column", F.lit(match_column)))
+    return merge_duplicates(df, chosen, audit_id)
+
+
+def resolved(pairs: DataFrame) -> DataFrame:
+    """``pairs(kept_id, deleted_id, …)`` of merges one after the other, each deleted row once, with the row that is left at last.
+
+    A row that one pair keeps and another deletes is deleted; its own deleted rows go
+    to the smallest row of the group that no pair deletes, or the smallest of all where each is deleted.
+    """
+    grouped = stored(groups(pairs.select(F.col("kept_id").alias("a_row_id"), F.col("deleted_id").alias("b_row_id"))))
+    first = Window.partitionBy("deleted_id").orderBy(F.col("similarity").desc_nulls_last(), "kept_id")
+    once = pairs.where("kept_id <> deleted_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "kept_id")
+    told = grouped.join(once.select(F.col("deleted_id").alias("row_id"), F.lit(True).alias("_gone")), "row_id", "left")
+    roots = told.groupBy("group").agg(F.min(F.struct(F.coalesce("_gone", F.lit(False)).alias("gone"), "row_id"))["row_id"].alias("kept_id"))
+    named = once.join(grouped.withColumnRenamed("row_id", "deleted_id"), "deleted_id").join(roots, "group").where("kept_id <> deleted_id")
+    return named.select("kept_id", "deleted_id", *[c for c in once.columns if c != "deleted_id"])
+
+
 def merge_duplicates(df: DataFrame, pairs: DataFrame, audit_id: str = "merge") -> tuple[DataFrame, DataFrame]:
-    """Rows without the ones that ``pairs(kept_id, deleted_id, similarity, match_column)`` merge, and the details."""
+    """Rows without the ones that ``pairs(kept_id, deleted_id, similarity, match_column)`` merge, and the details.
+
+    Pairs may form chains; see :func:`resolved`.
+    """
+    pairs = stored(resolved(pairs))
     gone = pairs.select(F.col("deleted_id").alias(ROW_ID)).distinct()
     as_json = df.select(F.col(ROW_ID).alias("_id"), F.to_json(F.struct(*user_columns(df)), {"ignoreNullFields": "false"}).alias("_json"))
     kept = as_json.select(F.col("_id").alias("kept_id"), F.col("_json").alias("kept_row_data"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from .commands import apply, cast_column
+from .commands import REGISTRY, CommandError, apply, cast_column
 from .ids import ROW_ID, user_columns
 
 #: Texts that a cell of each type may hold, and the bits of whole numbers.
@@ -153,3 +153,35 @@ def audit(before: DataFrame, after: DataFrame, columns: list[str], entry: str, m
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_{i}a").alias("previous_value"), F.col(f"_{i}b").alias("new_value")) for i, c in enumerate(columns)])
     each = x.join(y, "_id").select("_id", F.explode(F.filter(cells, lambda z: ~z["previous_value"].eqNullSafe(z["new_value"]))).alias("z"))
     return each.select(F.lit(entry).alias("audit_entry_id"), F.col("_id").alias("row_id"), "z.*").orderBy("row_id", "column_name").limit(most)
+
+
+def audit_chain(before: DataFrame, steps: list, first: int = 1, most: int = 10_000) -> DataFrame:
+    """The details of :func:`audit` for every command of a chain, from one scan of ``before``.
+
+    ``steps``: each with ``command`` and ``params``; entries are named by their number, from ``first`` on.
+    Each row goes through the commands with its earlier values beside it, so nothing is
+    joined.  Commands must work row by row and keep rows (``REGISTRY`` says which do);
+    a new column counts from the command after the one that made it, a renamed one keeps
+    its values, a removed one is no change.  ``most`` details of each command, by row id.
+    """
+    kept, df = [], before
+    for i, step in enumerate(steps):
+        if not REGISTRY[step.command].stateless:
+            raise CommandError("NOT_ROW_BY_ROW", f"{step.command} needs more than a row")
+        # what the columns hold before the command, under names no command knows
+        names = {c: f"__was_{i}_{j}" for j, c in enumerate(user_columns(df)) if not c.startswith("__told_")}
+        was = df.select("*", *[F.col(f"`{c}`").cast("string").alias(n) for c, n in names.items()])
+        after = apply(was, step.command, **step.params)
+        moved = {step.params["column"]: step.params["new_name"]} if step.command == "rename_column" else {}
+        pairs = [(c, n) for c, n in names.items() if moved.get(c, c) in after.columns]
+        cells = [F.struct(F.lit(str(first + i)).alias("audit_entry_id"), F.lit(moved.get(c, c)).alias("column_name"), F.col(n).alias("previous_value"), F.col(f"`{moved.get(c, c)}`").cast("string").alias("new_value")) for c, n in pairs]
+        changed = F.filter(F.array(*cells), lambda z: ~z["previous_value"].eqNullSafe(z["new_value"])).alias(f"__told_{i}")
+        kept.append(f"__told_{i}")
+        told = [c for c in after.columns if c.startswith("__told_")]
+        df = after.select(*[F.col(f"`{c}`") for c in after.columns if not c.startswith("__was_") and c not in told], *told, changed)
+    if not kept:
+        return before.sparkSession.createDataFrame([], "audit_entry_id string, row_id long, column_name string, previous_value string, new_value string")
+    each = df.select(F.col(ROW_ID).alias("row_id"), F.explode(F.flatten(F.array(*kept))).alias("z"))
+    rows = each.select("z.audit_entry_id", "row_id", "z.column_name", "z.previous_value", "z.new_value")
+    rank = F.row_number().over(Window.partitionBy("audit_entry_id").orderBy("row_id", "column_name"))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")

@@ -1,4 +1,4 @@
-"""Timelines: a source and its commands; undo and redo fold the commands anew."""
+"""Timelines: a source and its commands; undo and redo fold commands from the nearest snapshot before."""
 
 from __future__ import annotations
 
@@ -10,27 +10,62 @@ from pyspark.sql import functions as F
 from ..operators.commands import apply
 from ..operators.diff import Diff, diff
 from ..operators.ids import user_columns
-from ..operators.validation import audit
+from ..operators.validation import audit, audit_chain
+from ..sources.versions import Versions
 from .recipe import Step
 
 
+#: Snapshots of a timeline at most.
+MOST = 10
+
+
 @dataclass
 class Timeline:
+    """A source, its commands and the position among them.
+
+    With ``snapshots``, the state after every ``every`` commands is written there under
+    its position, ``most`` at most; the one whose neighbours are closest goes first, so those that
+    stay are spread over the timeline.  What stands after an undone command goes as
+    soon as another command takes its place.
+    """
+
     source: DataFrame
     steps: list[Step] = field(default_factory=list)
     position: int = 0
+    snapshots: Versions | None = None
+    every: int = 5
+    most: int = MOST
 
     def run(self, command: str, **params) -> DataFrame:
         """Add a command; what was undone is forgotten."""
         step = Step(command, params)
         after = apply(self.at(self.position), command, **params)
+        if self.snapshots:
+            for n in self.snapshots.numbers():
+                if n > self.position:
+                    self.snapshots.drop(n)
         self.steps = [*self.steps[: self.position], step]
         self.position += 1
+        if self.snapshots and self.position % self.every == 0:
+            self.snapshots.write(after, self.position)
+            self._evict()
+            after = self.snapshots.read(self.position)
         return after
 
+    def _evict(self) -> None:
+        kept = self.snapshots.numbers()
+        while len(kept) > self.most:
+            inner = kept[:-1]  # the newest stays: undo starts there
+            gaps = {n: kept[i + 1] - (kept[i - 1] if i else 0) for i, n in enumerate(inner)}
+            least = min(inner, key=lambda n: (gaps[n], n))
+            self.snapshots.drop(least)
+            kept.remove(least)
+
     def at(self, position: int) -> DataFrame:
-        df = self.source
-        for s in self.steps[:position]:
+        """The table after ``position`` commands, from the nearest snapshot that is not after it."""
+        start = (self.snapshots.latest(position) if self.snapshots else None) or 0
+        df = self.snapshots.read(start) if start else self.source
+        for s in self.steps[start:position]:
             df = apply(df, s.command, **s.params)
         return df
 
@@ -51,6 +86,10 @@ class Timeline:
         both = [c for c in user_columns(before) if c in after.columns]
         return audit(before, after, both, str(position), most)
 
+    def chain_details(self, first: int, last: int, most: int = 10_000) -> DataFrame:
+        """What each of the commands ``first`` to ``last`` changed, from one scan; see :func:`audit_chain`."""
+        return audit_chain(self.at(first - 1), self.steps[first - 1 : last], first, most)
+
     def step_diff(self, position: int) -> Diff:
         """The rows that the command at ``position`` added, removed or changed, by row id."""
         return diff(self.at(position - 1), self.at(position))
@@ -74,8 +113,9 @@ class Timeline:
 
 
 def latest_changes(changelog: DataFrame) -> DataFrame:
-    """The last write of each cell of ``changelog(ts, row_id, column, value)``."""
-    last = Window.partitionBy("row_id", "column").orderBy(F.col("ts").desc())
+    """The last write of each cell of ``changelog(ts, row_id, column, value)``: by ``ts``, then ``seq`` where there is one, then the value."""
+    order = [F.col(c).desc_nulls_last() for c in ("ts", "seq", "value") if c in changelog.columns]
+    last = Window.partitionBy("row_id", "column").orderBy(*order)
     return changelog.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 

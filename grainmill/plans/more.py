@@ -60,7 +60,7 @@ def _stored(write, read):
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 add("source_snapshot", _stored(files.write_snapshot, files.read_parquet), ORDERS)
-add("source_json", _stored(lambda df, p: df.write.json(p), lambda s, p: s.read.schema("o_orderkey long, o_custkey long, o_orderstatus string").json(p)), "SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus FROM orders")
+add("source_json", _stored(lambda df, p: df.write.json(p), files.read_json), "SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus FROM orders")
 
 
 def _ingested(s: SparkSession, d: str) -> DataFrame:
@@ -179,9 +179,29 @@ def _twice(s: SparkSession, d: str) -> DataFrame:
 
 
 add("match_customers_fingerprint", lambda s, d: matching.find_duplicates(_twice(s, d), "c_name", "fingerprint").select("a_row_id", "b_row_id", "similarity", "class"), "SELECT c_custkey::BIGINT AS a_row_id, c_custkey::BIGINT + 1000000000 AS b_row_id, 100.0::DOUBLE AS similarity, 'definite' AS class FROM customer")
-NATION_PAIRS = "SELECT a.n_nationkey::BIGINT AS a_row_id, b.n_nationkey::BIGINT AS b_row_id FROM nation a JOIN nation b ON a.n_name[1:1] = b.n_name[1:1] AND a.n_nationkey < b.n_nationkey WHERE jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)) >= 0.6"
-add("match_limited", lambda s, d: matching.stratified(matching.find_duplicates(catalogue.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias(ROW_ID), "n_name"), "n_name", limited=True)).select("a_row_id", "b_row_id"), NATION_PAIRS)
-add("match_limited_report", lambda s, d: matching.find_duplicates(_twice(s, d), "c_name", "first_letter", limited=True).agg((F.count("*") <= matching.MOST_PAIRS).alias("bounded"), (F.min("similarity") >= 60).alias("close")), "SELECT true AS bounded, true AS close")
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    """Different part names with their brands, by their first row."""
+    return table(s, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("v")).agg(F.min("p_partkey").cast("long").alias(ROW_ID))
+
+
+NAMED = "n AS MATERIALIZED (SELECT min(p_partkey)::BIGINT AS id, concat_ws(' ', p_name, p_brand) AS v FROM part GROUP BY 2)"
+JW = "jaro_winkler_similarity(least(lower(a.v), lower(b.v)), greatest(lower(a.v), lower(b.v)))"
+#: Blocks of 500 values and more need five points more; the best 1000 pairs of each block, 10000 in all.
+LIMITED = f"""WITH {NAMED}, k AS (SELECT *, upper(v[1:1]) AS block, count(*) OVER (PARTITION BY upper(v[1:1])) AS size FROM n),
+p AS (SELECT a.id AS a, b.id AS b, a.block, a.size, {JW} AS s FROM k a JOIN k b ON a.block = b.block AND a.id < b.id),
+t AS (SELECT *, round(s * 100, 1) AS similarity, row_number() OVER (PARTITION BY block ORDER BY round(s * 100, 1) DESC, a, b) AS place FROM p WHERE s >= CASE WHEN size >= 500 THEN 0.85 ELSE 0.8 END)
+SELECT a AS a_row_id, b AS b_row_id, similarity FROM t WHERE place <= 1000 ORDER BY similarity DESC, a, b LIMIT 10000"""
+add("match_limited", lambda s, d: matching.find_duplicates(_named(s, d), "v", maybe=80.0, limited=True).select("a_row_id", "b_row_id", "similarity"), LIMITED)
+#: A block of 2000 rows and more is sampled to the 500 whose ids have the smallest digests.
+SAMPLED = """WITH c AS (SELECT c_custkey::BIGINT AS id, c_name AS v FROM customer UNION ALL SELECT c_custkey + 1000000000, upper(c_name) FROM customer),
+k AS (SELECT * FROM (SELECT *, count(*) OVER () AS size, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS place FROM c) WHERE size < 2000 OR place <= 500),
+p AS (SELECT a.id AS a, b.id AS b, a.size, jaro_winkler_similarity(least(lower(a.v), lower(b.v)), greatest(lower(a.v), lower(b.v))) AS s FROM k a JOIN k b ON a.id < b.id)
+SELECT a AS a_row_id, b AS b_row_id, round(s * 100, 1) AS similarity FROM p WHERE s >= CASE WHEN size >= 500 AND size < 2000 THEN 0.65 ELSE 0.6 END ORDER BY 3 DESC, 1, 2 LIMIT 1000"""
+add("match_limited_report", lambda s, d: matching.find_duplicates(_twice(s, d), "c_name", "first_letter", limited=True).select("a_row_id", "b_row_id", "similarity"), SAMPLED)
+add("match_stratified", lambda s, d: matching.stratified(matching.find_duplicates(_named(s, d), "v", "first_2_chars", maybe=96.0), 500).select("a_row_id", "b_row_id", "similarity"), f"""WITH {NAMED}, p AS (SELECT a.id AS a, b.id AS b, {JW} AS s FROM n a JOIN n b ON a.v[1:2] = b.v[1:2] AND a.id < b.id)
+SELECT a AS a_row_id, b AS b_row_id, round(s * 100, 1) AS similarity FROM p WHERE s >= 0.96 ORDER BY 3 DESC, 1, 2 LIMIT 500""")
 add("sql_jaro_winkler", lambda s, d: (similarity.register(s), apply(table(s, d, "part"), "custom_sql", sql="SELECT p_partkey, jaro_winkler(p_name, p_type) AS v FROM input"))[1], "SELECT p_partkey, jaro_winkler_similarity(p_name, p_type) AS v FROM part")
 add("bigrams", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(text.bigrams(F.col("p_type")), "|").alias("v")), "SELECT p_partkey, array_to_string(list_transform(range(1, length(p_type)), lambda i: substr(lower(p_type), i, 2)), '|') AS v FROM part")
 #: The sounds of the five segments.

@@ -107,7 +107,11 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    """A table of JSON lines, which are split over tasks, or of one array, which is not; the head tells which."""
+    head = head_of(spark, path).lstrip(b"\xef\xbb\xbf \t\r\n")
+    first = head.split(b"\n", 1)[0].strip()
+    lines = first.startswith(b"{") and first.endswith(b"}")
+    return spark.read.json(path, multiLine=not lines)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
