@@ -58,8 +58,9 @@ def numbered(df: DataFrame, name: str, order_by: list[str] | None = None) -> Dat
     counts = kept.groupBy(F.shiftrightunsigned(at, 33).alias(part)).agg(F.count("*").alias(count))
     offsets = counts.select(part, (F.sum(count).over(Window.orderBy(part)) - F.col(count)).alias(before))
     joined = kept.join(F.broadcast(offsets), F.shiftrightunsigned(at, 33) == F.col(part), "left")  # a row for each partition
-    number = F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1
-    return joined.select(*[F.lit(None).alias(c) if c in empty else F.col(f"`{c}`") for c in df.columns], F.assert_true(F.col(before).isNotNull()).alias(part), number.alias(name)).drop(part)
+    known = F.coalesce(before, F.raise_error(F.lit("a row's partition was not counted")).cast("long"))
+    number = known + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return joined.select(*[F.lit(None).alias(c) if c in empty else F.col(f"`{c}`") for c in df.columns], number.alias(name))
 
 
 def with_ids(df: DataFrame, order_by: list[str] | None = None, source: str = "table") -> DataFrame:
