@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ids import numbered
 from .common import cut
 from .graph import connected_components, forest
 
@@ -164,7 +165,7 @@ def _pair_worker(threshold: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["unit"].to_numpy())
-        ids, copies = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy()
+        ids, copies = pdf["key"].to_numpy(), pdf["copies"].to_numpy()
         side = pdf["side"].to_numpy()
         if (side == 0).all():
             parts = [(np.arange(len(x)), None)]
@@ -186,7 +187,7 @@ def _pair_worker(threshold: float):
             links_a, links_b = [child], [root]
         linked = dict(zip(links_a[0].tolist(), links_b[0].tolist(), strict=True))
         hit = np.flatnonzero(counts)
-        return pd.DataFrame({"vec_id": ids[hit], "n": counts[hit], "root": [linked.get(int(k), int(k)) for k in ids[hit]]})
+        return pd.DataFrame({"key": ids[hit], "n": counts[hit], "root": [linked.get(int(k), int(k)) for k in ids[hit]]})
 
     return run
 
@@ -198,8 +199,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     precision is at least the threshold.  Vectors that are null, empty, zero or hold null
     or non-finite components link with nothing, as do vectors of different lengths.
     Equal vectors of one label are compared once and counted as often as they stand.
-    Rows with one vec_id are vectors of their own, and other columns are ignored; an
-    empty table gives no rows.
+    Rows with one vec_id are vectors of their own, as are rows without one: inside, vectors
+    go by a number of each different one.  A row without a vec_id has the smallest of those it reaches, and is
+    kept where there is none.  Other columns are ignored; an empty table gives no rows.
     """
     e = F.transform("embedding", lambda v: v.cast("double"))
     norm = F.sqrt(F.aggregate(F.transform(e, lambda v: v * v), F.lit(0.0), lambda s, v: s + v))
@@ -207,9 +209,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(label).alias("label"), F.coalesce(sound, F.lit(False)).alias("sound"), e.alias("e"), norm.alias("norm"))
     unit = F.transform("e", lambda v: v / F.col("norm"))
     good = rows.where("sound").select("vec_id", "label", unit.alias("unit"))
-    one = cut(good.groupBy("label", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    one = cut(numbered(good.groupBy("label", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "key"))
     # pivots: a bounded sample, the same for all labels
-    pivots = [r["unit"] for r in one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("unit").collect()]
+    pivots = [r["unit"] for r in one.orderBy(F.xxhash64("vec_id"), "vec_id", "unit").limit(PIVOTS).select("unit").collect()]
     dim = len(pivots[0]) if pivots else 0
     at = np.array([p for p in pivots if len(p) == dim], dtype=float).reshape(-1, max(dim, 1))
 
@@ -220,22 +222,22 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block: int
                 d = np.sqrt(np.maximum(0, ((at - u) ** 2).sum(1))) if len(u) == at.shape[1] and len(at) else np.full(len(at), np.inf)
                 far.append(d)
                 cell.append(int(np.argmin(d)) if len(d) else 0)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "cell": np.array(cell, np.int32), "far": far})
+            yield pd.DataFrame({"key": pdf["key"], "cell": np.array(cell, np.int32), "far": far})
 
-    cells = one.select("vec_id", "unit").mapInPandas(place, "vec_id long, cell int, far array<double>")
+    cells = one.select("key", "unit").mapInPandas(place, "key long, cell int, far array<double>")
     size = F.size("unit").alias("dim")
-    placed = one.select("label", "vec_id", "unit", "copies", size).join(cells, "vec_id")
+    placed = one.select("label", "key", "unit", "copies", size).join(cells, "key")
     # blocks of one label and length, filled cell by cell: at most `block` vectors each
     # so many salts that those of one cell hold some thousand vectors each, however large the table
     salts = max(64, one.count() // 4096)
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
     counts = placed.groupBy("label", "dim", "cell", salt.alias("salt")).agg(F.count("*").alias("n"))
     in_order = Window.partitionBy("label", "dim").orderBy("cell", "salt")
     packed = counts.withColumn("before", F.sum("n").over(in_order) - F.col("n"))
     slots = packed.select("label", "dim", "cell", "salt", "before")
-    inner = Window.partitionBy("label", "dim", "cell", "salt").orderBy("vec_id")
-    numbered = placed.withColumn("salt", salt).join(slots, ["label", "dim", "cell", "salt"])
-    blocks = cut(numbered.withColumn("block", F.floor((F.col("before") + F.row_number().over(inner) - 1) / block).cast("long")).select("label", "dim", "block", "vec_id", "unit", "copies", "far"))
+    inner = Window.partitionBy("label", "dim", "cell", "salt").orderBy("key")
+    dealt = placed.withColumn("salt", salt).join(slots, ["label", "dim", "cell", "salt"])
+    blocks = cut(dealt.withColumn("block", F.floor((F.col("before") + F.row_number().over(inner) - 1) / block).cast("long")).select("label", "dim", "block", "key", "unit", "copies", "far"))
     k = len(at)
     bounds = blocks.groupBy("label", "dim", "block").agg(F.count("*").alias("n"), *[F.min(F.get("far", F.lit(n))).alias(f"lo{n}") for n in range(k)], *[F.max(F.get("far", F.lit(n))).alias(f"hi{n}") for n in range(k)])
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
@@ -245,11 +247,13 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         close = close & (F.col(f"p.lo{n}") <= F.col(f"q.hi{n}") + eps) & (F.col(f"q.lo{n}") <= F.col(f"p.hi{n}") + eps)
     pairs = p.join(q, F.expr("p.label <=> q.label and p.dim = q.dim and p.block <= q.block")).where(close).select(F.col("p.label").alias("label"), F.col("p.dim").alias("dim"), F.col("p.block").alias("bp"), F.col("q.block").alias("bq"))
     sides = pairs.select("label", "dim", "bp", "bq", F.explode(F.when(F.col("bp") == F.col("bq"), F.array(F.struct(F.col("bp").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("bp").alias("block"), F.lit(1).alias("side")), F.struct(F.col("bq").alias("block"), F.lit(2).alias("side"))))).alias("x"))
-    work = sides.select("label", "dim", "bp", "bq", "x.*").join(blocks, ["label", "dim", "block"]).select("label", "dim", "bp", "bq", "side", "vec_id", "unit", "copies")
-    found = cut(work.groupBy("label", "dim", "bp", "bq").applyInPandas(_pair_worker(threshold), "vec_id long, n long, root long"))
-    parts = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    direct = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    classes = one.select("label", "unit", "vec_id", "copies").join(direct, "vec_id", "left").join(parts, one["vec_id"] == parts["id"], "left").select("label", "unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    work = sides.select("label", "dim", "bp", "bq", "x.*").join(blocks, ["label", "dim", "block"]).select("label", "dim", "bp", "bq", "side", "key", "unit", "copies")
+    found = cut(work.groupBy("label", "dim", "bp", "bq").applyInPandas(_pair_worker(threshold), "key long, n long, root long"))
+    parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("key"), "component")
+    direct = found.groupBy("key").agg(F.sum("n").alias("n"))
+    classes = cut(one.select("label", "unit", "key", "vec_id", "copies").join(direct, "key", "left").join(parts, "key", "left").select("label", "unit", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("component")))
+    named = cut(classes.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    classes = classes.join(named, "component").select("label", "unit", "n_links", "component_id", F.lit(True).alias("linked"))
     whole = rows.select("vec_id", "label", F.when(F.col("sound"), unit).alias("unit"))
-    joined = whole.join(classes, ["label", "unit"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    joined = whole.join(classes, ["label", "unit"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return joined.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -15,6 +15,32 @@ def plain_links(vectors, threshold=0.98):
     return [(i, j) for k, (i, e, l) in enumerate(ok) for j, f, m in ok[:k] if l == m and len(e) == len(f) and e @ f / np.linalg.norm(e) / np.linalg.norm(f) >= threshold]
 
 
+def test_shared_and_missing_ids(spark):
+    """Ids that several vectors have, within a label and across labels, and none at all."""
+    rows = [(7, [1.0, 0.0], 0), (7, [0.0, 1.0], 1), (8, [0.0, 1.0], 1), (3, [0.0, 2.0], 1), (3, [1.0, 1.0], 1), (None, [1.0, 0.01], 0), (None, [-1.0, 0.0], 0), (None, [-2.0, 0.0], 0), (9, None, 0), (None, None, 0), (5, [1.0, 0.0], None)]
+    rows += [(50, [1.0, i / 1000], 2) for i in range(7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+    def linked(a, b):
+        if a[2] is None or a[2] != b[2] or a[1] is None or b[1] is None:
+            return False
+        u, v = np.array(a[1]), np.array(b[1])
+        return u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.98
+
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows):
+                if i != j and linked(a, b):
+                    group[i] = group[j] = min(group[i], group[j])
+    want = []
+    for i, a in enumerate(rows):
+        known = [rows[j][0] for j in range(len(rows)) if group[j] == group[i] and rows[j][0] is not None]
+        least = min(known) if known else None
+        want.append((a[0], sum(i != j and linked(a, b) for j, b in enumerate(rows)), least, a[0] == least))
+    assert sorted([tuple(r) for r in covertree.near_embeddings(table, block=4).collect()], key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_near_embeddings(spark, block):
     rng = np.random.default_rng(4)
