@@ -1,5 +1,10 @@
+import hashlib
+import math
 import random
 import re
+import statistics
+import time
+import zlib
 
 import pytest
 
@@ -61,6 +66,69 @@ def test_models_read_all_ruled_urls(spark):
     assert found([(600 + i, f"http://c.net/es/{'abcdefghijkl'[i]}/qjxz") for i in range(12)]) < bare - 0.5
 
 
+def plain_shape(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    return "^" + re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m.group().lower(), rest)) + "$"
+
+
+def plain_judge(pages, sample, order=urls.ORDER):
+    """(page_id, verdict, score) by counts in dictionaries: the longest gram's smoothed probability under each model."""
+    ruled = [(i, plain_shape(u), plain_rule(*plain(u))) for i, u in pages]
+    known = {(s, v == "allow") for _, s, (_, v) in ruled if v}
+    even = lambda s: zlib.crc32(s.encode()) % 2 == 0
+    held = [k for good in (True, False) for k in sorted((k for k in known if k[1] == good), key=lambda k: (even(k[0]), hashlib.md5(k[0].encode()).hexdigest(), k[0]))[:sample]]
+    seen = known - {k for k in held if not even(k[0])}
+    counts, contexts = {True: {}, False: {}}, {True: {}, False: {}}
+    for s, good in seen:
+        for end in range(1, len(s) + 1):
+            for size in range(1, min(order, end) + 1):
+                gram = s[end - size : end]
+                counts[good][gram] = counts[good].get(gram, 0) + 1
+                contexts[good][gram[:-1], size] = contexts[good].get((gram[:-1], size), 0) + 1
+
+    def chance(gram, good):
+        shorter = chance(gram[1:], good) if len(gram) > 1 else 1 / urls.ALPHABET
+        return (counts[good].get(gram, 0) + urls.MASS * shorter) / (contexts[good].get((gram[:-1], len(gram)), 0) + urls.MASS)
+
+    def score(s):
+        total = 0.0
+        for end in range(1, len(s) + 1):
+            longest = next((s[end - k : end] for k in range(min(order, end), 0, -1) if s[end - k : end] in counts[True] or s[end - k : end] in counts[False]), None)
+            total += math.log(chance(longest, True) / chance(longest, False)) if longest else 0
+        return total / len(s)
+
+    figures = []
+    for good in (True, False):
+        own = [score(s) for s, g in held if g == good and not even(s)] or [score(s) for s, g in held if g == good]
+        figures += [statistics.fmean(own), statistics.pstdev(own)]
+    ma, sa, mr, sr = figures
+    limit = (ma * sr + mr * sa) / (sr + sa) if sr + sa else (ma + mr) / 2
+    return [(i, v or ("allow" if score(s) >= limit else "block"), None if v else score(s)) for i, s, (_, v) in ruled]
+
+
+@pytest.mark.parametrize("sample", [7, 4000])
+def test_scores_threshold_and_verdicts_like_plain_python(spark, sample):
+    rng = random.Random(sample)
+    word = lambda: "".join(rng.choice("aeimnrstäß09") for _ in range(rng.randrange(2, 9)))
+    pages = [(i, f"http://{word()}.{rng.choice(['com', 'net', 'org', 'example.com'])}/{rng.choice(['es', 'fr', 'en', 'x'])}/{word()}/{'win-' * rng.randrange(3)}{word()}") for i in range(400)]
+    pages += [(900, None), (901, "http://q.org/" + "long/story-" * 300)]
+    got = {r.page_id: (r.verdict, r.score) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), sample=sample).collect()}
+    for i, verdict, score in plain_judge(pages, sample):
+        assert got[i][0] == verdict and (got[i][1] == score if score is None else abs(got[i][1] - score) < 1e-9), pages[i if i < 400 else i - 900 + 400]
+
+
+def test_work_is_in_proportion_to_the_length(spark):
+    rules = [(i, f"http://a{'bcdefgh'[i % 7]}.{['com', 'net'][i % 2]}/es/{i}") for i in range(40)]
+    judge = lambda n: urls.judge(spark.createDataFrame([*rules, (99, "http://a.org/" + "ab/cd-" * (n // 6))], "page_id long, url string")).where("page_id = 99").first().score
+    judge(100)
+    began = time.time()
+    short = judge(1_000)
+    took = time.time() - began
+    began = time.time()
+    long = judge(1_000_000)  # four million grams
+    assert time.time() - began < took + 60 and abs(short - long) < 0.1
+
+
 def test_scan(spark):
     extra = [
         (50, "Released under the MIT License.", {"mit"}),
