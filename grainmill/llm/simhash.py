@@ -337,19 +337,42 @@ def _similar_rows(similarity: float):
     return run
 
 
+def outsiders(placed: DataFrame, crowded: int) -> DataFrame:
+    """Buckets (key, rep, part) in which the texts outside a band's largest component meet those inside, and each other.
+
+    ``placed(key, rep, m, part)``: texts of crowded bands, with their components and
+    numbers of shingles.  Both kinds are dealt to slices of two fifths of ``crowded`` texts; a bucket has a
+    slice of each kind, or two slices of outsiders.  So none is crowded, however many
+    texts are outside; as many buckets as that takes are the price of losing no pair.
+    """
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+    bands = sizes.groupBy("key").agg(F.max_by(F.struct("part", "n", "m"), F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    slices = lambda n, m: F.greatest(F.lit(1), F.ceil(F.greatest(n / (crowded * 0.4), m / (crowded * 0.4 * 1024)))).cast("int")
+    counts = cut(bands.select("key", F.col("main.part").alias("main"), slices(F.col("main.n"), F.col("main.m")).alias("inside"), slices(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m")).alias("outside")))
+    told = placed.join(counts, "key")
+    is_main = F.col("part") == F.col("main")
+    own = F.pmod(F.xxhash64("rep", "key"), F.when(is_main, F.col("inside")).otherwise(F.col("outside"))).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = F.when(is_main, F.transform(every("outside"), lambda o: F.struct(F.lit("in").alias("kind"), F.col("own").alias("a"), o.alias("b"))))
+    mixed = F.transform(every("inside"), lambda i: F.struct(F.lit("in").alias("kind"), i.alias("a"), F.col("own").alias("b")))
+    among = F.transform(every("outside"), lambda o: F.struct(F.lit("out").alias("kind"), F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
+    each = told.withColumn("own", own).select("key", "rep", "part", F.explode(F.coalesce(across, F.concat(mixed, among))).alias("at"))
+    return each.select(F.xxhash64("key", "at.kind", "at.a", "at.b").alias("key"), "rep", "part")
+
+
 def similar_links(signed: DataFrame, similarity: float = NEAR_SIMILARITY, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) between texts of ``signed(n1, x, y, keys, shingles)`` whose shingle sets have that Jaccard similarity.
 
     Texts that agree in a band stand in one bucket.  There bit planes leave those near
     enough, and the sets decide.  A bucket of more than ``crowded`` texts is dealt to
-    several; afterwards its texts outside its largest component meet those of all these
-    parts, so that only pairs are left out that links join already.
+    several; afterwards its texts outside its largest component meet all others, see
+    :func:`outsiders`, so that only pairs are left out that links join already.
     """
     reps = signed.where(F.size("shingles") > 0).select("n1", "keys", F.size("shingles").alias("m")).dropDuplicates(["n1"])
     rows = reps.select(F.col("n1").alias("rep"), "m", F.explode("keys").alias("key"))
     parts = F.ceil(F.greatest(F.count("*") / crowded, F.sum("m") / (crowded * 1024))).cast("int")
     again = cut(rows.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").select("key", "parts"))
-    members = cut(rows.join(again, "key").select("key", "rep", "parts"))
+    members = cut(rows.join(again, "key").select("key", "rep", "m", "parts"))
     ends = cut(members.select("rep").distinct())
     sets = cut(signed.select(F.col("n1").alias("rep"), "x", "y", "shingles").join(ends, "rep", "left_semi").dropDuplicates(["rep"]), ends)
 
@@ -358,17 +381,13 @@ def similar_links(signed: DataFrame, similarity: float = NEAR_SIMILARITY, crowde
         return cut(bounded(full).repartition("key").sortWithinPartitions("key").mapInPandas(_similar_rows(similarity), "a long, b long"))
 
     own = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")
-    dealt_key = lambda nth: F.when(F.col("parts") > 1, F.xxhash64("key", nth)).otherwise(F.col("key"))
-    links = search(members.select(dealt_key(own).alias("key"), "rep", F.col("rep").alias("part")))
+    links = search(members.select(F.when(F.col("parts") > 1, F.xxhash64("key", own)).otherwise(F.col("key")).alias("key"), "rep", F.col("rep").alias("part")))
     large = members.where("parts > 1")
     if not large.isEmpty():
         joined = cut(connected_components(links))
-        placed = cut(large.join(joined, large["rep"] == joined["id"], "left").select("key", "rep", "parts", F.coalesce("component", "rep").alias("part")))
-        main = cut(placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
-        everywhere = F.when(F.col("part") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-        more = placed.join(main, "key").select("key", "rep", "part", "parts", F.explode(everywhere).alias("nth"))
-        more = search(more.select(dealt_key(F.col("nth")).alias("key"), "rep", "part"))
-        discard(joined, placed, main)
+        placed = cut(large.join(joined, large["rep"] == joined["id"], "left").select("key", "rep", "m", F.coalesce("component", "rep").alias("part")), joined)
+        more = search(outsiders(placed, crowded))
+        discard(placed)
         links = cut(links.unionByName(more), links, more)
     discard(again, members, sets)
     return links

@@ -192,3 +192,18 @@ def test_keep_one_with_its_own_names_as_columns(spark):
     table = docs(spark).withColumn("k1", F.lit(1)).withColumn("n1", F.lit("n")).withColumn("row", F.lit(2)).withColumn("component", F.lit(3))
     found = simhash.keep_one(table)
     assert found.columns == table.columns and found.count() == simhash.keep_one(docs(spark)).count()
+
+
+def test_no_bucket_of_the_second_search_is_crowded(spark):
+    """A band of many texts that few links join: slices meet slices, and all pairs that matter meet somewhere."""
+    rng = random.Random(2)
+    crowded, texts = 64, 1500
+    part = [0 if rng.random() < 0.3 else i for i in range(texts)]
+    placed = spark.createDataFrame([(k, i, 10, part[i]) for k in (5, 6) for i in range(texts) if k == 5 or i % 10 == 0], "key long, rep long, m int, part long")
+    dealt = simhash.outsiders(placed, crowded)
+    buckets = {}
+    for r in dealt.collect():
+        buckets.setdefault(r["key"], []).append(r["rep"])
+    assert max(map(len, buckets.values())) <= crowded * 1.25
+    meet = {(a, b) for b_ in buckets.values() for i, a in enumerate(sorted(set(b_))) for b in sorted(set(b_))[i + 1 :]}
+    assert all((a, b) in meet for a in range(0, texts, 7) for b in range(a + 1, texts, 3) if part[a] != part[b])
