@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, matching, validation
+from ..operators import filters, matching, profile, validation
 from ..operators.commands import apply
 from ..operators.ids import ROW_ID
 from ..session import scratch
@@ -150,3 +150,21 @@ def _chained(s: SparkSession, d: str) -> DataFrame:
 
 
 add("merge_chains", _chained, f"SELECT c_custkey::BIGINT * 100 AS {ROW_ID}, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 2 OR c_custkey = (SELECT max(c_custkey) FROM customer)")
+
+
+# --- profiles -----------------------------------------------------------------------------------------
+
+
+def _profiled(s: SparkSession, d: str) -> DataFrame:
+    """Every column of lineitem by states for each file; an estimate within 2 % is told as the exact number."""
+    t = table(s, d, "lineitem").withColumn("file", F.col("_metadata.file_name"))
+    found = profile.profile(profile.states(t.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")), part="file"))
+    names = [c for c in t.columns if c != "file"]
+    exact = t.agg(*[F.countDistinct(c).alias(c) for c in names]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in names])))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1), 0.02 * F.col("exact"))
+    return found.join(exact, "column_name").select("column_name", "n_rows", "n_nulls", F.when(near, F.col("exact")).otherwise(F.col("n_distinct")).alias("n_distinct"))
+
+
+LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+add("profile_columns", _profiled, " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in LINE))
+add("profile_common", lambda s, d: profile.profile(profile.states(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"])).select("column_name", "least", "greatest", F.explode("common").alias("c")).select("column_name", "least", "greatest", F.col("c.item").alias("value"), F.col("c.count").alias("n")), " UNION ALL ".join(f"SELECT '{c}' AS column_name, (SELECT min({c}) FROM lineitem) AS least, (SELECT max({c}) FROM lineitem) AS greatest, {c} AS value, count(*) AS n FROM lineitem GROUP BY {c}" for c in ("l_returnflag", "l_linestatus")))
