@@ -120,17 +120,27 @@ def export_rows(d: Diff, unchanged: bool = False) -> DataFrame:
     return _exported(d, d.rows if unchanged else d.changed())
 
 
-def _exported(d: Diff, rows: DataFrame) -> DataFrame:
+def export_values(d: Diff) -> list[Column]:
+    """Status and values as texts: the new value, or the old one of a removed row."""
     columns = d.shared + d.new_columns + d.removed_columns
     value = {c: F.coalesce(*[F.col(f"{p}_{c}").cast("string") for p in ("b", "a") if f"{p}_{c}" in d.rows.columns]).alias(c) for c in columns}
-    return rows.select(F.col("diff_status").alias("Status"), *value.values())
+    return [F.col("diff_status").alias("Status"), *value.values()]
+
+
+def _exported(d: Diff, rows: DataFrame) -> DataFrame:
+    return rows.select(*export_values(d))
+
+
+def json_row(d: Diff) -> Column:
+    """A row with its modified columns as JSON: status, both sides, and modified columns."""
+    sides = [F.struct(*[F.col(f"{p}_{c}").alias(c) for c in d.shared + extra]).alias(n) for p, n, extra in (("a", "rowA", d.new_columns), ("b", "rowB", d.removed_columns))]
+    return F.to_json(F.struct(F.col("diff_status").alias("status"), *sides, F.col("modified_columns").alias("modifiedColumns")))
 
 
 def export_json(d: Diff) -> DataFrame:
     """One JSON text a changed row: status, both sides, and modified columns."""
     rows = d.with_modified_columns().where("diff_status != 'unchanged'")
-    sides = [F.struct(*[F.col(f"{p}_{c}").alias(c) for c in d.shared + extra]).alias(n) for p, n, extra in (("a", "rowA", d.new_columns), ("b", "rowB", d.removed_columns))]
-    return rows.select(F.to_json(F.struct(F.col("diff_status").alias("status"), *sides, F.col("modified_columns").alias("modifiedColumns"))).alias("json"))
+    return rows.select(json_row(d).alias("json"))
 
 
 def export_report(d: Diff) -> dict:
