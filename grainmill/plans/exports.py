@@ -1,4 +1,4 @@
-"""Queries for diffs as files: chunks taken up again, and one JSON document."""
+"""Queries for diffs as files, chunks taken up again and one JSON document, and for workbooks."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from ..sources import xlsx
 from ..sources.exports import ChunkedExport, write_document
 from . import catalogue
-from .catalogue import DIFF, add
+from .catalogue import DIFF, add, table
 
 CHUNK = 500
 
@@ -40,3 +41,15 @@ def _document(s: SparkSession, d: str) -> DataFrame:
 
 
 add("diff_document", _document, f"{DIFF} SELECT diff_status AS status, a_o_orderkey AS a, b_o_orderkey AS b, b_o_orderstatus AS value, CASE WHEN diff_status = 'modified' THEN 'o_orderstatus' ELSE '' END AS names FROM x WHERE diff_status <> 'unchanged'")
+
+
+# --- workbooks ----------------------------------------------------------------------------------
+
+
+def _sheets(s: SparkSession, d: str) -> DataFrame:
+    """All orders as workbooks, and the rows of their first sheets."""
+    rows = table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.concat(F.lit("<a> & _x0041_ \n"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("note"))
+    return xlsx.sheets(xlsx.workbooks(rows, 4000))
+
+
+add("source_xlsx", _sheets, "SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus, '<a> & _x0041_ ' || chr(10) || o_custkey || ' ' AS note FROM orders")

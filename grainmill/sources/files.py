@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ids import user_columns, with_ids
+from .xlsx import read_xlsx
 
 DELIMITERS = (",", "\t", "|", ";")
 
@@ -118,17 +119,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet, all values texts, empty ones null; needs pandas' Excel reader."""
-    import pandas as pd
-
-    sheet = pd.read_excel(path, dtype=str, keep_default_na=False)
-    if not len(sheet):
-        raise ValueError("the sheet is empty")
-    df = spark.createDataFrame(sheet.astype(str))
-    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
-
-
 READERS = {".csv": read_csv, ".tsv": read_csv, ".txt": read_csv, ".json": read_json, ".parquet": read_parquet, ".xlsx": read_xlsx}
 
 
