@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PrefixHash, as_bytes, bounded, cut, fresh, mix64, runs_of_rows
@@ -311,19 +311,116 @@ def _covered(texts: DataFrame, min_length: int, hot: int, deal: int = 0) -> Data
     return hits.groupBy("id", "key").agg(F.flatten(F.collect_set("parts")).alias("spans"))
 
 
+def _shifts_joined(occurrences: DataFrame) -> DataFrame:
+    """(rid, length, id, key, start): one group for all that have the same occurrences, shifted, and lie without a gap.
+
+    ``occurrences(rid, length, id, key, start)`` are different rows.  A group's shape is
+    the set of its occurrences relative to the smallest, as a count and two digests.
+    Groups of one shape whose strings overlap or touch at their smallest occurrence do
+    so at every one.  Gives the smallest occurrence of each joined group.
+    """
+    least = cut(occurrences.groupBy("rid").agg(F.min(F.struct("id", "key", "start")).alias("one"), F.max("length").alias("length")))
+    place = [F.col("id"), F.col("key"), F.col("start") - F.col("one.start")]
+    digests = [F.bit_xor(F.xxhash64(F.lit(seed), *place)).alias(f"x{seed}") for seed in (1, 2)]
+    shapes = occurrences.drop("length").join(least.drop("length"), "rid").groupBy("rid").agg(F.count("*").alias("n"), *digests)
+    rows = least.join(shapes, "rid").select("rid", "one.id", "one.key", "one.start", (F.col("one.start") + F.col("length")).alias("end"), "n", "x1", "x2")
+    shape = ["id", "key", "n", "x1", "x2"]  # groups that begin in one document
+    along = Window.partitionBy(*shape).orderBy("start", "rid")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    islands = rows.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = islands.groupBy(*shape, "island").agg(F.min(F.struct("start", "rid")).alias("first"), F.max("end").alias("end"))
+    return joined.select("first.rid", (F.col("end") - F.col("first.start")).alias("length"), "id", "key", "first.start")
+
+
+def _around(block: int):
+    """The bytes before (backwards) and after occurrences, up to ``block`` of them and to the text's ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 21) // block)
+        for batch in batches:
+            flat, at = as_bytes(batch.column(0))
+            for i, wanted in enumerate(batch.column(1).to_pylist()):
+                own = flat[at[i] : at[i + 1]]
+                for lo in range(0, len(wanted), step):
+                    part = wanted[lo : lo + step]
+                    before = [own[max(0, w["s"] - block) : w["s"]][::-1].tobytes() if w["more_left"] else None for w in part]
+                    after = [own[w["e"] : w["e"] + block].tobytes() if w["more_right"] else None for w in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([w["rid"] for w in part], pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["rid", "before", "after"])
+
+    return run
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far all of a group's surroundings agree: as far as the smallest and the largest do."""
+    for batch in batches:
+        sides = [[_common(a, b) if a is not None else 0 for a, b in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)] for k in (1, 3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int32()) for x in sides]], names=["rid", "to_left", "to_right"])
+
+
+def _extended(texts: DataFrame, occurrences: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rid, length, left): how long the groups' strings are when they take in what all occurrences share around them.
+
+    Rounds look at 256, 4096 and then always 65536 bytes on each side that is still open;
+    a group is open while all of them agree.  The comparison is by bytes, and aggregates
+    only the smallest and the largest surroundings, so no group is gathered.
+    """
+    done = None
+    state = cut(groups.select("rid", F.col("length").cast("int").alias("length"), F.lit(0).alias("left"), F.lit(True).alias("more_left"), F.lit(True).alias("more_right")))
+    block = 256
+    while True:
+        at = occurrences.drop("length").join(state, "rid").select("id", "key", F.struct("rid", (F.col("start") - F.col("left")).alias("s"), (F.col("start") - F.col("left") + F.col("length")).alias("e"), "more_left", "more_right").alias("w"))
+        wanted = at.groupBy("id", "key").agg(F.collect_list("w").alias("wanted"))
+        around = bounded(texts).join(wanted, ["id", "key"]).select("text", "wanted").mapInArrow(_around(block), "rid long, before binary, after binary")
+        ends = around.groupBy("rid").agg(F.min("before").alias("a"), F.max("before").alias("b"), F.min("after").alias("c"), F.max("after").alias("d"))
+        shared = ends.mapInArrow(_agreeing, "rid long, to_left int, to_right int")
+        moved = state.join(shared, "rid").select("rid", (F.col("length") + F.col("to_left") + F.col("to_right")).alias("length"), (F.col("left") + F.col("to_left")).alias("left"), (F.col("to_left") == block).alias("more_left"), (F.col("to_right") == block).alias("more_right"))
+        after = cut(moved, state)
+        finished = after.where("NOT (more_left OR more_right)").select("rid", "length", "left")
+        done = finished if done is None else done.unionByName(finished)
+        state = after.where("more_left OR more_right")
+        if state.isEmpty():
+            return done
+        state = cut(state)
+        block = min(block * 16, 1 << 16)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat, at = as_bytes(batch.column(0))
+        for i, wanted in enumerate(batch.column(1).to_pylist()):
+            own = flat[at[i] : at[i + 1]].tobytes()
+            found = [xxhash.xxh64_intdigest(memoryview(own)[w["s"] : w["e"]]) - (1 << 63) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([w["rid"] for w in wanted], pa.int64()), pa.array(found, pa.int64())], names=["rid", "repeat_id"])
+
+
 def maximal_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT_FRAMES) -> DataFrame:
     """(repeat_id, length, doc_id, start): every occurrence of every maximal repeat group.
 
-    A repeat longer than a frame comes as several overlapping groups, each with all of
-    its occurrences; lengths and starts are in bytes.  A group's repeat_id hashes its
-    bytes.  Matches never cross documents; null and short texts have none.  Rows may
-    share a doc_id; equal rows are documents of their own, so their texts repeat, and
-    each row's occurrences are listed.  A null doc_id stays null; columns may have any
-    names; an empty table gives no rows.
+    Groups found within frames that have the same occurrences, shifted, become one, which
+    then takes in all bytes that its occurrences share on both sides: a long passage is
+    one group however many frames it has, and neither ``hot`` nor the frames show.  Each
+    group is a maximal repeat with all its occurrences.  A maximal repeat of whose
+    strings of ``min_length`` bytes every one occurs elsewhere too, apart from it, comes
+    only as the groups of these.  Lengths and starts are in bytes; a group's repeat_id
+    hashes its bytes.
+
+    Matches never cross documents; null and short texts have none.  Rows may share a
+    doc_id; equal rows are documents of their own, so their texts repeat, and each
+    row's occurrences are listed.  A null doc_id stays null; columns may have any names;
+    an empty table gives no rows.
     """
     ids = _text(docs)
-    found = _members(ids, min_length, hot).join(ids.select("id", "key", F.col("doc_id").isNull().alias("none")).distinct(), ["id", "key"])
-    return found.select(F.col("rid").alias("repeat_id"), "length", F.when(~F.col("none"), F.col("id")).alias("doc_id"), "start")
+    occurrences = cut(_members(ids, min_length, hot).distinct())
+    groups = cut(_shifts_joined(occurrences))
+    kept = cut(occurrences.join(groups.select("rid"), "rid", "left_semi"))
+    whole = cut(_extended(ids, kept, groups))
+    spans = groups.drop("length").join(whole, "rid").select("id", "key", F.struct("rid", (F.col("start") - F.col("left")).alias("s"), (F.col("start") - F.col("left") + F.col("length")).alias("e")).alias("w"))
+    named = bounded(ids).join(spans.groupBy("id", "key").agg(F.collect_list("w").alias("wanted")), ["id", "key"]).select("text", "wanted").mapInArrow(_digests, "rid long, repeat_id long")
+    names = cut(whole.join(named.distinct(), "rid").select("rid", "repeat_id", F.col("length").alias("long"), "left"))
+    # groups that grew to one string are one
+    every = kept.join(names, "rid").select("repeat_id", F.col("long").alias("length"), "id", "key", (F.col("start") - F.col("left")).alias("start")).distinct()
+    rows = every.join(ids.select("id", "key", "doc_id"), ["id", "key"])
+    return rows.select("repeat_id", "length", "doc_id", "start")
 
 
 def covered(docs: DataFrame, min_length: int = MIN_LENGTH, hot: int = HOT_FRAMES) -> DataFrame:

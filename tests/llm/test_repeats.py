@@ -109,6 +109,53 @@ def test_columns_with_names_that_operators_use(spark):
     assert out.columns == table.columns and {(r.id, r.spans, r.key) for r in out.collect()} == {("id", "spans", "clash")}
 
 
+def brute_groups(texts, least):
+    """{string: its places} of all maximal repeats of at least ``least`` bytes."""
+    data = [t.encode() for t in texts]
+    places = collections.defaultdict(set)
+    for d, t in enumerate(data):
+        for s in range(len(t)):
+            for e in range(s + least, len(t) + 1):
+                places[t[s:e]].add((d, s))
+    out = {}
+    for body, at in places.items():
+        before = {data[d][s - 1] if s else -1 - d for d, s in at}
+        after = {data[d][s + len(body)] if s + len(body) < len(data[d]) else -1 - d for d, s in at}
+        if len(at) > 1 and len(before) > 1 and len(after) > 1:
+            out[body] = at
+    return out, places
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT_FRAMES, 1])
+def test_a_long_passage_is_one_group(spark, hot):
+    body = "".join(f"{i * i % 9973:05d}" for i in range(4000))
+    passage, longer = body[:1000], body[2000:12000]
+    texts = ["a" + passage + "b" + longer, "c" + longer + "d" + passage, "e" + passage + "f", "g" + longer + "h", "i" + longer[3000:9000] + "j"]
+    table = docs(spark, [(i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(texts)])
+    groups = collections.defaultdict(set)
+    for r in repeats.maximal_repeats(table, hot=hot).collect():
+        groups[texts[r.doc_id][r.start : r.start + r.length]].add((r.doc_id, r.start))
+    assert groups == {passage: {(0, 1), (1, 10002), (2, 1)}, longer: {(0, 1002), (1, 1), (3, 1)}, longer[3000:9000]: {(0, 4002), (1, 3001), (3, 3001), (4, 1)}}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_groups_against_all_substrings(spark, seed):
+    """Texts of shared pieces: what is found is maximal and whole, and only what its parts tell is not found."""
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    pieces = ["".join(map(chr, draw.integers(97, 100, n))) for n in draw.integers(5, 90, 6)]
+    texts = ["".join(pieces[k] for k in draw.integers(0, 6, 6)) for _ in range(8)]
+    table = docs(spark, [(i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(texts)])
+    groups = collections.defaultdict(set)
+    for r in repeats.maximal_repeats(table, 25, hot=[repeats.HOT_FRAMES, 2][seed % 2]).collect():
+        groups[texts[r.doc_id].encode()[r.start : r.start + r.length]].add((r.doc_id, r.start))
+    want, places = brute_groups(texts, 25)
+    assert groups and all(want.get(body) == at for body, at in groups.items())
+    for body in want.keys() - groups.keys():
+        assert all(len(places[body[s : s + 25]]) > len(want[body]) for s in range(len(body) - 24))
+
+
 def check_groups(found, texts):
     groups = collections.defaultdict(set)
     for r in found:
