@@ -42,8 +42,10 @@ def parse_date(c: Column, unit: str | None = None) -> Column:
 
 
 def detect_epoch(df, column: str, sample: int = 100) -> str | None:
-    """The unit that half of the first ``sample`` values or more look like."""
-    found = df.where(F.col(column).isNotNull()).select(epoch_unit(F.col(column)).alias("u")).limit(sample).groupBy("u").count().collect()
+    """The unit that half of the first ``sample`` values or more look like: the first by row id where there is one."""
+    rows = df.where(F.col(column).isNotNull())
+    rows = rows.orderBy("_cs_id") if "_cs_id" in df.columns and not df.isStreaming else rows
+    found = rows.select(epoch_unit(F.col(column)).alias("u")).limit(sample).groupBy("u").count().collect()
     total = sum(r["count"] for r in found)
     best = max((r for r in found if r["u"]), key=lambda r: r["count"], default=None)
     return best["u"] if best and 2 * best["count"] >= total else None

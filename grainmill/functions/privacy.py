@@ -79,3 +79,55 @@ def key_map(df: DataFrame, rules: list[dict], secret: str | None = None) -> Data
     by_column = {r["column"]: r for r in rules}
     each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("original"), method(F.col(c), r, secret).cast("string").alias("obfuscated")) for c, r in by_column.items()])
     return df.select(F.explode(each).alias("x")).select("x.*").where("original is not null").distinct()
+
+
+def legacy(c: Column, kind: str, secret: str = "") -> Column:
+    """The older scrubbing of single values; a null becomes an empty text.
+
+    It differs from :func:`method`: hashes are 16 digits of SHA-256, scrambling keeps
+    only the digits, backwards, masks keep one sign at each end and have five stars at
+    most, and a whole number is milliseconds to ``year_only``.
+    """
+    s = text(c)
+    digits = F.regexp_replace(s, "[^0-9]", "")
+    if kind == "redact":
+        out = F.lit("[REDACTED]")
+    elif kind == "mask":
+        out = mask(c, 1, 1, 5)
+    elif kind == "hash":
+        out = F.left(F.sha2(F.concat(s, F.lit(secret)).cast("binary"), 256), F.lit(16))
+    elif kind == "scramble":
+        out = F.reverse(digits)
+    elif kind == "last4":
+        out = last4(c)
+    elif kind == "zero":
+        out = zero(c)
+    elif kind == "year_only":
+        whole = F.when(s.rlike("^(0|-?[1-9][0-9]{0,15})$"), s.try_cast("bigint"))
+        out = F.coalesce(F.concat(F.date_format(F.timestamp_millis(whole), "yyyy"), F.lit("-01-01")), year_only(c))
+    else:
+        out = s
+    return F.when(c.isNull(), "").otherwise(out)
+
+
+def legacy_scrub(df: DataFrame, rules: list[dict], secret: str = "", known: DataFrame | None = None) -> DataFrame:
+    """Rules of :func:`legacy` in one projection; nulls stay.
+
+    ``known(original, obfuscated)``, each original once, is a key map from before: its
+    values hold in every rule's column, whatever the rule.
+    """
+    by_column = {r["column"]: r["method"] for r in rules}
+    out = df
+    for i, (column, kind) in enumerate(by_column.items()):
+        c = F.col(f"`{column}`")
+        if known is not None:
+            pairs = known.select(F.col("original").alias(f"_from_{i}"), F.col("obfuscated").alias(f"_to_{i}"))
+            out = out.join(pairs, c.cast("string") == F.col(f"_from_{i}"), "left")
+
+    def scrubbed(column: str, i: int) -> Column:
+        c = F.col(f"`{column}`")
+        plain = F.when(c.isNotNull(), legacy(c, by_column[column], secret))
+        return plain if known is None else F.when(F.col(f"_from_{i}").isNotNull(), F.col(f"_to_{i}")).otherwise(plain)
+
+    place = {c: i for i, c in enumerate(by_column)}
+    return out.select(*[scrubbed(c, place[c]).alias(c) if c in place else F.col(f"`{c}`") for c in df.columns])

@@ -49,6 +49,16 @@ def clean_keys(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.trim(F.col(key)))
 
 
+def clean_both_keys(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Both tables with the key's blanks taken off, and how many keys of each had some."""
+    counts = []
+    for x in (left, right):
+        if key not in x.columns:
+            raise CommandError("KEY_NOT_FOUND", f"no key {key} in both tables")
+        counts.append(x.where(F.col(key).cast("string") != F.trim(F.col(key).cast("string"))).count())
+    return clean_keys(left, key), clean_keys(right, key), {"left": counts[0], "right": counts[1]}
+
+
 def stack(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both by column name, a's columns first, missing ones null, duplicates kept."""
     x, y = a.select(*user_columns(a)), b.select(*user_columns(b))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from .commands import REGISTRY, CommandError, apply, cast_column
+from .commands import REGISTRY, CommandError, apply, cast_column, require
 from .ids import ROW_ID, user_columns
 
 #: Texts that a cell of each type may hold, and the bits of whole numbers.
@@ -92,9 +92,65 @@ def changes(df: DataFrame, name: str, column: str, **params) -> DataFrame:
     return after.select(*ids, F.col("_was").cast("string").alias("original"), F.col(column).cast("string").alias("result")).where(~F.col("original").eqNullSafe(F.col("result")))
 
 
-def affected(df: DataFrame, name: str, column: str, **params) -> DataFrame:
-    """Row ids of the rows that a one-column command changes."""
-    return changes(df, name, column, **params).select(ROW_ID)
+#: Which values of its column a command touches; commands that compare before and after are not here.
+TOUCHED = {
+    "replace_empty": lambda c, p: c.isNull() | (F.trim(c) == ""),
+    "fill_down": lambda c, p: c.isNull() | (F.trim(c) == ""),
+    "split_column": lambda c, p: ~text.is_blank(c),
+    "pad_zeros": lambda c, p: F.length(c) < p.get("length", 5),
+    "unformat_currency": lambda c, p: c.rlike("[$,€£¥]") | (c.startswith("(") & c.endswith(")")),
+    "fix_negatives": lambda c, p: F.trim(c).rlike(r"(?s)\(.*\)$"),
+    "cast_type": lambda c, p: c.isNotNull(),
+    "mask": lambda c, p: c != "",
+    **{name: lambda c, p: c.isNotNull() for name in ("hash", "redact", "last4", "zero", "scramble", "year_only")},
+}
+
+
+#: Commands that change columns, or the rows of a table as a whole, so that no row of it is touched by itself.
+WHOLE_TABLE = ("rename_column", "add_column", "delete_column", "remove_duplicates", "insert_row", "custom_sql", "excel_formula")
+
+
+def affected(df: DataFrame, name: str, column: str | None = None, **params) -> DataFrame | None:
+    """Row ids of the rows that a command touches, read from the table before it.
+
+    Text commands touch the rows whose value they change, others those that
+    ``TOUCHED`` tells, dates those that can be read.  None for commands of
+    ``WHOLE_TABLE``, of which no row can be said.
+    """
+    if name not in REGISTRY:
+        raise CommandError("UNKNOWN_COMMAND", f"unknown command: {name}")
+    if name in WHOLE_TABLE:
+        return None
+    if column is not None:
+        require(df, column)
+    if name == "delete_row":
+        found = F.col(ROW_ID).isin([int(i) for i in params["row_ids"]])
+    elif name == "edit_batch":
+        return df.join(params["changes"].select(F.col("row_id").alias(ROW_ID)).distinct(), ROW_ID, "left_semi").select(ROW_ID)
+    elif name == "edit_cell":
+        found = F.col(ROW_ID) == params["row_id"]
+    elif name == "combine_columns":
+        names = [c.strip() for c in params["columns"].split(",")] if isinstance(params["columns"], str) else params["columns"]
+        require(df, *names)
+        found = F.exists(F.array(*[~text.is_blank(F.col(f"`{c}`")) for c in names]), lambda x: x)
+    elif name == "scrub_batch":
+        found = F.exists(F.array(*[F.col(f"`{r['column']}`").isNotNull() for r in params["rules"]]), lambda x: x)
+    elif name in ("calculate_age", "standardize_date"):
+        found = dates.parse_date(F.col(f"`{column}`"), dates.detect_epoch(df, column)).isNotNull()
+    elif name in TOUCHED:
+        found = TOUCHED[name](F.col(f"`{column}`").cast("string"), params)
+    else:
+        return changes(df, name, column, **params).select(ROW_ID)
+    return df.where(found).select(ROW_ID)
+
+
+def highlighted(df: DataFrame, name: str, most: int = 1000, **params) -> DataFrame:
+    """``df`` with ``_highlight`` 1 in the rows that a command touches, the first ``most`` of them by row id, else 0."""
+    found = affected(df, name, **params)
+    if found is None:
+        return df.withColumn("_highlight", F.lit(0))
+    first = found.orderBy(ROW_ID).limit(most).withColumn("_highlight", F.lit(1))
+    return df.join(F.broadcast(first), ROW_ID, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_highlight", F.lit(0)).alias("_highlight"))
 
 
 def preview_split(df: DataFrame, column: str, sample: int = 10, **params) -> DataFrame:

@@ -11,23 +11,25 @@ from ..sources.exports import ChunkedExport, write_document
 from . import catalogue
 from .catalogue import DIFF, add, table
 
-CHUNK = 500
+#: A chunk holds a thirtieth of the orders, so about seven hold the changed ones.
+CHUNKS = 30
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     """All chunks of a diff, of which a first run left every second one; the second run has no tables to join."""
     path = scratch(s)
     found = catalogue._diff(s, d)
+    size = table(s, d, "orders").count() // CHUNKS + 1
     first = ChunkedExport(s, path)
-    first.prepare(found, CHUNK)
+    first.prepare(found, size)
     for chunk in first.missing()[::2]:
         first.write(chunk)
-    ChunkedExport(s, path).run(found, CHUNK)
+    ChunkedExport(s, path).run(found, size)
     rows = s.read.option("header", True).csv(f"{path}/chunks/*")
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"chunks/(\d+)/", 1).cast("long").alias("chunk"), "Status", "o_orderkey", "o_orderstatus")
 
 
-EXPORTED = f"""{DIFF} SELECT (row_number() OVER (ORDER BY b_o_orderkey NULLS LAST, a_o_orderkey NULLS LAST) - 1) // {CHUNK} AS chunk, diff_status AS "Status",
+EXPORTED = f"""{DIFF} SELECT (row_number() OVER (ORDER BY b_o_orderkey NULLS LAST, a_o_orderkey NULLS LAST) - 1) // ((SELECT count(*) FROM orders) // {CHUNKS} + 1) AS chunk, diff_status AS "Status",
   coalesce(b_o_orderkey, a_o_orderkey)::VARCHAR AS o_orderkey, coalesce(b_o_orderstatus, a_o_orderstatus) AS o_orderstatus FROM x WHERE diff_status <> 'unchanged'"""
 add("diff_export_chunks", _chunks, EXPORTED)
 

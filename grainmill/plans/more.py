@@ -134,7 +134,7 @@ add("affected_rows", lambda s, d: validation.affected(_numbered(s, d), "replace"
 add("preview_changes", lambda s, d: validation.changes(_numbered(s, d), "lowercase", "c_mktsegment"), f"SELECT c_custkey::BIGINT * 100 AS {ROW_ID}, c_mktsegment AS original, lower(c_mktsegment) AS result FROM customer WHERE c_mktsegment <> lower(c_mktsegment)")
 add("preview_split", lambda s, d: validation.preview_split(table(s, d, "nation").select("n_name"), "n_name", 100, mode="position", position=2).select("original", F.array_join("parts", "+").alias("parts")), "SELECT n_name AS original, n_name[1:2] || '+' || n_name[3:] AS parts FROM nation")
 add("preview_combine", lambda s, d: validation.preview_combine(table(s, d, "nation").select("n_name", "n_regionkey"), ["n_name", "n_regionkey"], 100, delimiter="-").select("result"), "SELECT n_name || '-' || n_regionkey AS result FROM nation")
-add("audit_added_removed", lambda s, d: (lambda n: validation.row_changes(n, apply(apply(n, "delete_row", row_ids=[100, 700]), "insert_row", after=300), "e").select("row_id", "change"))(catalogue._nations(s, d)), "SELECT * FROM (VALUES (100::BIGINT, 'removed'), (700, 'removed'), (350, 'added')) t(row_id, change)")
+add("audit_added_removed", lambda s, d: (lambda c: validation.row_changes(c, apply(apply(c, "delete_row", row_ids=list(range(100, 5000, 700))), "insert_row", after=300), "e").select("row_id", "change", F.get_json_object("row", "$.c_name").alias("name")))(_numbered(s, d)), "SELECT c_custkey::BIGINT * 100 AS row_id, 'removed' AS change, c_name AS name FROM customer WHERE c_custkey < 50 AND c_custkey % 7 = 1 UNION ALL SELECT (300 + (SELECT min(c_custkey) * 100 FROM customer WHERE c_custkey > 3 AND (c_custkey >= 50 OR c_custkey % 7 <> 1))) // 2, 'added', NULL")
 add("audit_page", lambda s, d: (lambda a, b: validation.audit_page(validation.audit(a, b, ["c_mktsegment"], "e"), 20, 5).select("row_id", "previous_value", "new_value"))(_numbered(s, d), apply(_numbered(s, d), "lowercase", column="c_mktsegment")), "SELECT c_custkey::BIGINT * 100 AS row_id, c_mktsegment AS previous_value, lower(c_mktsegment) AS new_value FROM customer WHERE c_mktsegment <> lower(c_mktsegment) ORDER BY 1 LIMIT 20 OFFSET 5")
 
 

@@ -52,11 +52,16 @@ def detect_encoding(head: bytes) -> str:
     return "utf-8"
 
 
-def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
-    """The first bytes of a file, or of the first file of a folder, in any store that Spark reads."""
+def _listed(spark: SparkSession, path: str) -> tuple:
+    """The store of a path, and its file or the files of its folder by name."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = sorted((s for s in store.listStatus(at) if s.isFile() and s.getPath().getName()[0] not in "._"), key=lambda s: s.getPath().getName())
+    return store, sorted((s for s in store.listStatus(at) if s.isFile() and s.getPath().getName()[0] not in "._"), key=lambda s: s.getPath().getName())
+
+
+def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, in any store that Spark reads."""
+    store, found = _listed(spark, path)
     if not found:
         raise ValueError(f"no file in {path}")
     stream = store.open(found[0].getPath())
@@ -83,10 +88,27 @@ def inferred(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in zip(df.columns, best, strict=True)])
 
 
+def lines_are_records(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a CSV is worth splitting and can be: some file has several parts, and no field holds a line break.
+
+    A line break within quotes leaves an odd number of quotes on its line, so when all
+    lines, read in parallel, have an even one, every line is a record.
+    """
+    if encoding.lower() not in ("utf-8", "iso-8859-1", "us-ascii"):
+        return False
+    _, found = _listed(spark, path)
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if max((s.getLen() for s in found), default=0) <= part:
+        return False
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header_row: int = 1, infer: bool = True) -> DataFrame:
     """A CSV whose header stands on the given line; lines before it are left out.
 
-    Delimiter and encoding are found by a look at the head where they are not given.
+    Delimiter and encoding are found by a look at the head where they are not given.  Large
+    files without line breaks in quotes are split over tasks, others are a task each.
     With lines before the header the rest is read by the same CSV reader, quoted line
     breaks and all, under the header's names, and the records up to it are dropped.
     """
@@ -96,6 +118,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     delimiter = delimiter or detect_delimiter(lines[header_row - 1 : header_row + 50])
     options = {"multiLine": True, "sep": delimiter, "escape": '"', "encoding": encoding}
     if header_row <= 1:
+        options["multiLine"] = not lines_are_records(spark, path, encoding)
         return spark.read.options(header=True, inferSchema=infer, **options).csv(path)
     if len(lines) < header_row:
         raise ValueError(f"no line {header_row} in the first 64 kB")
