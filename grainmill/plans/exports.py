@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ids import stored
 from ..session import scratch
 from ..sources import xlsx
 from ..sources.exports import ChunkedExport, write_document
@@ -51,7 +52,7 @@ add("diff_document", _document, f"{DIFF} SELECT diff_status AS status, a_o_order
 def _sheets(s: SparkSession, d: str) -> DataFrame:
     """All orders as workbooks, and the rows of their first sheets."""
     rows = table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.concat(F.lit("<a> & _x0041_ \n"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("note"))
-    return xlsx.sheets(xlsx.workbooks(rows, 4000))
+    return xlsx.sheets(stored(xlsx.workbooks(rows, 4000)))
 
 
 add("source_xlsx", _sheets, "SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus, '<a> & _x0041_ ' || chr(10) || o_custkey || ' ' AS note FROM orders")
