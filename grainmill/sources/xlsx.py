@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 5000
 #: Fixed names of the format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+TEXT, INLINE, VALUE = (f"{MAIN}{tag}" for tag in ("t", "is", "v"))
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Rows a sheet may have.
 MOST_ROWS = 1_048_576
@@ -31,8 +32,15 @@ ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
 
 def _text(node: ElementTree.Element) -> str:
     """Texts of all runs; phonetic hints are none."""
-    plain = "".join(t.text or "" for run in ([node] + node.findall(f"{MAIN}r")) for t in run.findall(f"{MAIN}t"))
-    return ESCAPED.sub(lambda m: chr(int(m[1], 16)), plain)
+    if len(node) == 1 and node[0].tag == TEXT:
+        plain = node[0].text or ""
+    else:
+        plain = "".join(t.text or "" for run in [node, *node.findall(f"{MAIN}r")] for t in run.findall(TEXT))
+    return _plain(plain)
+
+
+def _plain(raw: str) -> str:
+    return ESCAPED.sub(lambda m: chr(int(m[1], 16)), raw) if "_x" in raw else raw
 
 
 def _first_sheet(book: zipfile.ZipFile) -> str:
@@ -58,6 +66,16 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     return out
 
 
+def _ended(f, tag: str, parent: str) -> Iterator[ElementTree.Element]:
+    """Elements of a tag as they end, each forgotten by its parent when the next is asked for."""
+    steps = ElementTree.iterparse(f, ("start", "end"))
+    inside = next((node for event, node in steps if event == "start" and node.tag == parent), None)
+    for event, node in steps:
+        if event == "end" and node.tag == tag:
+            yield node
+            inside.clear()
+
+
 def _place(name: str) -> int:
     """The column of a cell's name, A being 0."""
     at = 0
@@ -77,16 +95,16 @@ def _number(raw: str) -> str:
 def _cell(node: ElementTree.Element, shared: list[str]) -> str | None:
     kind = node.get("t", "n")
     if kind == "inlineStr":
-        inner = node.find(f"{MAIN}is")
+        inner = node.find(INLINE)
         return (_text(inner) if inner is not None else "") or None
-    raw = node.findtext(f"{MAIN}v")
+    raw = node.findtext(VALUE)
     if not raw:
         return None
     if kind == "s":
         return shared[int(raw)] or None
     if kind == "b":
         return "true" if raw == "1" else "false"
-    return _number(raw) if kind == "n" else ESCAPED.sub(lambda m: chr(int(m[1], 16)), raw)
+    return _number(raw) if kind == "n" else _plain(raw)
 
 
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
@@ -94,18 +112,13 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = _shared(book)
         with book.open(_first_sheet(book)) as f:
-            inside = None
-            for event, node in ElementTree.iterparse(f, ("start", "end")):
-                if node.tag == f"{MAIN}sheetData":
-                    inside = node
-                if event == "start" or node.tag != f"{MAIN}row":
-                    continue
+            for node in _ended(f, f"{MAIN}row", f"{MAIN}sheetData"):
                 row: list[str | None] = []
-                for cell in node.findall(f"{MAIN}c"):
-                    at = _place(cell.get("r", "")) if cell.get("r") else len(row)
+                for cell in node:
+                    name = cell.get("r")
+                    at = _place(name) if name else len(row)
                     row += [None] * (at + 1 - len(row))
                     row[at] = _cell(cell, shared)
-                inside.clear()  # the sheet forgets the rows that were read
                 if any(v is not None for v in row):
                     yield row
 
