@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,19 @@ def from_epoch(c: Column, unit: str) -> Column:
     return F.when(c.isNotNull(), scaled[unit])
 
 
+def shape(format_: str) -> str:
+    """A pattern of all texts that a format may take: digits for numbers, anything but digits for names of months."""
+    letters = {"yyyy": "[+-]?[0-9]{4,}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "MMMM": "[^0-9]+", "MMM": "[^0-9]+", "M": "[0-9]+", "d": "[0-9]+"}
+    return "^" + "".join(letters.get(m[0]) or re.escape(m[0]) for m in re.finditer(r"([A-Za-z])\1*|.", format_)) + r"\z"
+
+
 def parse_text(c: Column) -> Column:
-    """The first format that fits; then ISO dates with a time; else null."""
+    """The first format that fits; then ISO dates with a time; else null.
+
+    A format is only tried on texts of its shape: a parser that fails costs an exception.
+    """
     s = F.ltrim(c.cast("string"))
-    tried = [F.try_to_timestamp(s, F.lit(f)).cast("date") for f in FORMATS]
+    tried = [F.when(s.rlike(shape(f)), F.try_to_timestamp(s, F.lit(f)).cast("date")) for f in FORMATS]
     iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"), s.try_cast("date"))
     return F.coalesce(*tried, iso)
 

@@ -11,7 +11,7 @@ from ..operators.ids import ROW_ID
 from ..session import scratch
 from ..sources.versions import Versions
 from ..streaming import compaction
-from . import changelog, history
+from . import changelog, checkpoints, history
 from .catalogue import add, table
 from .more import JW, NAMED, _named, _numbered
 from .recipe import Step
@@ -168,3 +168,48 @@ def _profiled(s: SparkSession, d: str) -> DataFrame:
 LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 add("profile_columns", _profiled, " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in LINE))
 add("profile_common", lambda s, d: profile.profile(profile.states(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"])).select("column_name", "least", "greatest", F.explode("common").alias("c")).select("column_name", "least", "greatest", F.col("c.item").alias("value"), F.col("c.count").alias("n")), " UNION ALL ".join(f"SELECT '{c}' AS column_name, (SELECT min({c}) FROM lineitem) AS least, (SELECT max({c}) FROM lineitem) AS greatest, {c} AS value, count(*) AS n FROM lineitem GROUP BY {c}" for c in ("l_returnflag", "l_linestatus")))
+
+# --- checkpoints and the status of steps ------------------------------------------------------
+
+
+def _checkpoints(s: SparkSession, d: str) -> str:
+    """A checkpoint of edited customers, worked on and kept once more: the path of the second."""
+    at = scratch(s)
+    line = history.Timeline(_numbered(s, d))
+    line.run("lowercase", column="c_mktsegment")
+    line.run("replace", column="c_mktsegment", find="building", to="house")
+    line.run("delete_row", row_ids=[100, 800])
+    kept = checkpoints.checkpoint(line, f"{at}/1", "customer")
+    kept.run("title_case", column="c_mktsegment")
+    kept.run("hash", column="c_name", secret="s3cret")
+    checkpoints.checkpoint(kept, f"{at}/2", "customer_1", parent=f"{at}/1")
+    return f"{at}/2"
+
+
+LEFT = "FROM customer WHERE c_custkey NOT IN (1, 8)"
+add("checkpoint_rows", lambda s, d: checkpoints.read(s, _checkpoints(s, d)).select(ROW_ID, "c_mktsegment"), f"SELECT c_custkey::BIGINT * 100 AS {ROW_ID}, CASE WHEN c_mktsegment = 'BUILDING' THEN 'House' ELSE c_mktsegment[1] || lower(c_mktsegment[2:]) END AS c_mktsegment {LEFT}")
+TOLD = (
+    (1, 1, "customer", "lowercase", '{"column": "c_mktsegment"}', "FROM customer"),
+    (1, 2, "customer", "replace", '{"column": "c_mktsegment", "find": "building", "to": "house"}', "FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    (1, 3, "customer", "delete_row", '{"row_ids": [100, 800]}', "FROM customer WHERE c_custkey IN (1, 8)"),
+    (2, 1, "customer_1", "title_case", '{"column": "c_mktsegment"}', LEFT),
+    (2, 2, "customer_1", "hash", '{"column": "c_name"}', LEFT),
+)
+add("checkpoint_lineage", lambda s, d: checkpoints.lineage(s, _checkpoints(s, d)).drop("checkpointed_at"), " UNION ALL ".join(f"SELECT {g} AS generation, {n} AS step, '{t}' AS source, '{a}' AS action, '{x}' AS details, count(*) AS rows_affected {rows}" for g, n, t, a, x, rows in TOLD))
+
+
+def _statuses(s: SparkSession, d: str) -> DataFrame:
+    """Steps of a recipe that calls the segment by another name: their status, and the rows that each would still change."""
+    line = history.Timeline(_numbered(s, d))
+    line.run("lowercase", column="c_mktsegment")
+    line.run("uppercase", column="c_name")
+    line.run("replace", column="c_mktsegment", find="building", to="house")
+    names = {"segment": "c_mktsegment"}
+    rows = []
+    for step in (Step("lowercase", {"column": "segment"}), Step("uppercase", {"column": "c_name"}), Step("title_case", {"column": "segment"})):
+        column = names.get(step.params["column"], step.params["column"])
+        rows.append((step.command, line.status(step, names), validation.affected(line.current(), step.command, column).count()))
+    return s.createDataFrame(rows, "command string, status string, open long")
+
+
+add("step_status", _statuses, "SELECT 'lowercase' AS command, 'modified_since' AS status, 0 AS open UNION ALL SELECT 'uppercase', 'already_applied', 0 UNION ALL SELECT 'title_case', 'not_applied', count(*) FROM customer")

@@ -12,11 +12,13 @@ from ..operators.diff import Diff, diff
 from ..operators.ids import user_columns
 from ..operators.validation import audit, audit_chain
 from ..sources.versions import Versions
-from .recipe import Step
+from .recipe import Step, renamed
 
 
 #: Snapshots of a timeline at most.
 MOST = 10
+#: Commands that change which rows there are, and so undo what steps before them said of a column.
+ROW_COMMANDS = ("remove_duplicates", "delete_row", "insert_row", "merge")
 
 
 @dataclass
@@ -103,12 +105,18 @@ class Timeline:
         r = rows.agg(F.count_if(kind == "added").alias("added_rows"), F.count_if(kind == "removed").alias("removed_rows"), F.coalesce(cells, F.lit(0)).alias("modified_cells")).first()
         return r.asDict()
 
-    def status(self, step: Step) -> str:
+    def status(self, step: Step, columns: dict[str, str | None] | None = None) -> str:
+        """Whether a recipe's step stands among the commands up to the position: ``not_applied``, ``already_applied`` or ``modified_since``.
+
+        A command is the step where it has the step's name and, under the names of ``columns``, all its
+        parameters; it may have more of them.  It is modified by a later command on its column, or on any rows as wholes.
+        """
+        wanted = renamed(step.params, columns or {})
         for i, s in enumerate(self.steps[: self.position]):
-            if s.command == step.command and s.params == step.params:
-                column = step.params.get("column")
-                later = any(x.params.get("column") == column for x in self.steps[i + 1 : self.position])
-                return "modified_since" if column and later else "already_applied"
+            if s.command == step.command and all(s.params.get(k) == v for k, v in wanted.items()):
+                column = wanted.get("column")
+                later = self.steps[i + 1 : self.position]
+                return "modified_since" if any(x.command in ROW_COMMANDS or (column and x.params.get("column") == column) for x in later) else "already_applied"
         return "not_applied"
 
 
