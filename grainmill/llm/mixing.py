@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .quality import words
 
 WEIGHTS = (5, 2, 1)
@@ -53,26 +53,37 @@ def goals(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     """One row a source: source, source_size, target, whole (copies of all its documents), and last_digest and last_tie,
     up to which documents are taken once more; null where none is.
     """
-    tie = F.xxhash64(F.col("text").cast("string"))
-    sized = cut(docs.select("source", digest(seed).alias("digest"), tie.alias("tie"), size_of(F.col("text")).alias("size")))
-    first = BUCKET_DIGITS[0]
-    sums = cut(sized.groupBy("source", F.substring("digest", 1, first).alias("bucket")).agg(F.sum("size").alias("size")))
+    sized = cut(sizes(docs, seed))
+    out = _goals(sized, weights, max_epochs)
+    discard(sized)
+    return out
+
+
+def sizes(docs: DataFrame, seed: str = SEED, *kept: Column) -> DataFrame:
+    """(source, digest, tie, size) of each row, and the columns ``kept``: the one reading of the texts."""
+    text = F.col("text").cast("string")
+    return docs.select("source", digest(seed).alias("digest"), F.xxhash64(text).alias("tie"), size_of(text).alias("size"), *kept)
+
+
+def _goals(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    same = lambda a, b: a.eqNullSafe(b)
+    # sums by all digits are written once; those by fewer, and by source, are sums of them
+    sums = cut(sized.groupBy("source", F.substring("digest", 1, BUCKET_DIGITS[-1]).alias("bucket")).agg(F.sum("size").alias("size")))
     goal = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long")
-    goal = cut(goal.withColumn("whole", whole).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size")))
-    same = lambda a, b: a.eqNullSafe(b)
+    goal = goal.withColumn("whole", whole).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
     # the bucket in which the rest of a target ends, then the bucket in it; only documents in that one are put in order
-    start = goal.select(F.col("source").alias("s"), F.col("more").alias("rest")).where("rest > 0")
-    for level, digits in enumerate(BUCKET_DIGITS):
-        if level:
-            inside = sized.join(edge, same(F.col("source"), F.col("s")) & (F.substring("digest", 1, BUCKET_DIGITS[level - 1]) == F.col("at")))
-            sums = inside.groupBy("source", F.substring("digest", 1, digits).alias("bucket")).agg(F.sum("size").alias("size"))
-            start = edge.select("s", "rest")
-        upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-        placed = sums.withColumn("upto", upto).join(start, same(F.col("source"), F.col("s")))
+    edge = goal.select(F.col("source").alias("s"), F.lit("").alias("at"), F.col("more").alias("rest")).where("rest > 0")
+    known = 0
+    for digits in BUCKET_DIGITS:
+        level = sums.groupBy("source", F.substring("bucket", 1, known).alias("under"), F.substring("bucket", 1, digits).alias("here")).agg(F.sum("size").alias("size"))
+        inside = level.join(edge, same(F.col("source"), F.col("s")) & (F.col("under") == F.col("at")))
+        placed = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("s").orderBy("here")))
         ends = placed.where(F.col("upto") - F.col("size") <= F.col("rest"))
-        last = ends.groupBy("s").agg(F.max_by(F.struct(F.col("bucket").alias("at"), (F.col("rest") - F.col("upto") + F.col("size")).alias("rest")), "bucket").alias("x"))
-        edge = cut(last.select("s", "x.*"))
+        last = ends.groupBy("s").agg(F.max_by(F.struct(F.col("here").alias("at"), (F.col("rest") - F.col("upto") + F.col("size")).alias("rest")), "here").alias("x"))
+        edge, known = last.select("s", "x.*"), digits
+    goal = cut(goal.join(edge, same(F.col("source"), F.col("s")), "left").select("source", "source_size", "target", "whole", "s", "at", "rest"), sums)
+    edge = goal.where("at is not null").select("s", "at", "rest")
     inside = sized.join(edge, same(F.col("source"), F.col("s")) & (F.substring("digest", 1, BUCKET_DIGITS[-1]) == F.col("at")))
     ranked = inside.groupBy("s", "rest", "digest", "tie").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("digest", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -80,11 +91,11 @@ def goals(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     inner = taken.groupBy("s").agg(F.max(F.struct("digest", "tie")).alias("last"))
     # where no document of the last bucket is taken, those of all buckets before it are
     bounds = edge.join(inner.withColumnRenamed("s", "t"), same(F.col("s"), F.col("t")), "left").select("s", F.coalesce("last.digest", "at").alias("last_digest"), F.col("last.tie").alias("last_tie"))
-    out = goal.join(bounds, same(F.col("source"), F.col("s")), "left").select("source", "source_size", "target", "whole", "last_digest", "last_tie")
-    return cut(out, sized, goal)
+    out = goal.drop("s").join(bounds, same(F.col("source"), F.col("s")), "left").select("source", "source_size", "target", "whole", "last_digest", "last_tie")
+    return cut(out, goal)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep_text: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (words the mix takes).
 
     Size is the number of words, 0 for null and empty texts.  Every document is taken
@@ -96,15 +107,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     in order, and no text is shuffled.  Rows that share a doc_id or have none go by
     their texts; rows equal in id and text are taken alike, and the difference is then
     half of all of them at most.  A null source is a source.  Extra columns stay, with
-    clashing names replaced; an empty table gives no rows.
+    clashing names replaced; an empty table gives no rows.  Without ``keep_text`` the text is
+    left out, and texts are read once instead of twice.
     """
-    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
-    goal = goals(docs, weights, max_epochs, seed).withColumnRenamed("source", "own")
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("of"), digest(seed).alias("digest"), F.xxhash64(text).alias("tie"), size_of(text).alias("size"))
+    left_out = ("size", "source_size", "target", "copies", "taken", *(() if keep_text else ("text",)))
+    names = [c for c in docs.columns if c.lower() not in left_out]
+    rows = sizes(docs, seed, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    if keep_text:
+        goal = goals(docs, weights, max_epochs, seed)
+    else:
+        rows = cut(rows)
+        goal = _goals(rows, weights, max_epochs)
+    goal = goal.withColumnRenamed("source", "own")
     once_more = (F.col("digest") < F.col("last_digest")) | ((F.col("digest") == F.col("last_digest")) & (F.col("tie") <= F.col("last_tie")))
     copies = F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")
-    joined = rows.join(goal, F.col("of").eqNullSafe(F.col("own"))).withColumn("copies", copies)
+    joined = rows.join(goal, F.col("source").eqNullSafe(F.col("own"))).withColumn("copies", copies)
     return joined.select(*[F.col("row").getField(c).alias(c) for c in names], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -63,7 +63,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_read(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

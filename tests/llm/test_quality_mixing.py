@@ -96,6 +96,9 @@ def test_mixing_cases(spark):
     out = mixing.apply(table)
     assert out.columns == table.columns
     assert out.count() == sum(r.copies for r in mixing.mix(table).collect())
+    without = mixing.mix(table, keep_text=False)
+    assert without.columns == [c for c in mixing.mix(table).columns if c != "text"]
+    assert sorted(map(str, without.collect())) == sorted(map(str, mixing.mix(table).drop("text").collect()))
 
 
 @pytest.mark.parametrize("sizes, weights, want", [([100, 100, 100], (5, 2, 1), [187.5, 75, 37.5]), ([10, 100, 100], (5, 2, 1), [30, 120, 60])])
