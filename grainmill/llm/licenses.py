@@ -193,7 +193,11 @@ class Scanner:
 
     def __init__(self, automata: tuple[Automaton, ...] = AUTOMATA, phrases=PHRASES):
         self.phrases = [(re.compile(rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + _GAP.join(p.encode().split()) + rb"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"), p.split()[-1].encode(), label) for p, label in phrases]
-        self.automata = [(a, a.needs(), a.firsts()) for a in automata]
+        #: The sets of words that automata need first, each with the automata that need it, so that a text is searched once for each.
+        self.by_need: dict[frozenset[bytes], list[tuple[Automaton, tuple[frozenset[bytes], ...], set[bytes]]]] = {}
+        for a in automata:
+            needs = a.needs()
+            self.by_need.setdefault(needs[0], []).append((a, needs[1:], a.firsts()))
 
     def base(self, text: bytes) -> list[tuple[int, str]]:
         """(byte place, label) of each phrase; ``text`` in lower case."""
@@ -205,10 +209,12 @@ class Scanner:
         Wordings whose two longest mandatory words do not both stand in the text are passed over.
         """
         by_first: dict[bytes, list[Automaton]] = {}
-        for a, needs, firsts in self.automata:
-            if all(any(w in text for w in n) for n in needs):
-                for w in firsts:
-                    by_first.setdefault(w, []).append(a)
+        for need, group in self.by_need.items():
+            if any(w in text for w in need):
+                for a, more, firsts in group:
+                    if all(any(w in text for w in n) for n in more):
+                        for w in firsts:
+                            by_first.setdefault(w, []).append(a)
         if not by_first:
             return [], 0.0
         words = WORD.findall(text)
