@@ -89,42 +89,45 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return cut(base_rules(slim).drop("text"))
 
 
-def frequent_lines(table: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def frequent_lines(table: DataFrame, max_docs: int = MAX_DOCS, copies_once: bool = True) -> DataFrame:
     """(id, key, removed, removed_chars): per row of :func:`measured` the hashes and word characters of its lines above the limit.
 
     The limit is on distinct texts of one host that hold the line, so exact copies count
-    once.  The text with the smallest doc_id of each host keeps the line.  Rows with a
+    once, or on distinct documents (by doc_id and text) without ``copies_once``.  The text, or the
+    document, with the smallest doc_id of each host keeps the line.  Rows with a
     null host form one host.
     """
-    rows = table.select("id", "key", "doc_id", "body", F.posexplode("lines").alias("place", "x")).select("id", "key", "doc_id", "body", "place", "x.*")
-    once = rows.groupBy("h", "body").agg(F.min("doc_id").alias("doc_id"))
-    common = once.groupBy("h").agg(F.count("*").alias("texts"), F.min_by("body", F.struct("doc_id", "body")).alias("keeper")).where(F.col("texts") > max_docs)
+    one = F.struct("body") if copies_once else F.struct("body", "id", "key")
+    rows = table.select("id", "key", "doc_id", "body", one.alias("one"), F.posexplode("lines").alias("place", "x")).select("id", "key", "doc_id", "one", "place", "x.*")
+    once = rows.groupBy("h", "one").agg(F.min("doc_id").alias("doc_id"))
+    common = once.groupBy("h").agg(F.count("*").alias("texts"), F.min_by("one", F.struct("doc_id", "one")).alias("keeper")).where(F.col("texts") > max_docs)
     # written before it is joined, so that a hot line's rows can be split
-    gone = rows.join(cut(common.select("h", "keeper")), "h").where("body != keeper")
+    gone = rows.join(cut(common.select("h", "keeper")), "h").where("one != keeper")
     lost = gone.groupBy("id", "key", "place").agg(F.first("h").alias("h"), F.first("chars").alias("chars"))  # equal rows have one key
     return lost.groupBy("id", "key").agg(F.collect_set("h").alias("removed"), F.sum("chars").alias("removed_chars"))
 
 
-def _verdicts(docs: DataFrame, host: str, max_docs: int, min_left: float) -> DataFrame:
+def _verdicts(docs: DataFrame, host: str, max_docs: int, min_left: float, copies_once: bool) -> DataFrame:
     """Base rules of each row with its id and key, the hashes of the lines it loses, and the verdict."""
     table = measured(docs, host)
     gone = F.coalesce("removed_chars", F.lit(0))
     kept = ~F.col("base_failed") & (F.col("word_chars") - gone >= min_left * F.col("word_chars"))
-    return table.drop("lines").join(frequent_lines(table, max_docs), ["id", "key"], "left").withColumn("removed_chars", gone).withColumn("kept", kept)
+    return table.drop("lines").join(frequent_lines(table, max_docs, copies_once), ["id", "key"], "left").withColumn("removed_chars", gone).withColumn("kept", kept)
 
 
-def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, copies_once: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars.
 
     ``kept`` is false where the base rules fail or where lines above the limit leave
-    less than ``min_left`` of the word characters.  Empty and null texts have no words
+    less than ``min_left`` of the word characters; without ``copies_once`` exact copies
+    count each in that limit (see :func:`frequent_lines`).  Empty and null texts have no words
     and fail.  Rows may be equal or share a doc_id, other columns may have any names,
     and an empty table gives no rows.
     """
-    return _verdicts(docs, host, max_docs, min_left).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
+    return _verdicts(docs, host, max_docs, min_left, copies_once).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
 
 
-def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, copies_once: bool = True) -> DataFrame:
     """The documents that :func:`quality` keeps, without their lines above the limit; columns as they were.
 
     Empty lines stay where they stood.  n_chars, where there is one, follows the text.
@@ -135,7 +138,7 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_l
     names = docs.columns
     ident, key, removed = fresh(docs, "id", "key", "removed")
     # written first: a filter on the verdict would be pushed into the array expressions and repeat them
-    verdicts = cut(_verdicts(docs, host, max_docs, min_left).select("id", "key", "kept", "removed"))
+    verdicts = cut(_verdicts(docs, host, max_docs, min_left, copies_once).select("id", "key", "kept", "removed"))
     good = verdicts.where("kept").groupBy(F.col("id").alias(ident), F.col("key").alias(key)).agg(F.first("removed").alias(removed))
     given = docs.select(*[F.col(f"`{c}`") for c in names], *[c.alias(n) for c, n in zip(identity(), (ident, key), strict=True)])
     joined = given.join(good, [ident, key])

@@ -75,6 +75,18 @@ def test_line_frequency(spark):
     assert [r.doc_id for r in quality.quality(near, max_docs=2).collect() if r.kept] == [0]
 
 
+def test_exact_copies_may_count_each(spark):
+    body = "a line that many documents of the host hold, of more than ten words in all"
+    data = [(i, f"{body}\n{'own words of document ' + str(i) if i > 5 else 'the same end'}", "en", "h" if i % 2 else "g", 0, "", "", 0) for i in range(12)]
+    table = docs(spark, data)
+    chars = len(body.replace(" ", ""))
+    gone = lambda **how: {r.doc_id: r.removed_chars for r in quality.quality(table, max_docs=3, **how).collect()}
+    # each host has six documents with the line, of which three are one text, and three documents with one end, which is at the limit
+    assert gone(copies_once=False) == {i: 0 if i < 2 else chars for i in range(12)}
+    assert gone() == {i: 0 if i < 6 else chars for i in range(12)}
+    assert quality.clean(table, max_docs=3, copies_once=False).where("text like 'a line%'").count() == 2
+
+
 def test_mixing_matches_sql(spark):
     data = [(i, "w " * (i * 7 % 41 + 1), "en", [None, "a", "b", "c", "é"][min(4, i % 9)], 0, "", "", 0) for i in range(200)] + [(900, None, "en", "zero", 0, "", "", 0)]
     table = docs(spark, data)
