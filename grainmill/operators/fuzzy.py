@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from .ids import stored
+from .ids import spread, stored
 
 #: Characters at the beginning that raise a similarity, and the Jaro similarity above which they do.
 PREFIX, RAISED = 4, 0.7
@@ -70,7 +70,7 @@ def candidates(values: DataFrame, least: float) -> DataFrame:
         keys = ("block", "common", "head", "token")
         return out.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in out.columns if c not in (*keys, "reach")])
 
-    joined = posted(shorter, "a").join(posted(longer, "b"), ["block", "common", "head", "token"])
+    joined = posted(shorter, "a").join(spread(posted(longer, "b")), ["block", "common", "head", "token"])
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_value") < F.col("b_value")))
     # a pair counts once: by its whole common beginning, and by the rarest of the tokens that both are listed under
     following = [F.substring(c, F.col("common") + 1, F.lit(1)) for c in ("a_value", "b_value")]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ids import discard, stored
+from .ids import discard, spread, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +60,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         # large star: the larger end of a link goes to the smallest neighbour of its smaller end, or to that end
         # written first, so that the join can split the links of a large component's root
         low = stored(edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")))
-        big = edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        big = edges.join(spread(low), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         # small star: all smaller neighbours of a node, and the node, go to the smallest of them
         big = stored(big)
         least = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = big.join(spread(least), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         rooted = stored(small.select("e.*").where("a > b").distinct())
         discard(edges, low, big)
         edges = rooted

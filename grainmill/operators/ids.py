@@ -33,6 +33,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: both sides are shuffled, none is broadcast.
+
+    Spark takes a table for as large as its files, and neither compression nor what an
+    explode makes of it counts, so a table that the driver can't hold may look small.
+    """
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of :func:`stored` that nothing reads any more."""
     for t in tables:

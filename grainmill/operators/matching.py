@@ -9,7 +9,7 @@ from ..functions import similarity, text
 from . import fuzzy
 from .graph import connected_components
 from .commands import command, require
-from .ids import ROW_ID, numbered, stored, user_columns
+from .ids import ROW_ID, numbered, spread, stored, user_columns
 
 STRICT_FROM, SAMPLED_FROM, SAMPLE = 500, 2000, 500
 PER_BLOCK, MOST_PAIRS = 1000, 10_000
@@ -29,7 +29,7 @@ def block_key(df: DataFrame, column: str, strategy: str) -> DataFrame:
     else:
         make = {"metaphone": similarity.metaphone_column, "token_phonetic": similarity.token_phonetic_column}[strategy]
         values = df.select(c.alias("_value")).where("_value is not null").distinct().withColumn("_block", make("_value"))
-        out = df.join(values, c == F.col("_value")).drop("_value")
+        out = df.join(spread(values), c == F.col("_value")).drop("_value")
     return out.where(F.col("_block") != "")
 
 
@@ -46,12 +46,12 @@ def find_duplicates(df: DataFrame, column: str, strategy: str = "first_letter",
     least = F.lit(maybe / 100)
     if limited:
         sizes = keyed.groupBy("_block").agg(F.count("*").alias("_size"))
-        sized = keyed.join(sizes, "_block")
+        sized = keyed.join(spread(sizes), "_block")
         # of a large block's ids only the first by hash leave each partition
         ids = sized.where(F.col("_size") >= SAMPLED_FROM).select("_block", ROW_ID)
         rank = F.row_number().over(Window.partitionBy("_block").orderBy(F.md5(F.col(ROW_ID).cast("string").cast("binary")), ROW_ID))
         chosen = ids.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE).select(ROW_ID)
-        keyed = sized.where(F.col("_size") < SAMPLED_FROM).unionByName(sized.where(F.col("_size") >= SAMPLED_FROM).join(chosen, ROW_ID, "left_semi").select(sized.columns))
+        keyed = sized.where(F.col("_size") < SAMPLED_FROM).unionByName(sized.where(F.col("_size") >= SAMPLED_FROM).join(spread(chosen), ROW_ID, "left_semi").select(sized.columns))
         least = F.when((F.col("_size") >= STRICT_FROM) & (F.col("_size") < SAMPLED_FROM), F.least(F.lit(0.95), F.lit(maybe / 100 + 0.05))).otherwise(maybe / 100)
     keyed = keyed.withColumn("_least", least)
     names = user_columns(df)
@@ -60,11 +60,12 @@ def find_duplicates(df: DataFrame, column: str, strategy: str = "first_letter",
     scored = near.select(F.col("block").alias("_block"), F.col("u").alias("_u"), F.col("v").alias("_v"), F.col("similarity").alias("_jw"))
     if limited:
         scored = scored.join(keyed.groupBy("_block").agg(F.first("_least").alias("_least")), "_block").where("_jw >= _least")
-    scored = scored.select("_block", "_u", "_v", "_jw").unionByName(values.select("_block", F.col("_low").alias("_u"), F.col("_low").alias("_v"), F.lit(1.0).alias("_jw")))
-    both = scored.select("_block", "_u", "_v", "_jw").unionByName(scored.where("_u != _v").select("_block", F.col("_v").alias("_u"), F.col("_u").alias("_v"), "_jw"))
+    # each pair of values both ways from one search, and each value with itself
+    ways = F.inline(F.array(F.struct(F.col("_u"), F.col("_v")), F.struct(F.col("_v").alias("_u"), F.col("_u").alias("_v"))))
+    both = scored.select("_block", "_jw", ways).select("_block", "_u", "_v", "_jw").unionByName(values.select("_block", F.col("_low").alias("_u"), F.col("_low").alias("_v"), F.lit(1.0).alias("_jw")))
     a = keyed.select("_block", F.col("_low").alias("_u"), F.col(ROW_ID).alias("a_row_id"), *[F.col(c).alias(f"a_{c}") for c in names])
     b = keyed.select("_block", F.col("_low").alias("_v"), F.col(ROW_ID).alias("b_row_id"), *[F.col(c).alias(f"b_{c}") for c in names])
-    pairs = a.join(both, ["_block", "_u"]).join(b, ["_block", "_v"]).where("a_row_id < b_row_id")
+    pairs = a.join(spread(both), ["_block", "_u"]).join(spread(b), ["_block", "_v"]).where("a_row_id < b_row_id")
     found = pairs.withColumn("similarity", F.round(F.col("_jw") * 100, 1)).withColumn("score", F.round(100 - F.col("_jw") * 100).cast("int"))
     found = found.withColumn("class", F.when(F.col("similarity") >= definite, "definite").when(F.col("similarity") >= maybe, "maybe").otherwise("not_match"))
     if limited:
@@ -107,7 +108,7 @@ def survivors(df: DataFrame, grouped: DataFrame, keep: str = "first") -> DataFra
     if keep not in ("first", "fullest"):
         raise ValueError(f"unknown choice: {keep}")
     blank = [F.when(text.is_blank(F.col(f"`{c}`")), 1).otherwise(0) for c in user_columns(df)] if keep == "fullest" else []
-    rows = grouped.join(df.select(F.col(ROW_ID).alias("row_id"), sum(blank, F.lit(0)).alias("blank")), "row_id")
+    rows = grouped.join(spread(df.select(F.col(ROW_ID).alias("row_id"), sum(blank, F.lit(0)).alias("blank"))), "row_id")
     rank = F.struct("blank", "row_id")
     return rows.groupBy("group").agg(F.min(rank)["row_id"].alias("kept_id"), F.count("*").alias("n"))
 
@@ -118,11 +119,12 @@ def merge_groups(df: DataFrame, pairs: DataFrame, keep: str = "first", match_col
     Chains count: where a is like b and b like c, one of the three stays, however unlike a
     and c are.  A deleted row's similarity is the best that any pair gives it.
     """
+    pairs = stored(pairs)  # matched once
     grouped = stored(groups(pairs))
     kept = stored(survivors(df, grouped, keep))
     best = pairs.select(F.explode(F.array("a_row_id", "b_row_id")).alias("deleted_id"), "similarity").groupBy("deleted_id").agg(F.max("similarity").alias("similarity"))
-    gone = grouped.join(kept, "group").where("row_id <> kept_id").select("kept_id", F.col("row_id").alias("deleted_id"))
-    chosen = stored(gone.join(best, "deleted_id").withColumn("match_column", F.lit(match_column)))
+    gone = grouped.join(spread(kept), "group").where("row_id <> kept_id").select("kept_id", F.col("row_id").alias("deleted_id"))
+    chosen = stored(gone.join(spread(best), "deleted_id").withColumn("match_column", F.lit(match_column)))
     return merge_duplicates(df, chosen, audit_id)
 
 
@@ -132,12 +134,13 @@ def resolved(pairs: DataFrame) -> DataFrame:
     A row that one pair keeps and another deletes is deleted; its own deleted rows go
     to the smallest row of the group that no pair deletes, or the smallest of all where each is deleted.
     """
+    pairs = stored(pairs)  # matched once
     grouped = stored(groups(pairs.select(F.col("kept_id").alias("a_row_id"), F.col("deleted_id").alias("b_row_id"))))
     first = Window.partitionBy("deleted_id").orderBy(F.col("similarity").desc_nulls_last(), "kept_id")
     once = pairs.where("kept_id <> deleted_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "kept_id")
-    told = grouped.join(once.select(F.col("deleted_id").alias("row_id"), F.lit(True).alias("_gone")), "row_id", "left")
+    told = grouped.join(spread(once.select(F.col("deleted_id").alias("row_id"), F.lit(True).alias("_gone"))), "row_id", "left")
     roots = told.groupBy("group").agg(F.min(F.struct(F.coalesce("_gone", F.lit(False)).alias("gone"), "row_id"))["row_id"].alias("kept_id"))
-    named = once.join(grouped.withColumnRenamed("row_id", "deleted_id"), "deleted_id").join(roots, "group").where("kept_id <> deleted_id")
+    named = once.join(spread(grouped.withColumnRenamed("row_id", "deleted_id")), "deleted_id").join(spread(roots), "group").where("kept_id <> deleted_id")
     return named.select("kept_id", "deleted_id", *[c for c in once.columns if c != "deleted_id"])
 
 
@@ -151,11 +154,11 @@ def merge_duplicates(df: DataFrame, pairs: DataFrame, audit_id: str = "merge") -
     as_json = df.select(F.col(ROW_ID).alias("_id"), F.to_json(F.struct(*user_columns(df)), {"ignoreNullFields": "false"}).alias("_json"))
     kept = as_json.select(F.col("_id").alias("kept_id"), F.col("_json").alias("kept_row_data"))
     dropped = as_json.select(F.col("_id").alias("deleted_id"), F.col("_json").alias("deleted_row_data"))
-    details = pairs.join(kept, "kept_id").join(dropped, "deleted_id")
+    details = pairs.join(spread(kept), "kept_id").join(spread(dropped), "deleted_id")
     index = numbered(pairs.select("kept_id", "deleted_id").distinct(), "_n", ["kept_id", "deleted_id"])
-    details = details.join(index, ["kept_id", "deleted_id"])
+    details = details.join(spread(index), ["kept_id", "deleted_id"])
     audit = details.select(F.lit(audit_id).alias("audit_entry_id"), (F.col("_n") - 1).alias("pair_index"), F.round("similarity").cast("int").alias("similarity"), "match_column", "kept_row_data", "deleted_row_data")
-    return df.join(gone, ROW_ID, "left_anti"), audit
+    return df.join(spread(gone), ROW_ID, "left_anti"), audit
 
 
 def build_clusters(df: DataFrame, column: str, algorithm: str = "fingerprint") -> DataFrame:
