@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from .commands import REGISTRY, CommandError, apply, cast_column, require
-from .ids import ROW_ID, user_columns
+from .ids import ROW_ID, spread, user_columns
 
 #: Texts that a cell of each type may hold, and the bits of whole numbers.
 PATTERNS = {
@@ -171,24 +171,24 @@ def row_changes(before: DataFrame, after: DataFrame, entry: str) -> DataFrame:
     """(audit_entry_id, row_id, change, row) of rows that a command added or removed, with their values as JSON."""
     told = []
     for one, other, change in ((after, before, "added"), (before, after, "removed")):
-        alone = one.join(other.select(ROW_ID), ROW_ID, "left_anti")
+        alone = one.join(spread(other.select(ROW_ID)), ROW_ID, "left_anti")
         told.append(alone.select(F.lit(entry).alias("audit_entry_id"), F.col(ROW_ID).alias("row_id"), F.lit(change).alias("change"), F.to_json(F.struct(*user_columns(one)), {"ignoreNullFields": "false"}).alias("row")))
     return told[0].unionByName(told[1])
 
 
-def audit_all(before: DataFrame, after: DataFrame, entry: str, most: int = 10_000) -> DataFrame:
+def audit_all(before: DataFrame, after: DataFrame, entry: str, most: int | None = None) -> DataFrame:
     """What any command did, custom SQL included: changed cells as in :func:`audit`, and whole rows, as JSON, that came or went.
 
     Columns: audit_entry_id, row_id, change (modified, added or removed), column_name
-    (null for rows), previous_value and new_value; ``most`` at most by row id, as a report.
+    (null for rows), previous_value and new_value; all of them by row id, or the first ``most`` for a report.
     """
     both = [c for c in user_columns(before) if c in after.columns]
-    cells = audit(before, after, both, entry, most).withColumn("change", F.lit("modified"))
+    cells = _changed_cells(before, after, both, entry).withColumn("change", F.lit("modified"))
     rows = row_changes(before, after, entry)
     gone, nothing = F.col("change") == "removed", F.lit(None).cast("string")
     rows = rows.select("audit_entry_id", "row_id", nothing.alias("column_name"), F.when(gone, F.col("row")).alias("previous_value"), F.when(~gone, F.col("row")).alias("new_value"), "change")
     order = ["audit_entry_id", "row_id", "change", "column_name", "previous_value", "new_value"]
-    return cells.unionByName(rows).select(*order).orderBy("row_id", "column_name").limit(most)
+    return _first(cells.unionByName(rows).select(*order), most)
 
 
 def audit_page(details: DataFrame, size: int = 100, offset: int = 0) -> DataFrame:
@@ -202,23 +202,32 @@ def preview(df: DataFrame, name: str, column: str, sample: int = 10, **params) -
     return {"rows": found.limit(sample).collect(), "matching": found.count(), "nulls": df.where(F.col(column).isNull()).count()}
 
 
-def audit(before: DataFrame, after: DataFrame, columns: list[str], entry: str, most: int = 10_000) -> DataFrame:
-    """(audit_entry_id, row_id, column_name, previous_value, new_value) of changed cells, ``most`` at most by row id."""
+def audit(before: DataFrame, after: DataFrame, columns: list[str], entry: str, most: int | None = None) -> DataFrame:
+    """(audit_entry_id, row_id, column_name, previous_value, new_value) of changed cells, all of them by row id, or the first ``most`` for a report."""
+    return _first(_changed_cells(before, after, columns, entry), most)
+
+
+def _first(details: DataFrame, most: int | None) -> DataFrame:
+    ordered = details.orderBy("row_id", "column_name")
+    return ordered if most is None else ordered.limit(most)
+
+
+def _changed_cells(before: DataFrame, after: DataFrame, columns: list[str], entry: str) -> DataFrame:
     x = before.select(F.col(ROW_ID).alias("_id"), *[F.col(c).cast("string").alias(f"_{i}a") for i, c in enumerate(columns)])
     y = after.select(F.col(ROW_ID).alias("_id"), *[F.col(c).cast("string").alias(f"_{i}b") for i, c in enumerate(columns)])
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_{i}a").alias("previous_value"), F.col(f"_{i}b").alias("new_value")) for i, c in enumerate(columns)])
-    each = x.join(y, "_id").select("_id", F.explode(F.filter(cells, lambda z: ~z["previous_value"].eqNullSafe(z["new_value"]))).alias("z"))
-    return each.select(F.lit(entry).alias("audit_entry_id"), F.col("_id").alias("row_id"), "z.*").orderBy("row_id", "column_name").limit(most)
+    each = x.join(spread(y), "_id").select("_id", F.explode(F.filter(cells, lambda z: ~z["previous_value"].eqNullSafe(z["new_value"]))).alias("z"))
+    return each.select(F.lit(entry).alias("audit_entry_id"), F.col("_id").alias("row_id"), "z.*")
 
 
-def audit_chain(before: DataFrame, steps: list, first: int = 1, most: int = 10_000) -> DataFrame:
+def audit_chain(before: DataFrame, steps: list, first: int = 1, most: int | None = None) -> DataFrame:
     """The details of :func:`audit` for every command of a chain, from one scan of ``before``.
 
     ``steps``: each with ``command`` and ``params``; entries are named by their number, from ``first`` on.
     Each row goes through the commands with its earlier values beside it, so nothing is
     joined.  Commands must work row by row and keep rows (``REGISTRY`` says which do);
     a new column counts from the command after the one that made it, a renamed one keeps
-    its values, a removed one is no change.  ``most`` details of each command, by row id.
+    its values, a removed one is no change.  All details, or the first ``most`` of each command by row id.
     """
     kept, df = [], before
     for i, step in enumerate(steps):
@@ -239,5 +248,7 @@ def audit_chain(before: DataFrame, steps: list, first: int = 1, most: int = 10_0
         return before.sparkSession.createDataFrame([], "audit_entry_id string, row_id long, column_name string, previous_value string, new_value string")
     each = df.select(F.col(ROW_ID).alias("row_id"), F.explode(F.flatten(F.array(*kept))).alias("z"))
     rows = each.select("z.audit_entry_id", "row_id", "z.column_name", "z.previous_value", "z.new_value")
+    if most is None:
+        return rows
     rank = F.row_number().over(Window.partitionBy("audit_entry_id").orderBy("row_id", "column_name"))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
