@@ -59,24 +59,61 @@ def _listed(spark: SparkSession, path: str) -> tuple:
     return store, sorted((s for s in store.listStatus(at) if s.isFile() and s.getPath().getName()[0] not in "._"), key=lambda s: s.getPath().getName())
 
 
-def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
-    """The first bytes of a file, or of the first file of a folder, in any store that Spark reads."""
+def heads_of(spark: SparkSession, path: str, size: int = 65536) -> list[bytes]:
+    """The first ``size`` bytes of a file, or of the files of a folder by name, in any store that Spark reads: a text for each file.
+
+    A folder's first file may be empty or hold a header alone, as its first task had no row, so what comes
+    after is read as well.
+    """
     store, found = _listed(spark, path)
     if not found:
         raise ValueError(f"no file in {path}")
-    stream = store.open(found[0].getPath())
-    try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(size, found[0].getLen()))))
-    finally:
-        stream.close()
+    heads: list[bytes] = []
+    for f in found:
+        n = int(min(size - sum(map(len, heads)), f.getLen()))
+        if not n:
+            continue
+        stream = store.open(f.getPath())
+        try:
+            heads.append(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)))
+        finally:
+            stream.close()
+        if sum(map(len, heads)) >= size:
+            break
+    return heads or [b""]
+
+
+def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
+    """The first bytes of a file, or of the first file of a folder that is not empty."""
+    return heads_of(spark, path, size)[0]
+
+
+def encoding_of(spark: SparkSession, path: str, heads: list[bytes]) -> str:
+    """UTF-8 or ISO-8859-1: by the heads, and where they are plain ASCII, by all lines, which a parallel pass reads."""
+    raw = b"\n".join(heads)
+    if detect_encoding(raw) != "utf-8":
+        return "iso-8859-1"
+    if sum(map(len, heads)) == sum(s.getLen() for s in _listed(spark, path)[1]):  # nothing is cut off
+        try:
+            raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return "iso-8859-1"
+        return "utf-8"
+    if not raw.isascii():
+        return "utf-8"
+    sound = spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+    return "utf-8" if sound else "iso-8859-1"
 
 
 def preview(spark: SparkSession, path: str, lines: int = 50) -> dict:
-    """First lines with delimiter and encoding; 64 kB of the file are read."""
-    raw = head_of(spark, path)
-    encoding = detect_encoding(raw)
-    head = raw.decode(encoding, "replace").splitlines()
-    head = head[:-1] if len(raw) == 65536 and len(head) > 1 else head  # the last line may go on
+    """First lines with delimiter and encoding; 64 kB are read, and the rest where these are plain ASCII (see :func:`encoding_of`)."""
+    heads = heads_of(spark, path)
+    encoding = encoding_of(spark, path, heads)
+    head: list[str] = []
+    for raw in heads:
+        own = raw.decode(encoding, "replace").splitlines()
+        head += own[1:] if head[:1] == own[:1] else own  # each file of a folder may have the header
+    head = head[:-1] if sum(map(len, heads)) == 65536 and len(head) > 1 else head  # the last line may go on
     return {"lines": head[:lines], "delimiter": detect_delimiter(head[:lines]), "encoding": encoding}
 
 
@@ -107,13 +144,14 @@ def lines_are_records(spark: SparkSession, path: str, encoding: str) -> bool:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header_row: int = 1, infer: bool = True) -> DataFrame:
     """A CSV whose header stands on the given line; lines before it are left out.
 
-    Delimiter and encoding are found by a look at the head where they are not given.  Large
+    Delimiter and encoding are found by a look at the head where they are not given (and see :func:`encoding_of`).  Large
     files without line breaks in quotes are split over tasks, others are a task each.
     With lines before the header the rest is read by the same CSV reader, quoted line
     breaks and all, under the header's names, and the records up to it are dropped.
     """
-    raw = head_of(spark, path)
-    encoding = encoding or detect_encoding(raw)
+    heads = heads_of(spark, path)
+    encoding = encoding or encoding_of(spark, path, heads)
+    raw = heads[0]
     lines = raw.decode(encoding, "replace").splitlines()
     delimiter = delimiter or detect_delimiter(lines[header_row - 1 : header_row + 50])
     options = {"multiLine": True, "sep": delimiter, "escape": '"', "encoding": encoding}
@@ -131,10 +169,12 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A table of JSON lines, which are split over tasks, or of one array, which is not; the head tells which."""
-    head = head_of(spark, path).lstrip(b"\xef\xbb\xbf \t\r\n")
-    first = head.split(b"\n", 1)[0].strip()
-    lines = first.startswith(b"{") and first.endswith(b"}")
+    """A table of JSON lines, which are split over tasks, or of one array, which is not; the first head that says something tells which."""
+    said = (h.lstrip(b"\xef\xbb\xbf \t\r\n") for h in heads_of(spark, path))
+    head = next((h for h in said if h), b"")
+    first, more, _ = head.partition(b"\n")
+    # a line that is longer than the head is a record of its own
+    lines = first.startswith(b"{") and (first.strip().endswith(b"}") or not more)
     return spark.read.json(path, multiLine=not lines)
 
 
