@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .commands import CommandError
-from .ids import stored
+from .ids import discard, spread, stored
 
 DIRECTIONS = ("backward", "forward", "nearest")
 #: Bucket widths of the interval join grow by this factor.
 STEP = 4
+#: Rows of a side in a cell of a crowded bucket, about: a bucket whose sides make more than the square of it in pairs is dealt to cells.
+CELL = 4000
 
 
 def _require(df: DataFrame, columns: list[str]) -> None:
@@ -125,14 +127,6 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_o
     return seen.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(found)["row"][n].alias(n) for n in values.values()])
 
 
-def _levels(*spans: DataFrame) -> list[int]:
-    """The levels that intervals have: a few tens at most, as widths grow by ``STEP``."""
-    out: set[int] = set()
-    for s in spans:
-        out |= {r[0] for r in s.select("level").distinct().collect()}
-    return sorted(out)
-
-
 def place(column: str) -> Column:
     """A value for the choice of buckets alone: a double, the largest ones and infinity drawn in."""
     return F.greatest(F.least(F.col(column).cast("double"), F.lit(2.0**1021)), F.lit(-(2.0**1021)))
@@ -150,38 +144,86 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_span: t
     An interval's level is the power of ``STEP`` that its length does not exceed; at its
     level it lies in two buckets at most, and so does any shorter one.  Two intervals meet at the
     higher of their levels, in the bucket where the later of them starts, once.  So a long interval costs
-    no more rows than a short one, and there is no width to choose.  A null end or key, or an end before the start,
+    no more rows than a short one, and there is no width to choose.  A bucket in which very many meet is dealt to cells
+    of some rows of either side (see :func:`_cells`), so that no task has it alone.  A null end or key, or an end before the start,
     meets nothing; a point is an interval whose ends are equal.  Right columns but ``by`` follow the left ones, with ``_right`` behind names that are taken.
     """
     _require(left, [*by, *left_span])
     _require(right, [*by, *right_span])
     names = _names(left, right, list(by))
     u = uuid.uuid4().hex[:8]
-    keys = [f"_k{i}_{u}" for i in range(len(by))]
+    keys = [f"_k{i}_{u}" for i in range(max(len(by), 1))]
+    own = {"a": (left, left_span), "b": (right, right_span)}
+    values = {side: {c: f"_{side}{i}_{u}" for i, c in enumerate(df.columns)} for side, (df, _) in own.items()}
 
-    def spans(df: DataFrame, ends: tuple[str, str], side: str) -> DataFrame:
+    def spans(side: str) -> DataFrame:
+        df, ends = own[side]
         lo, hi = (_measure(F.col(f"`{c}`"), df.schema[c].dataType) for c in ends)
-        rows = df.select(*[F.col(f"`{c}`").cast(left.schema[c].dataType).alias(k) for c, k in zip(by, keys, strict=True)], lo.alias(f"{side}_lo"), hi.alias(f"{side}_hi"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"{side}_row"))
+        key = [F.col(f"`{c}`").cast(left.schema[c].dataType).alias(k) for c, k in zip(by, keys, strict=False)] or [F.lit(0).alias(keys[0])]
+        # each column by itself, so that those nobody reads are left out
+        rows = df.select(*key, lo.alias(f"{side}_lo"), hi.alias(f"{side}_hi"), *[F.col(f"`{c}`").alias(n) for c, n in values[side].items()])
         sound = F.col(f"{side}_lo") <= F.col(f"{side}_hi")
         for k in keys:
             sound = sound & F.col(k).isNotNull()
         return rows.where(sound).withColumn("level", _level(place(f"{side}_hi") - place(f"{side}_lo")))
 
-    l, r = spans(left, left_span, "a"), spans(right, right_span, "b")
-    levels = _levels(l, r)
-
-    def dealt(df: DataFrame, side: str) -> DataFrame:
-        at = F.explode(F.filter(F.array(*[F.lit(k) for k in levels] or [F.lit(0)]), lambda k: k >= F.col("level")))
-        wide = df.withColumn("at", at)
-        width = F.pow(F.lit(float(STEP)), F.col("at"))
-        bucket = lambda c: F.floor(place(c) / width)
+    sides = {side: spans(side) for side in own}
+    counts = {side: stored(rows.groupBy(*keys, "level").agg(F.count("*").alias("n"))) for side, rows in sides.items()}
+    # a few tens at most, as widths grow by ``STEP``
+    levels = {side: sorted(r[0] for r in c.select("level").distinct().collect()) for side, c in counts.items()}
+
+    def dealt(side: str, rows: DataFrame) -> DataFrame:
+        """At its own level where the other side has intervals as short, and at those of the other's levels that are above."""
+        others = levels["b" if side == "a" else "a"] or [0]
+        higher = F.filter(F.array(*[F.lit(k) for k in others]), lambda k: k > F.col("level"))
+        wide = rows.withColumn("at", F.explode(F.concat(F.when(F.col("level") >= others[0], F.array("level")).otherwise(F.array().cast("array<int>")), higher)))
+        bucket = lambda c: F.floor(place(c) / F.pow(F.lit(float(STEP)), F.col("at")))
         each = wide.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(f"{side}_lo"), bucket(f"{side}_hi")))))
-        return each.withColumn(f"{side}_own", F.col("at") == F.col("level")).withColumn(f"{side}_first", bucket(f"{side}_lo")).drop("level")
-
-    pairs = dealt(l, "a").join(dealt(r, "b"), [*keys, "at", "bucket"])
+        return each.withColumn(f"{side}_own", F.col("at") == F.col("level")).withColumn(f"{side}_starts", F.col("bucket") == bucket(f"{side}_lo")).drop("level")
+
+    cells = _cells(keys, sides, counts, dealt)
+    discard(*counts.values())
+    on = [*keys, "at", "bucket"]
+    if cells is None:
+        a, b = dealt("a", sides["a"]), dealt("b", sides["b"])
+    else:
+        a, b = (_in_cells(dealt(side, rows.withColumn("_dice", F.rand(i))), side, on, cells) for i, (side, rows) in enumerate(sides.items()))
+        on = [*on, "a_cell", "b_cell"]
+    pairs = a.join(spread(b), on)
     meet = (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi")) if closed else (F.col("a_lo") < F.col("b_hi")) & (F.col("b_lo") < F.col("a_hi"))
-    once = (F.col("a_own") | F.col("b_own")) & (F.col("bucket") == F.greatest("a_first", "b_first"))
-    return pairs.where(meet & once).select(*[F.col("a_row")[c].alias(c) for c in left.columns], *[F.col("b_row")[c].alias(n) for c, n in names.items()])
+    # at the higher level, in the bucket where the later one starts
+    once = (F.col("a_own") | F.col("b_own")) & (F.col("a_starts") | F.col("b_starts"))
+    return pairs.where(meet & once).select(*[F.col(values["a"][c]).alias(c) for c in left.columns], *[F.col(values["b"][c]).alias(n) for c, n in names.items()])
+
+
+def _cells(keys: list[str], sides: dict[str, DataFrame], counts: dict[str, DataFrame], dealt) -> DataFrame | None:
+    """(keys, at, bucket, a_cells, b_cells) of the buckets in which too many rows meet for one task; None without any.
+
+    Only keys with as many pairs are counted by bucket, and these are few: each has some ``CELL`` rows of a side.
+    """
+    crowd = F.col("a_n").cast("double") * F.col("b_n") > float(CELL) ** 2
+    of_key = [c.groupBy(*keys).agg(F.sum("n").alias(f"{side}_n")) for side, c in counts.items()]
+    hot = stored(of_key[0].join(spread(of_key[1]), keys).where(crowd).select(*keys))
+    if hot.isEmpty():
+        discard(hot)
+        return None
+    of_bucket = [dealt(side, rows.join(hot, keys, "left_semi")).groupBy(*keys, "at", "bucket").agg(F.count("*").alias(f"{side}_n")) for side, rows in sides.items()]
+    parts = [F.ceil(F.col(f"{side}_n") / CELL).cast("int").alias(f"{side}_cells") for side in sides]
+    cells = stored(of_bucket[0].join(spread(of_bucket[1]), [*keys, "at", "bucket"]).where(crowd).select(*keys, "at", "bucket", *parts))
+    discard(hot)
+    if cells.isEmpty():
+        discard(cells)
+        return None
+    return cells
+
+
+def _in_cells(rows: DataFrame, side: str, on: list[str], cells: DataFrame) -> DataFrame:
+    """Each row in one row or column of its bucket's cells, drawn by ``_dice``, so every pair meets in one cell."""
+    other = "b" if side == "a" else "a"
+    known = rows.join(cells, on, "left")
+    drawn = F.floor(F.col("_dice") * F.coalesce(f"{side}_cells", F.lit(1))).cast("int").alias(f"{side}_cell")
+    met = F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}_cells", F.lit(1)) - 1)).alias(f"{other}_cell")
+    return known.select(*rows.columns, drawn, met).drop("_dice")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, by: list[str], on: str, span: tuple[str, str], closed: bool = True) -> DataFrame:
