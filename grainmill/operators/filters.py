@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ids import ROW_ID, user_columns
+from .ids import ROW_ID, fresh, numbered, user_columns
 
 OPERATORS = {
     "text": ("contains", "equals", "starts_with", "ends_with", "is_empty", "is_not_empty"),
@@ -95,6 +95,10 @@ def keyset_page(df: DataFrame, size: int, cursor: int | None = None, backward: b
     return df.orderBy(F.col(ROW_ID).desc() if backward else F.col(ROW_ID)).limit(size + 1)
 
 
+#: Rows of a page that one task puts in order; larger pages are numbered over ranges.
+PAGE = 10_000
+
+
 def cursor_of(row, column: str) -> tuple:
     """Where a row stands under a sort by ``column``: (whether it is null, the value, the row id)."""
     return row[column] is None, row[column], row[ROW_ID]
@@ -105,8 +109,31 @@ def sorted_page(df: DataFrame, size: int, column: str, descending: bool = False,
 
     The order is that of :func:`sort`, nulls last either way; equal values go by row id.
     Pages backward come in reverse order, the row nearest to the cursor first.  Only rows on
-    that side of the cursor are kept, and of these the first ones of each partition are compared.
+    that side of the cursor are kept, and of these the first ones of each partition are compared, or
+    where a page has more than ``PAGE`` rows, all of them are put in order by ranges and numbered.
     """
+    return _first(*_beyond(df, column, descending, cursor, backward, filters), size + 1)[0]
+
+
+def page_and_cursor(df: DataFrame, size: int, column: str, descending: bool = False, cursor: tuple | None = None, backward: bool = False, filters: list[dict] | None = None) -> tuple[DataFrame, tuple | None]:
+    """The ``size`` rows of :func:`sorted_page` and the cursor of the last of them, None where the page is not full."""
+    rows, at = _first(*_beyond(df, column, descending, cursor, backward, filters), size)
+    last = at(size).select(column, ROW_ID).first()
+    return rows, last and cursor_of(last, column)
+
+
+def _first(df: DataFrame, order: list[Column], n: int):
+    """The first ``n`` rows, in order, and a function that gives the row at a place."""
+    if n <= PAGE + 1:
+        rows = df.orderBy(*order).limit(n)
+        return rows, lambda i: df.orderBy(*order).offset(i - 1).limit(1)
+    place = fresh("_place", df)
+    placed = numbered(df, place, order)
+    return placed.where(F.col(place) <= n).orderBy(place).drop(place), lambda i: placed.where(F.col(place) == i)
+
+
+def _beyond(df: DataFrame, column: str, descending: bool, cursor: tuple | None, backward: bool, filters: list[dict] | None) -> tuple[DataFrame, list[Column]]:
+    """The rows after (or before) a cursor, and the order of their pages."""
     df = where(df, filters or [])
     c, row = F.col(f"`{column}`"), F.col(ROW_ID)
     if cursor is not None:
@@ -124,7 +151,7 @@ def sorted_page(df: DataFrame, size: int, column: str, descending: bool = False,
         order = [c.asc_nulls_first() if descending else c.desc_nulls_first(), row.desc()]
     else:
         order = [c.desc_nulls_last() if descending else c.asc_nulls_last(), row.asc()]
-    return df.orderBy(*order).limit(size + 1)
+    return df, order
 
 
 def arrow_page(df: DataFrame, size: int, cursor: int | None = None, backward: bool = False, filters: list[dict] | None = None) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -49,17 +49,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, name: str, order_by: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, name: str, order_by: list[str | Column] | None = None) -> DataFrame:
     """``df`` with its rows' numbers from 1 on, in the present order, or in that of ``order_by`` by ranges.
 
     The rows are written once with the partition and the place in which they came, after
     the range shuffle where there is an order.  Counts and numbers both come from those
     files, so neither another sample of range bounds nor other partitions of a second
     run can lose a row or give a number twice.  Equal rows of an order follow each other
-    in any order; columns of nulls only (``void``) come back as such.
+    in any order, and names go upwards, nulls last; columns of nulls only (``void``) come back as such.
     """
     if order_by:
-        keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_by]
+        keys = [c if isinstance(c, Column) else F.col(f"`{c}`").asc_nulls_last() for c in order_by]
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     at, part, count, before = (fresh(x, df) for x in ("_at", "_part", "_rows", "_before"))
     empty = [c for c, kind in df.dtypes if kind == "void"]  # no file format holds these

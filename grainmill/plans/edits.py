@@ -112,10 +112,8 @@ def _walked(s: SparkSession, d: str, descending: bool, backward: bool) -> DataFr
     size = max(1, df.count() // 8)
     cursor = (True, None, 10**9) if backward else None
     for _ in range(5):
-        rows = filters.sorted_page(df, size, "price", descending, cursor, backward)
-        last = rows.limit(size).tail(1)[0]
-        found.append(rows.limit(size))
-        cursor = filters.cursor_of(last, "price")
+        rows, cursor = filters.page_and_cursor(df, size, "price", descending, cursor, backward)
+        found.append(rows)
     whole = found[0]
     for page in found[1:]:
         whole = whole.unionByName(page)
