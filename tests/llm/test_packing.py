@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from grainmill.llm import packing
+from grainmill.llm.common import as_bytes
 from grainmill.llm.queries import tokenizer_path
 
 from .helpers import docs, empty, rows
@@ -53,3 +55,25 @@ def test_another_kind_of_tokenizer_takes_whole_texts(spark):
     want = {(i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1][:5])) for i, t, *_ in rows()}
     assert {(r.doc_id, r.doc_tokens) for r in found} == {(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in rows()}
     assert all((r.doc_id, tuple(r.ids[:5])) in want for r in found if len(r.ids) >= 5)
+
+
+def test_rows_encode_like_texts_and_words_are_learned_without_signs_and_numbers():
+    path = tokenizer_path()
+    words, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    atoms = ["a", "Bc", "é", "é", "́", "̸", "<", "=", "'", "'s", "'LL", "$", ",", ".", " ", "\n", "\x1c", "\xa0", "7", "½", "漢", "İ", "Σ", "|>", "<|"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(atoms, rng.integers(0, 12))) for _ in range(3000)]
+    texts += ["x<|ENDOFTEXT|>y", "x<|endoftext|>y <|startoftext|>", "", "z" * 300]
+    flat, at = as_bytes(pa.array([None, *texts], pa.string()))
+    for run in (packing.RUN, 50, 1):
+        packing_run, packing.RUN = packing.RUN, run
+        try:
+            found = [x for _, _, ids in words.encode_rows(flat, at, b"\x01\x00") for x in ids.to_pylist()]
+        finally:
+            packing.RUN = packing_run
+        for text, got in zip(["", *texts], found, strict=True):
+            assert np.frombuffer(got, words.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+    assert words.encode(b"x<|ENDOFTEXT|>y") == np.array(tokenizer.encode("x<|ENDOFTEXT|>y", add_special_tokens=False).ids, words.kind).tobytes()
+    words.known.clear()
+    words.encode(" ".join(f"same$$${i} same### {'q' * 70}" for i in range(1000)).encode())
+    assert sorted(words.known) == sorted([b"same", b"$$$", b"###", *(str(i).encode() for i in range(10))])
