@@ -158,7 +158,7 @@ def _profiled(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "lineitem").withColumn("file", F.col("_metadata.file_name"))
     found = profile.profile(profile.states(t.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")), part="file"))
     names = [c for c in t.columns if c != "file"]
-    exact = t.agg(*[F.countDistinct(c).alias(c) for c in names]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in names])))
+    exact = profile.distinct_counts(t, names)
     near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1), 0.02 * F.col("exact"))
     return found.join(exact, "column_name").select("column_name", "n_rows", "n_nulls", F.when(near, F.col("exact")).otherwise(F.col("n_distinct")).alias("n_distinct"))
 
